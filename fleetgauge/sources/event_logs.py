@@ -55,22 +55,24 @@ def scan_event_log(spark: SparkSession, path: str) -> DataFrame:
     Plain, ``.gz``, ``.zst`` and ``.zstd`` files go through the text reader, which splits plain files;
     the others are decoded by :func:`scan_event_log_codec`.
     """
-    return scan_text_logs(spark.read, path).unionByName(scan_event_log_codec(spark, path))
+    return number_rows(scan_text_logs(spark.read, path)).unionByName(scan_event_log_codec(spark, path))
 
 
 def scan_text_logs(reader, path: str) -> DataFrame:
-    """Logs Hadoop can decode. ``reader`` is ``spark.read`` or ``spark.readStream``."""
+    """Logs Hadoop can decode, without ``ord_row``. ``reader`` is ``spark.read`` or ``spark.readStream``."""
     lines = reader.option("recursiveFileLookup", "true").text(path)
     # a metadata filter prunes whole files from the listing
     readable = lines.filter(~needs_decoding(F.col("_metadata.file_name")))
     return readable.select(
-        F.col("_metadata.file_path").alias("log_path"),
-        F.col("_metadata.file_block_start").alias("ord_block"),
-        F.monotonically_increasing_id().alias("ord_row"),
-        "value",
+        F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_block_start").alias("ord_block"), "value"
     )
 
 
+def number_rows(lines: DataFrame) -> DataFrame:
+    """Adds ``ord_row``, which grows with the position inside a file split. Must directly follow the scan."""
+    return lines.withColumn("ord_row", F.monotonically_increasing_id()).select(*LINE_COLUMNS)
+
+
 def scan_event_log_codec(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the logs that need decoding outside Hadoop's codecs."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -110,7 +112,7 @@ def _snappy_length(content: memoryview) -> int:
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-            stream = _open_stream(path, memoryview(content.as_buffer()))
+            stream = _open_stream(path, memoryview(content.as_buffer()).cast("B"))
             lines = io.TextIOWrapper(stream, encoding="utf-8", newline="\n")
             first = 0
             while chunk := [line.rstrip("\r\n") for _, line in zip(range(LINES_PER_BATCH), lines)]:

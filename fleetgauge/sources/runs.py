@@ -79,7 +79,7 @@ def result_documents(
     completed = runs.filter(F.col("status") == "completed")
     # a clean run still has its first part; for it the left join finds no findings
     first = completed.select("task_id", F.lit(0).alias("part"))
-    keys = first.unionByName(parts.select("task_id", "part")).groupBy("task_id", "part").agg()
+    keys = first.unionByName(parts.select("task_id", "part")).distinct()
     filled = keys.join(parts, ["task_id", "part"], "left")
     if reports is not None:
         filled = filled.join(reports.select("task_id", "ai_report"), "task_id", "left")

@@ -15,6 +15,7 @@ from fleetgauge.functions.text import literal
 from fleetgauge.operators.metrics import LOG_MEASURES, stage_metrics
 from fleetgauge.plans.rules import BUILT_IN, evaluate_rules
 from fleetgauge.schemas import REPORT
+from fleetgauge.sources.history_payloads import HistoryPayloads, scan_history_json
 from fleetgauge.sources.runs import result_documents, result_rows, run_rows, scan_runs, sink_results
 from fleetgauge.sources.staging import new_path
 from fleetgauge.thresholds import MIB, Thresholds
@@ -58,7 +59,7 @@ def lineitem_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         *("l_discount", "l_tax", "l_returnflag", "l_partkey % 8 AS stage_id"),
     )
     rows = rows.filter("NOT (stage_id > 2 AND k % 7 = 0)").selectExpr("*", "pow(qty, 1 + k % 4) AS power")
-    spill = "if(stage_id = 5 AND k % 2 = 0, bigint(floor(round(price * l_tax * 10000, 6))), 0L)"
+    spill = "if(stage_id = 5 AND k % 2 = 0, bigint(floor(price * l_tax * 10000)), 0L)"
     return rows.selectExpr(
         "concat('app_', k) AS app_id",
         "k",
@@ -67,12 +68,12 @@ def lineitem_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "stage_id",
         "10 * bigint(floor(power)) + 50 * line AS duration_ms",
         "10 * bigint(floor(power)) AS run_ms",
-        "bigint(floor(round(power * 10 * l_discount * stage_id * 2, 6))) AS gc_ms",
-        "if(stage_id >= 4, bigint(floor(round(price * 1000, 6))), 0L) AS shuffle_read_bytes",
+        "bigint(floor(power * 10 * l_discount * stage_id * 2)) AS gc_ms",
+        "if(stage_id >= 4, bigint(floor(price * 1000)), 0L) AS shuffle_read_bytes",
         "if(stage_id >= 4, bigint(qty), 0L) AS shuffle_read_records",
-        "bigint(floor(round(price * 500 * (k % 3), 6))) AS shuffle_write_bytes",
+        "bigint(floor(price * 500 * (k % 3))) AS shuffle_write_bytes",
         "bigint(qty) AS shuffle_write_records",
-        "if(stage_id < 4, 10 * bigint(floor(round(price * qty * (1 + k % 5), 6))), 0L) AS input_bytes",
+        "if(stage_id < 4, 10 * bigint(floor(price * qty * (1 + k % 5))), 0L) AS input_bytes",
         "if(stage_id < 4, bigint(qty), 0L) AS input_records",
         "bigint(line) AS output_records",
         f"{spill} AS spill_disk_bytes",
@@ -391,6 +392,10 @@ def payload_root(spark: SparkSession, sf_dir: str) -> str:
     return staged_path(spark, sf_dir, "payloads", lambda path: _write_payloads(spark, sf_dir, path))
 
 
+def payloads(spark: SparkSession, sf_dir: str) -> HistoryPayloads:
+    return scan_history_json(spark, payload_root(spark, sf_dir), multi_line=False)
+
+
 @shared_plan
 def supplier_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications with 0 to 3 attempts; those of every fifth application are unnamed."""
