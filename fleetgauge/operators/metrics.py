@@ -11,7 +11,7 @@ from fleetgauge.functions.text import array_of, fixed, format_bytes, round_to
 from fleetgauge.operators.quantiles import (
     HOT_ROWS,
     bucketed_quantiles,
-    one_pass_quantiles,
+    grouped_quantiles,
     quantile_struct,
     split_hot,
     zero_quantiles,
@@ -48,35 +48,21 @@ def stage_totals(tasks: DataFrame, by: str = "app_id") -> DataFrame:
     return tasks.groupBy(by, "stage_id").agg(*_totals())
 
 
-def _quantile_columns(measures: dict[str, str]) -> list[Column]:
-    return [F.expr(f"{one_pass_quantiles(column)} AS `{m}`") for m, column in measures.items()]
-
-
-def _quantile_structs(measures: dict[str, str]) -> list[str]:
-    return [f"{quantile_struct(f'`{m}`')} AS `{m}`" for m in measures]
-
-
 def stage_quantiles(
     tasks: DataFrame, by: str = "app_id", measures: dict[str, str] = LOG_MEASURES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Exact quantiles per stage, one struct column per measure."""
     keys = [by, "stage_id"]
     usual, hot = split_hot(tasks, keys, hot_rows)
-    arrays = usual.groupBy(*keys).agg(*_quantile_columns(measures))
-    both = arrays.unionByName(bucketed_quantiles(hot, keys, measures))
-    return both.selectExpr(*keys, *_quantile_structs(measures))
+    both = grouped_quantiles(usual, keys, measures).unionByName(bucketed_quantiles(hot, keys, measures))
+    return both.selectExpr(*keys, *[f"{quantile_struct(f'`{m}`')} AS `{m}`" for m in measures])
 
 
 def stage_rollup(
     tasks: DataFrame, by: str = "app_id", measures: dict[str, str] = LOG_MEASURES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Totals and quantiles of every stage; ordinary stages need one scan and one shuffle for both."""
-    keys = [by, "stage_id"]
-    usual, hot = split_hot(tasks, keys, hot_rows)
-    one_pass = usual.groupBy(*keys).agg(*_totals(), *_quantile_columns(measures))
-    hot_stages = stage_totals(hot, by).join(bucketed_quantiles(hot, keys, measures), keys)
-    both = one_pass.unionByName(hot_stages)
-    return both.selectExpr(*keys, *S.STAGE_TOTALS, *_quantile_structs(measures))
+    """Totals and quantiles of every stage."""
+    return stage_totals(tasks, by).join(stage_quantiles(tasks, by, measures, hot_rows), [by, "stage_id"])
 
 
 def distributions(present: dict[str, str]) -> str:

@@ -16,7 +16,7 @@ from fleetgauge.functions.text import array_of
 from fleetgauge.schemas import QUANTILE_SLOTS
 
 QUARTERS = len(QUANTILE_SLOTS) - 1
-HOT_ROWS = 2_000_000
+HOT_ROWS = 500_000
 # Values below 2^BUCKET_BITS get a bucket each; larger ones share 2^(BUCKET_BITS-1) buckets per power of two.
 BUCKET_BITS = 12
 
@@ -49,8 +49,19 @@ def one_pass_quantiles(value: str) -> str:
     return f"cast(percentile({value}, {steps}) AS array<bigint>)"
 
 
+def grouped_quantiles(tasks: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
+    """Five-slot arrays per stage, one column per measure, for stages of bounded size.
+
+    Partial maps of mostly distinct values save nothing, so the few needed columns are shuffled first and
+    each map is built once.
+    """
+    placed = tasks.select(*keys, *dict.fromkeys(measures.values())).repartition(*keys)
+    columns = [F.expr(f"{one_pass_quantiles(column)} AS `{m}`") for m, column in measures.items()]
+    return placed.groupBy(*keys).agg(*columns)
+
+
 def bucketed_quantiles(tasks: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
-    """Same arrays as :func:`one_pass_quantiles`, one column per measure, for stages of any size."""
+    """The arrays of :func:`grouped_quantiles` for stages of any size."""
     pairs = array_of(f"named_struct('m', '{name}', 'v', {column})" for name, column in measures.items())
     values = tasks.selectExpr(*keys, f"inline({pairs})")
     counts = values.groupBy(*keys, "m", "v").agg(F.count("*").alias("n")).withColumn("bucket", F.expr(_bucket("v")))

@@ -33,6 +33,11 @@ class Fleet:
     jobs: DataFrame
     by: str
 
+    def staged(self) -> "Fleet":
+        """The same tables written once. The rules read the stages three times and the jobs twice, and
+        these tables are far smaller than the tasks they summarise."""
+        return Fleet(stage_table(self.stages, "stages"), stage_table(self.jobs, "jobs"), self.by)
+
 
 def fold_events(lines: DataFrame, staged: bool = True) -> Fleet:
     """Log lines to stage and job metrics, keyed by log.

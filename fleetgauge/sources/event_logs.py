@@ -76,8 +76,9 @@ def number_rows(lines: DataFrame) -> DataFrame:
 def scan_event_log_codec(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the logs that need decoding outside Hadoop's codecs."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return decode_logs(files.filter(needs_decoding(name)).select("path", "content"))
+    # filtering on the metadata column keeps the other files from being opened
+    chosen = files.filter(needs_decoding(F.col("_metadata.file_name")))
+    return decode_logs(chosen.select("path", "content"))
 
 
 def decode_logs(files: DataFrame) -> DataFrame:

@@ -1,16 +1,19 @@
 """Run history: reading stored results and writing new ones.
 
-A stored run is one row with the result as a JSON text. A run with very many findings is written as
-several *parts*, each a complete result document with a share of the findings, so that no row or task
-ever has to hold all findings of a run; reading puts the parts together again.
+A stored run is one row with the result as a JSON document. Runs written here also carry the findings as
+a typed column, so statistics read the few fields they need instead of parsing documents; runs that have
+only the document are decoded. A run with very many findings is written as several *parts*, each a
+complete document with a share of the findings, so that no row or task ever has to hold all findings of
+a run; reading puts the parts together again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetgauge import schemas as S
+from fleetgauge.functions.text import array_of, literal
 from fleetgauge.plans.rule_model import SEVERITIES
 
 FINDINGS_PER_PART = 10_000
@@ -28,82 +31,79 @@ RUN_COLUMNS = (
 
 
 def scan_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Stored runs with ``result`` decoded; a null result stays null."""
+    """Stored runs with their result decoded; a null result stays null."""
     return decode_runs(spark.read.parquet(path))
 
 
 def decode_runs(stored: DataFrame) -> DataFrame:
-    """Adds ``result`` from ``result_json``. Columns of it that a query does not use are not parsed."""
-    return stored.withColumn("result", F.from_json("result_json", S.RESULT))
+    """Adds ``rule_results`` and ``has_report`` from the document where they are not stored, and ``part``."""
+    if "rule_results" not in stored.columns:
+        parsed = stored.withColumn("result", F.from_json("result_json", S.RESULT))
+        stored = parsed.selectExpr("*", "result.rule_results", "result.ai_report IS NOT NULL AS has_report").drop("result")
+    return stored if "part" in stored.columns else stored.withColumn("part", F.lit(0))
 
 
 def run_rows(decoded: DataFrame) -> DataFrame:
-    """One row per run with ``has_result`` and ``has_report``; later parts repeat the run and are left out."""
-    first = decoded.filter(F.col("part") == 0) if "part" in decoded.columns else decoded
-    return first.select(
-        *[c for c in RUN_COLUMNS if c in decoded.columns],
-        F.col("result").isNotNull().alias("has_result"),
-        F.coalesce(F.col("result.ai_report").isNotNull(), F.lit(False)).alias("has_report"),
-    )
+    """One row per run with ``has_result`` and ``has_report``; later parts only repeat the run."""
+    return decoded.filter("part = 0").selectExpr(*RUN_COLUMNS, "rule_results IS NOT NULL AS has_result", "has_report")
 
 
 def result_rows(decoded: DataFrame, rule_order: list[str]) -> DataFrame:
     """One row per finding of a run, unfolded inside the row it is stored in."""
-    severity = F.array(*[F.lit(s) for s in SEVERITIES])
-    rules = F.array(*[F.lit(r) for r in rule_order])
-    found = decoded.select("task_id", F.explode("result.rule_results").alias("f")).select("task_id", "f.*")
-    return found.select(
-        "*",
-        (F.array_position(severity, F.col("severity")) - 1).cast("int").alias("sev_order"),
-        (F.array_position(rules, F.col("rule_id")) - 1).cast("int").alias("rule_ord"),
-        F.col("stage_id").alias("stage_pos"),
+    severities, rules = array_of(map(literal, SEVERITIES)), array_of(map(literal, rule_order))
+    found = decoded.selectExpr("task_id", "explode(rule_results) AS f")
+    return found.selectExpr(
+        "task_id",
+        "f.*",
+        f"int(array_position({severities}, f.severity)) - 1 AS sev_order",
+        f"int(array_position({rules}, f.rule_id)) - 1 AS rule_ord",
+        "f.stage_id AS stage_pos",
     )
 
 
 def result_documents(
     runs: DataFrame, results: DataFrame, reports: DataFrame | None = None, per_part: int = FINDINGS_PER_PART
 ) -> DataFrame:
-    """Run rows with ``result_json`` and ``part``.
+    """Run rows with ``part``, ``result_json``, and the same findings typed as ``rule_results``.
 
     Findings are dealt to parts by hash, about ``per_part`` each, after counting them per run; within a
     part they keep report order. ``reports`` is (task_id, ai_report struct).
     """
-    sizes = results.groupBy("task_id").agg(F.ceil(F.count("*") / F.lit(per_part)).cast("int").alias("parts"))
-    dealt = results.join(sizes, "task_id").withColumn(
-        "part", F.pmod(F.xxhash64("rule_id", "stage_id", "message"), F.col("parts")).cast("int")
+    sizes = results.groupBy("task_id").agg(F.expr(f"int(ceil(count(*) / {per_part})) AS parts"))
+    dealt = results.join(sizes, "task_id").selectExpr(
+        "task_id",
+        "int(pmod(xxhash64(rule_id, stage_id, message), parts)) AS part",
+        "struct(sev_order, rule_ord, stage_pos) AS place",
+        f"struct({', '.join(S.FINDING.names)}) AS finding",
     )
-    body = F.struct(*[F.col(c).alias(c) for c in S.FINDING.names])
-    ordered = F.array_sort(F.collect_list(F.struct("sev_order", "rule_ord", "stage_pos", body.alias("body"))), _in_order)
-    parts = dealt.groupBy("task_id", "part").agg(F.transform(ordered, lambda f: f["body"]).alias("rule_results"))
+    in_order = "array_sort(collect_list(struct(place, finding)), (a, b) -> CASE WHEN a.place < b.place THEN -1" \
+        " WHEN a.place > b.place THEN 1 ELSE 0 END)"
+    parts = dealt.groupBy("task_id", "part").agg(F.expr(f"transform({in_order}, f -> f.finding) AS rule_results"))
 
-    completed = runs.filter(F.col("status") == "completed")
     # a clean run still has its first part; for it the left join finds no findings
-    first = completed.select("task_id", F.lit(0).alias("part"))
-    keys = first.unionByName(parts.select("task_id", "part")).distinct()
-    filled = keys.join(parts, ["task_id", "part"], "left")
-    if reports is not None:
-        filled = filled.join(reports.select("task_id", "ai_report"), "task_id", "left")
-    else:
+    first = runs.filter("status = 'completed'").select("task_id", F.lit(0).alias("part"))
+    filled = first.unionByName(parts.select("task_id", "part")).distinct().join(parts, ["task_id", "part"], "left")
+    if reports is None:
         filled = filled.withColumn("ai_report", F.lit(None).cast(S.REPORT))
-    joined = runs.join(filled, "task_id", "left")
-    empty = F.array().cast(S.RESULT["rule_results"].dataType)
-    document = F.struct(
-        "app_id",
-        F.coalesce("rule_results", empty).alias("rule_results"),
-        F.when(F.col("part") == 0, F.col("ai_report")).alias("ai_report"),
+    else:
+        filled = filled.join(reports.select("task_id", "ai_report"), "task_id", "left")
+    empty = f"cast(array() AS {S.RESULT['rule_results'].dataType.simpleString()})"
+    joined = runs.join(filled, "task_id", "left").selectExpr(
+        *RUN_COLUMNS,
+        "part IS NOT NULL AS has_result",
+        "coalesce(part, 0) AS part",
+        f"if(part IS NULL, NULL, coalesce(rule_results, {empty})) AS rule_results",
+        "if(part = 0, ai_report, NULL) AS ai_report",
     )
-    return joined.select(
+    return joined.selectExpr(
         *RUN_COLUMNS,
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.when(F.col("part").isNotNull(), F.to_json(document)).alias("result_json"),
+        "part",
+        "if(has_result, to_json(struct(app_id, rule_results, ai_report)), NULL) AS result_json",
+        "rule_results",
+        "ai_report IS NOT NULL AS has_report",
     )
 
 
-def _in_order(a: Column, b: Column) -> Column:
-    key = lambda f: F.struct(f["sev_order"], f["rule_ord"], f["stage_pos"])
-    return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
-
-
 def sink_results(documents: DataFrame, path: str, file_format: str = "parquet", mode: str = "append") -> None:
     """Writes run documents partitioned by UTC day of creation, so statistics read only their window."""
     by_day = documents.withColumn("day", F.to_date("created_at"))

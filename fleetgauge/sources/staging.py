@@ -29,11 +29,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/fleetgauge/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes ``df`` once and returns a scan of the written table."""
+def stage_table(df: DataFrame, name: str, *partition_by: str, row_group_bytes: int | None = None) -> DataFrame:
+    """Writes ``df`` once and returns a scan of the written table.
+
+    Smaller row groups let a small table be read by more tasks.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    if row_group_bytes is not None:
+        writer = writer.option("parquet.block.size", row_group_bytes)
     writer.parquet(path)
     # partition values come back under the types they were written with
     return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from fleetgauge.plans.rules import BUILT_IN, evaluate_rules
 from fleetgauge.schemas import REPORT
 from fleetgauge.sources.history_payloads import HistoryPayloads, scan_history_json
 from fleetgauge.sources.runs import result_documents, result_rows, run_rows, scan_runs, sink_results
-from fleetgauge.sources.staging import new_path
+from fleetgauge.sources.staging import new_path, stage_table
 from fleetgauge.thresholds import MIB, Thresholds
 
 AS_OF = "2024-01-31 00:00:00"
@@ -53,6 +53,11 @@ def shared_plan(build):
 
 @shared_plan
 def lineitem_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task table, written once per session. The given file is one row group, so one task would read it."""
+    return stage_table(derived_tasks(spark, sf_dir), "tasks", row_group_bytes=4 * MIB)
+
+
+def derived_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task rows keyed by ``app_id``; ``k`` and ``log_no`` are kept for the log and payload writers."""
     rows = table(spark, sf_dir, "lineitem").selectExpr(
         *("l_orderkey", "l_suppkey AS k", "l_linenumber AS line", "l_quantity AS qty", "l_extendedprice AS price"),
@@ -108,13 +113,19 @@ def idle_stage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@shared_plan
-def fleet_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def folded_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage metrics from the task rows."""
     tasks = lineitem_tasks(spark, sf_dir)
     records = stage_records(tasks).unionByName(idle_stage_records(spark, sf_dir))
     return stage_metrics(records, tasks, measures=MEASURES)
 
 
+@shared_plan
+def fleet_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage metrics, computed and written once per session; everything about stages reads them."""
+    return stage_table(folded_stages(spark, sf_dir), "stages")
+
+
 def pick(selector: str, *values: str | None) -> str:
     """Value at position ``selector``; None means unset."""
     items = ("NULL" if v is None else literal(v) for v in values)
@@ -270,6 +281,7 @@ def staged_path(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     return _staged[key]
 
 
+@shared_plan
 def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs written as result documents and read back."""
 
@@ -392,6 +404,7 @@ def payload_root(spark: SparkSession, sf_dir: str) -> str:
     return staged_path(spark, sf_dir, "payloads", lambda path: _write_payloads(spark, sf_dir, path))
 
 
+@shared_plan
 def payloads(spark: SparkSession, sf_dir: str) -> HistoryPayloads:
     return scan_history_json(spark, payload_root(spark, sf_dir), multi_line=False)
 

@@ -103,12 +103,13 @@ SELECT 'app_' || k AS app_id, k, s_name AS app_name,
   CASE k % 6 WHEN 0 THEN '256m' WHEN 1 THEN '1g' WHEN 2 THEN '20g' WHEN 4 THEN '4096' ELSE '4g' END AS driver_memory,
   CASE k % 6 WHEN 0 THEN 256 WHEN 1 THEN 1024 WHEN 2 THEN 20480 ELSE 4096 END AS driver_mb,
   CASE WHEN k % 2 = 0 THEN '4g' ELSE '1g' END AS executor_memory,
-  CASE WHEN k % 9 = 8 THEN NULL WHEN k % 7 = 6 THEN 0 WHEN k % 7 = 5 THEN 60 ELSE 10 END AS ex_count,
+  CAST(CASE WHEN k % 9 = 8 THEN NULL WHEN k % 7 = 6 THEN 0 WHEN k % 7 = 5 THEN 60 ELSE 10 END AS BIGINT) AS ex_count,
   CASE WHEN k % 9 = 8 THEN NULL ELSE (k % 10 * 10 + 5) * 1048576 END AS ex_peak_mem,
   CASE WHEN k % 9 = 8 THEN NULL ELSE 104857600 END AS ex_alloc_mem,
   CASE WHEN k % 9 = 8 THEN NULL ELSE coalesce(task_ms, 0) END AS ex_task_ms,
   CASE WHEN k % 9 = 8 THEN NULL ELSE k % 3 END AS ex_failed,
-  CASE WHEN k % 9 = 8 THEN NULL WHEN k % 2 = 1 OR k % 7 = 6 THEN 0 WHEN k % 7 = 5 THEN 240 ELSE 40 END AS ex_cores
+  CAST(CASE WHEN k % 9 = 8 THEN NULL WHEN k % 2 = 1 OR k % 7 = 6 THEN 0 WHEN k % 7 = 5 THEN 240 ELSE 40 END AS BIGINT)
+    AS ex_cores
 FROM (SELECT s_suppkey AS k, s_name FROM supplier)
 LEFT JOIN (SELECT k AS tk, CAST(sum(run_ms) AS BIGINT) AS task_ms FROM tasks GROUP BY 1) ON tk = k
 """
