@@ -43,13 +43,17 @@ def round_to(x: str, digits: int) -> str:
 
 
 def fixed(x: str, digits: int) -> str:
-    """Text of ``x`` with 0 to 2 decimals, rounded like :func:`round_to`."""
-    return f"format_string('%.{digits}f', {round_to(x, digits)})"
+    """Text of ``x`` with 0 to 2 decimals, rounded like :func:`round_to`; null stays null."""
+    return _printed(f"%.{digits}f", x, digits)
 
 
 def grouped(x: str, digits: int) -> str:
     """:func:`fixed` with a comma between groups of three digits."""
-    return f"format_string('%,.{digits}f', {round_to(x, digits)})"
+    return _printed(f"%,.{digits}f", x, digits)
+
+
+def _printed(pattern: str, x: str, digits: int) -> str:
+    return f"if(({x}) IS NULL, NULL, format_string('{pattern}', {round_to(x, digits)}))"
 
 
 def shortest(x: str) -> str:

@@ -35,6 +35,12 @@ def test_numbers_print_like_exact_rounding(spark):
         assert (r.f0, r.f1, r.f2, r.g, r.r1, r.r2, r.b) == expected
 
 
+def test_null_has_no_text(spark):
+    null = "CAST(NULL AS double)"
+    printed = (text.fixed(null, 1), text.grouped(null, 2), text.format_bytes(null), text.shortest(null))
+    assert [value_of(spark, p, one=1) for p in printed] == [None] * 4
+
+
 @pytest.mark.parametrize("x", [335000.0, 12000000.0, 1234.5, 0.001, 1e7 + 0.5, 0.0])
 def test_shortest_text_never_uses_an_exponent(spark, x):
     assert value_of(spark, text.shortest("x"), x=x) == repr(x)
