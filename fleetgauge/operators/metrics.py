@@ -107,18 +107,18 @@ def stage_metrics(
 def job_metrics(facts: DataFrame, config: DataFrame, tasks: DataFrame, by: str = "log_path") -> DataFrame:
     """One row per job from ``facts`` (with ``duration_ms``), its properties and its tasks.
 
-    Task time counts every task, also those of stages that never completed. An event log holds no
-    executor memory, so those sums are 0.
+    Task time counts every task, also those of stages that never completed; a log of nothing but tasks is
+    a job without a name. An event log holds no executor memory, so those sums are 0.
     """
     task_time = tasks.groupBy(by).agg(F.sum("run_ms").alias("task_ms"))
-    joined = facts.join(config, by, "left").join(task_time, by, "left")
-    known = {"ex_count": "executor_count", "ex_task_ms": "coalesce(task_ms, 0L)"}
+    joined = facts.join(config, by, "left").join(task_time, by, "full")
+    known = {"ex_count": "coalesce(executor_count, 0L)", "ex_task_ms": "coalesce(task_ms, 0L)"}
     return joined.selectExpr(
         *([by] if by != "app_id" else []),
-        "app_id",
-        "app_name",
-        "spark_version",
-        "duration_ms",
+        "coalesce(app_id, '') AS app_id",
+        "coalesce(app_name, '') AS app_name",
+        "coalesce(spark_version, '') AS spark_version",
+        "coalesce(duration_ms, 0L) AS duration_ms",
         "coalesce(config, cast(map() AS map<string,string>)) AS config",
         *[f"{known.get(name, '0L')} AS {name}" for name in S.EXECUTOR_COLUMNS],
     )

@@ -42,12 +42,12 @@ class Fleet:
 def fold_events(lines: DataFrame, staged: bool = True) -> Fleet:
     """Log lines to stage and job metrics, keyed by log.
 
-    The folds read the events several times, so by default the parsed events are written once, laid out
-    by event type: each fold then reads only its own type and columns.
+    The folds read the events several times, so by default the parsed events are written once, the task
+    rows apart from the rest: each fold then reads only its own part and columns.
     """
     events = filter_event_types(parse_events(lines))
     if staged:
-        events = stage_table(events, "events", "Event")
+        events = stage_table(events, "events", "has_task_parts")
     stages, tasks = stage_facts(events), task_facts(events)
     facts = resolve_duration(app_facts(events), stages)
     return Fleet(

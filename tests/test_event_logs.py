@@ -221,6 +221,12 @@ def test_result_does_not_depend_on_partitioning(spark, tmp_path):
     assert sorted(map(str, one.jobs.collect())) == sorted(map(str, many.jobs.collect()))
 
 
+def test_log_of_tasks_only(spark, tmp_path):
+    fleet = fold(spark, tmp_path, [task(0, 5), task(1, 6)])
+    job = fleet.jobs.first()
+    assert (job.app_id, job.duration_ms, job.ex_task_ms, job.config) == ("", 0, 11, {}) and fleet.stages.count() == 0
+
+
 def test_two_logs_of_one_application_stay_apart(spark, tmp_path):
     for name, run in (("attempt1", 5), ("attempt2", 7)):
         (tmp_path / name).write_text("\n".join([start("same"), stage(0), task(0, run)]))

@@ -190,7 +190,7 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
 @A.shared_plan
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     """Parsed events, written once and read back by every fold."""
-    return stage_table(events.filter_event_types(_parsed(spark, sf)), "events", "Event")
+    return stage_table(events.filter_event_types(_parsed(spark, sf)), "events", "has_task_parts")
 
 
 EVENT_COUNTS = """
