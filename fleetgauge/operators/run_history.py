@@ -1,8 +1,9 @@
 """Queries over the analysis runs.
 
 ``runs`` has one row per run; ``results`` has one row per finding of a run (``task_id`` plus the finding
-columns) and never travels with the run row, so a run may have any number of findings. Relative
-windows end at an explicit ``as_of`` (a timestamp, or text like ``2024-01-31 00:00:00``); times are UTC.
+columns), so a run may have any number of findings. Results that carry the run's ``app_id``, ``status``
+and ``completed_at`` are filtered directly, others are joined to their runs. Relative windows end at an
+explicit ``as_of`` (a timestamp, or text like ``2024-01-31 00:00:00``); times are UTC.
 """
 
 from __future__ import annotations
@@ -92,8 +93,11 @@ def completed_since(runs: DataFrame, as_of: datetime | str, days: int) -> DataFr
 
 
 def created_since(runs: DataFrame, as_of: datetime | str, days: int) -> DataFrame:
-    """Runs of any status created in the window."""
-    return runs.filter(F.col("created_at") >= since(as_of, days))
+    """Runs of any status created in the window; runs filed by day are read from its days only."""
+    start = since(as_of, days)
+    if "day" in runs.columns:
+        runs = runs.filter(F.col("day") >= start.cast("date"))
+    return runs.filter(F.col("created_at") >= start)
 
 
 def runs_since(runs: DataFrame, as_of: datetime | str, days: int, completed: bool = False) -> DataFrame:
@@ -129,11 +133,6 @@ def failure_rate_trend(runs: DataFrame, as_of: datetime | str, days: int = 30) -
     return counts.withColumn("rate", F.expr(round_to("(failed / total * 100)", 1)))
 
 
-def finding_counts(results: DataFrame) -> DataFrame:
-    """Findings per run."""
-    return results.groupBy("task_id").agg(F.count("*").alias("findings"))
-
-
 def stats_summary(runs: DataFrame, results: DataFrame, as_of: datetime | str, days: int = 30) -> DataFrame:
     """One row: run counts by creation; mean duration, share with a report and mean findings by completion.
 
@@ -142,9 +141,8 @@ def stats_summary(runs: DataFrame, results: DataFrame, as_of: datetime | str, da
     ``has_report``.
     """
     start = since(as_of, days)
-    slim = ("task_id", "status", "created_at", "started_at", "completed_at", "has_result", "has_report")
     marked = runs.select(
-        *slim,
+        *("status", "started_at", "completed_at", "has_result", "has_report"),
         (F.col("created_at") >= start).alias("created"),
         ((F.col("status") == "completed") & (F.col("completed_at") >= start)).alias("finished"),
     ).filter("created OR finished")
@@ -157,8 +155,7 @@ def stats_summary(runs: DataFrame, results: DataFrame, as_of: datetime | str, da
         F.expr("count_if(finished AND has_result AND has_report) AS with_report"),
         F.expr("count_if(finished AND has_result) AS with_result"),
     )
-    counted = marked.filter("finished AND has_result").select("task_id")
-    issues = results.select("task_id").join(counted, "task_id", "left_semi").agg(F.count("*"))
+    issues = _window_findings(runs, results, as_of, days).agg(F.count("*"))
     means = totals.withColumn("issues", issues.scalar())
 
     def when_completed(value: str, digits: int) -> str:
@@ -175,6 +172,9 @@ def stats_summary(runs: DataFrame, results: DataFrame, as_of: datetime | str, da
 
 
 def _window_findings(runs: DataFrame, results: DataFrame, as_of: datetime | str, days: int) -> DataFrame:
+    """Findings of the runs completed in the window, with ``app_id`` and ``completed_at`` of the run."""
+    if {"app_id", "status", "completed_at"} <= set(results.columns):
+        return completed_since(results, as_of, days)
     finished = completed_since(runs, as_of, days).select("task_id", "app_id", "completed_at")
     return results.join(finished, "task_id")
 
@@ -208,20 +208,18 @@ def top_issues(
 
 
 def severity_trend(runs: DataFrame, results: DataFrame, as_of: datetime | str, days: int = 30) -> DataFrame:
-    """Findings per severity and day of completion; a day with clean runs only shows zeros."""
-    finished = completed_since(runs, as_of, days).filter("has_result").select("task_id", "completed_at")
+    """Findings per severity and day of completion; a day with clean runs only shows zeros.
 
-    def count(severity: str) -> Column:
-        return F.count_if(F.col("severity") == severity)
-
-    per_run = results.groupBy("task_id").agg(
-        count("CRITICAL").alias("critical"), count("WARNING").alias("warning"), count("INFO").alias("info")
-    )
-    zero = F.lit(0).cast("bigint")
-    joined = finished.join(per_run, "task_id", "left")
-    return joined.groupBy(_day("completed_at").alias("day")).agg(
-        *[F.sum(F.coalesce(c, zero)).alias(c) for c in ("critical", "warning", "info")]
+    Days meet days: both sides are reduced to one row per day before the join.
+    """
+    day = _day("completed_at").alias("day")
+    all_days = completed_since(runs, as_of, days).filter("has_result").select(day).distinct()
+    counts = _window_findings(runs, results, as_of, days).groupBy(day).agg(
+        F.expr("count_if(severity = 'CRITICAL') AS critical"),
+        F.expr("count_if(severity = 'WARNING') AS warning"),
+        F.expr("count_if(severity = 'INFO') AS info"),
     )
+    return all_days.join(counts, "day", "left").fillna(0, ["critical", "warning", "info"])
 
 
 def duration_by_mode(runs: DataFrame, as_of: datetime | str, days: int = 30) -> DataFrame:

@@ -44,16 +44,25 @@ def decode_runs(stored: DataFrame) -> DataFrame:
 
 
 def run_rows(decoded: DataFrame) -> DataFrame:
-    """One row per run with ``has_result`` and ``has_report``; later parts only repeat the run."""
-    return decoded.filter("part = 0").selectExpr(*RUN_COLUMNS, "rule_results IS NOT NULL AS has_result", "has_report")
+    """One row per run with ``has_result`` and ``has_report``; later parts only repeat the run.
+
+    The ``day`` a stored run is filed under stays, so that windows over creation times prune folders.
+    """
+    day = [c for c in ("day",) if c in decoded.columns]
+    has_result = "rule_results IS NOT NULL AS has_result"
+    return decoded.filter("part = 0").selectExpr(*RUN_COLUMNS, has_result, "has_report", *day)
 
 
 def result_rows(decoded: DataFrame, rule_order: list[str]) -> DataFrame:
-    """One row per finding of a run, unfolded inside the row it is stored in."""
+    """One row per finding of a run, unfolded inside the row it is stored in.
+
+    The run's application, status and completion come along, so windows over them need no join and are
+    pushed to the scan.
+    """
     severities, rules = array_of(map(literal, SEVERITIES)), array_of(map(literal, rule_order))
-    found = decoded.selectExpr("task_id", "explode(rule_results) AS f")
+    found = decoded.selectExpr("task_id", "app_id", "status", "completed_at", "explode(rule_results) AS f")
     return found.selectExpr(
-        "task_id",
+        *("task_id", "app_id", "status", "completed_at"),
         "f.*",
         f"int(array_position({severities}, f.severity)) - 1 AS sev_order",
         f"int(array_position({rules}, f.rule_id)) - 1 AS rule_ord",
@@ -105,7 +114,7 @@ def result_documents(
 
 
 def sink_results(documents: DataFrame, path: str, file_format: str = "parquet", mode: str = "append") -> None:
-    """Writes run documents partitioned by UTC day of creation, so statistics read only their window."""
+    """Writes run documents filed by UTC day of creation: windows over creation times read only their days."""
     by_day = documents.withColumn("day", F.to_date("created_at"))
     by_day.write.mode(mode).partitionBy("day").format(file_format).save(path)
 
