@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fleetgauge.operators.events import (
     app_facts,
@@ -21,6 +21,7 @@ from fleetgauge.operators.metrics import job_metrics, stage_metrics
 from fleetgauge.plans.rules import evaluate_rules
 from fleetgauge.sources.event_logs import scan_event_log
 from fleetgauge.sources.history_payloads import HistoryPayloads
+from fleetgauge.sources.runs import result_documents
 from fleetgauge.sources.staging import stage_table
 from fleetgauge.thresholds import Thresholds
 
@@ -79,20 +80,27 @@ def analyze_jobs(fleet: Fleet, thresholds: Thresholds = Thresholds()) -> DataFra
     return jobs.join(findings, fleet.by, "left")
 
 
-def new_runs(fleet: Fleet, mode: str, data_source: str, now) -> DataFrame:
-    """Completed run rows for the jobs of a fleet; the run id is stamped from the job key.
+def record_runs(
+    fleet: Fleet, now: datetime, mode: str = "static", data_source: str = "file", thresholds: Thresholds = Thresholds()
+) -> DataFrame:
+    """Analyses a fleet and gives one completed run per job as storable documents (see ``sink_results``).
 
-    ``now`` is a timestamp column or value.
+    Run ids are the time in nanoseconds and the job's key, so a fleet analysed twice gives two runs per job.
     """
-    stamp = F.lit(now).cast("timestamp")
-    return fleet.jobs.select(
-        F.col(fleet.by).alias("task_id"),
+    prefix = f"{int(now.timestamp() * 1_000_000)}000_"
+    task_id = f"concat('{prefix}', {fleet.by}) AS task_id"
+    stamp = f"timestamp '{now:%Y-%m-%d %H:%M:%S.%f}'"
+    runs = fleet.jobs.selectExpr(
+        task_id,
         "app_id",
-        F.lit(mode).alias("mode"),
-        F.lit(data_source).alias("data_source"),
-        F.lit("completed").alias("status"),
-        stamp.alias("created_at"),
-        stamp.alias("started_at"),
-        stamp.alias("completed_at"),
-        F.lit(None).cast("string").alias("error"),
+        f"'{mode}' AS mode",
+        f"'{data_source}' AS data_source",
+        "'completed' AS status",
+        f"{stamp} AS created_at",
+        f"{stamp} AS started_at",
+        f"{stamp} AS completed_at",
+        "string(NULL) AS error",
     )
+    findings = evaluate_rules(fleet.stages, fleet.jobs, thresholds, by=fleet.by)
+    results = findings.selectExpr(task_id, *[c for c in findings.columns if c != fleet.by])
+    return result_documents(runs, results)

@@ -1,13 +1,15 @@
 import gzip
 import json
+from datetime import datetime, timedelta
 
 import pyarrow as pa
 import pytest
 
-from fleetgauge.operators import events, metrics
-from fleetgauge.plans.analyze import Fleet, analyze_jobs, fold_event_logs, fold_events
-from fleetgauge.plans.rules import order_findings, run_rules
+from fleetgauge.operators import events, metrics, run_history
+from fleetgauge.plans.analyze import Fleet, analyze_jobs, fold_event_logs, fold_events, record_runs
+from fleetgauge.plans.rules import BUILT_IN, order_findings, run_rules
 from fleetgauge.sources.event_logs import list_event_logs, scan_event_log
+from fleetgauge.sources.runs import result_rows, run_rows, scan_runs, sink_results
 
 T0 = 1_700_000_000_000
 
@@ -102,6 +104,22 @@ def test_small_job_end_to_end(spark, tmp_path, staged):
     assert {(r.app_id, r.rule_id) for r in rows} == {("application_1", "spill_to_disk"), ("application_1", "gc_pressure")}
 
 
+def test_analysis_is_recorded_and_counted(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    fleet = fold(spark, tmp_path / "in", sample_lines())
+    (tmp_path / "in" / "clean").write_text("\n".join([start("clean"), end(T0 + 5)]))
+    fleet = fold_event_logs(spark, str(tmp_path / "in")).staged()
+    now = datetime(2026, 3, 1, 12)
+    for i in range(2):
+        sink_results(record_runs(fleet, now + timedelta(hours=i)), str(tmp_path / "runs"))
+    stored = scan_runs(spark, str(tmp_path / "runs"))
+    runs, results = run_rows(stored), result_rows(stored, list(BUILT_IN))
+    assert runs.count() == 4 and results.count() == 4
+    frequency = run_history.rule_frequency(runs, results, "2026-03-02 00:00:00", 7).collect()
+    assert {(r.rule_id, r["count"]) for r in frequency} == {("spill_to_disk", 2), ("gc_pressure", 2)}
+    assert run_history.daily_volume(runs, "2026-03-02 00:00:00", 7).first()["count"] == 4
+
+
 def test_noise_is_dropped(spark, tmp_path):
     lines = ["", "   ", "not json", '{"Event":"SparkListenerTaskEnd","Stage ID":0,"Task', start(), line("BlockUpdated"), "{}",
              '{"no event": 1}', stage(0), task(0), '  ' + task(0) + '  ']
