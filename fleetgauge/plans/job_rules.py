@@ -17,7 +17,8 @@ from fleetgauge.functions.scalars import (
     parse_spark_version,
     slot_utilization,
 )
-from fleetgauge.functions.text import quoted_list
+from fleetgauge.functions.text import literal, quoted_list
+from fleetgauge.plans import texts
 from fleetgauge.plans.rule_model import CRITICAL, INFO, WARNING, Case, Rule
 from fleetgauge.thresholds import GIB, MIB, Thresholds
 
@@ -73,36 +74,12 @@ def shuffle_partitions(t: Thresholds) -> list[Case]:
     ratio = f"(shuffle_partitions / {optimal})"
     judged = f"max_shuffle_read <> 0 AND NOT (aqe_enabled AND coalesce(version >= {AQE_DEFAULT}, false))"
     too_few = f"{judged} AND {ratio} < {t.partition_ratio_min}D"
-    shared = dict(
-        title="Suboptimal shuffle partition count",
-        value=ratio,
-        x=f"max_shuffle_read / {GIB}.0D",
-        n="shuffle_partitions",
-        k=optimal,
-        current_value="spark.sql.shuffle.partitions = {n}",
-        recommended_value="spark.sql.shuffle.partitions = {k}",
-        estimated_impact="Better partition sizing reduces spill and improves parallelism",
-    )
+    too_many = f"{judged} AND {ratio} > {t.partition_ratio_max}D"
+    slots = dict(value=ratio, x=f"max_shuffle_read / {GIB}.0D", n="shuffle_partitions", k=optimal)
     return [
-        Case(
-            when=f"{too_few} AND aqe_enabled",
-            severity=INFO,
-            message="Too few partitions: {n} for {x:.1f} GB shuffle"
-            " (AQE may handle partition coalescing automatically)",
-            **shared,
-        ),
-        Case(
-            when=too_few,
-            severity=WARNING,
-            message="Too few partitions: {n} for {x:.1f} GB shuffle",
-            **shared,
-        ),
-        Case(
-            when=f"{judged} AND {ratio} > {t.partition_ratio_max}D",
-            severity=INFO,
-            message="Too many partitions: {n} for {x:.1f} GB shuffle",
-            **shared,
-        ),
+        Case(when=f"{too_few} AND aqe_enabled", severity=INFO, texts=texts.TOO_FEW_PARTITIONS_WITH_AQE, **slots),
+        Case(when=too_few, severity=WARNING, texts=texts.TOO_FEW_PARTITIONS, **slots),
+        Case(when=too_many, severity=INFO, texts=texts.TOO_MANY_PARTITIONS, **slots),
     ]
 
 
@@ -114,16 +91,11 @@ def executor_idle(t: Thresholds) -> list[Case]:
             when=f"ex_count IS NOT NULL AND duration_ms >= {t.idle_min_job_duration_ms}"
             f" AND slot_percent <= {t.min_slot_utilization_percent}D",
             severity=f"{urgency} + int(dynamic_allocation)",
+            texts=texts.EXECUTOR_IDLE,
             value="slot_percent",
             x="100 - slot_percent",
             n="ex_count",
             k="executor_cores",
-            title="Executor over-provisioning",
-            message="Slot utilization is only {value:.0f}% — {x:.0f}% idle",
-            current_value="{n} executors x {k} cores, {value:.0f}% utilized",
-            recommended_value="Reduce executor count or increase parallelism",
-            estimated_impact="Right-sizing can reduce costs 30-50%"
-            " (note: sequential stages reduce measured utilization)",
         )
     ]
 
@@ -131,45 +103,28 @@ def executor_idle(t: Thresholds) -> list[Case]:
 def broadcast_join(t: Thresholds) -> list[Case]:
     """Broadcast joins switched off, or allowed only for very small tables."""
     default = t.broadcast_join_default_bytes
+    limits = dict(default=default, default_mb=f"{default / MIB:.0f}")
     return [
         Case(
             when="broadcast_threshold = -1",
             severity=f"if(reads_shuffle AND NOT aqe_enabled, {WARNING}, {INFO})",
+            texts=texts.BROADCAST_DISABLED.given(**limits),
             value="broadcast_threshold",
-            title="Broadcast join disabled",
-            message="spark.sql.autoBroadcastJoinThreshold is -1 (disabled)",
-            current_value="disabled (-1)",
-            recommended_value=f"spark.sql.autoBroadcastJoinThreshold = {default}",
-            estimated_impact="Broadcasting small tables avoids expensive shuffle joins",
         ),
         Case(
             when=f"reads_shuffle AND broadcast_threshold < {default}",
             severity=INFO,
+            texts=texts.BROADCAST_LOW.given(**limits),
             value="broadcast_threshold",
             x=f"broadcast_threshold / {MIB}.0D",
-            title="Low broadcast join threshold",
-            message="Threshold is {x:.0f} MB — some shuffle joins might be avoidable",
-            current_value="{x:.0f} MB",
-            recommended_value=f"spark.sql.autoBroadcastJoinThreshold = {default} ({default / MIB:.0f} MB)",
-            estimated_impact="Larger threshold may convert shuffle joins to broadcast joins",
         ),
     ]
 
 
 def serializer_choice(t: Thresholds) -> list[Case]:
     """Java serialization in a job that shuffles."""
-    return [
-        Case(
-            when="NOT contains(serializer, 'KryoSerializer') AND has_shuffle",
-            severity=INFO,
-            s="serializer",
-            title="Using default Java serializer",
-            message="Current serializer: {s}",
-            current_value="{s}",
-            recommended_value="spark.serializer = org.apache.spark.serializer.KryoSerializer",
-            estimated_impact="Kryo serialization is typically 10x faster and more compact",
-        )
-    ]
+    java = "NOT contains(serializer, 'KryoSerializer')"
+    return [Case(when=f"{java} AND has_shuffle", severity=INFO, texts=texts.JAVA_SERIALIZER, s="serializer")]
 
 
 def dynamic_allocation(t: Thresholds) -> list[Case]:
@@ -180,87 +135,60 @@ def dynamic_allocation(t: Thresholds) -> list[Case]:
         Case(
             when="dynamic_allocation AND (min_executors = '' OR max_executors = '')",
             severity=WARNING,
+            texts=texts.ALLOCATION_UNBOUNDED,
             value="int(min_executors = '') + int(max_executors = '')",
             s=f"concat_ws(', ', {no_min}, {no_max})",
             s2=f"concat_ws(', ', {setting(no_min)}, {setting(no_max)})",
-            title="Dynamic allocation without bounds",
-            message="Dynamic allocation enabled but {s} not set",
-            current_value="spark.dynamicAllocation.enabled = true",
-            recommended_value="{s2}",
-            estimated_impact="Unbounded dynamic allocation can over-provision resources",
         ),
         Case(
             when="NOT dynamic_allocation AND ex_count IS NOT NULL"
             f" AND slot_percent < {t.min_slot_utilization_percent}D",
             severity=INFO,
+            texts=texts.ALLOCATION_SUGGESTED,
             value="slot_percent",
             n="ex_count",
-            title="Consider enabling dynamic allocation",
-            message="Slot utilization is {value:.0f}% with fixed executor count",
-            current_value="{n} static executors, {value:.0f}% utilized",
-            recommended_value="spark.dynamicAllocation.enabled = true",
-            estimated_impact="Dynamic allocation auto-scales executors to match workload",
         ),
     ]
 
 
 def executor_memory_overhead(t: Thresholds) -> list[Case]:
     """Heavy garbage collection while memory is nearly full; short stages count here too."""
+    default = literal(texts.DEFAULT_OVERHEAD)
     return [
         Case(
             when=f"ex_count IS NOT NULL AND hottest_gc > {t.memory_overhead_gc_threshold_percent}D"
             f" AND memory_percent >= {t.memory_overhead_mem_utilization_percent}D",
             severity=WARNING,
+            texts=texts.MEMORY_PRESSURE,
             value="hottest_gc",
             x="memory_percent",
-            s="if(executor_memory_overhead = '', 'default (max(384MB, 10%))', executor_memory_overhead)",
-            title="Executor memory pressure detected",
-            message="High GC ({value:.0f}% in hottest stage) with {x:.0f}% memory utilization",
-            current_value="memoryOverhead = {s}",
-            recommended_value="Increase spark.executor.memory to reduce heap GC pressure,"
-            " or spark.executor.memoryOverhead if seeing container OOM kills",
-            estimated_impact="Reducing memory pressure prevents GC thrashing and container OOM kills",
+            s=f"if(executor_memory_overhead = '', {default}, executor_memory_overhead)",
         )
     ]
 
 
 def driver_memory(t: Thresholds) -> list[Case]:
     """Driver memory outside sensible bounds; a big cluster needs a bigger driver."""
-    shared = dict(
-        value="driver_mb",
-        n="driver_mb",
-        k="ex_count",
-        s="driver_memory",
-        current_value="spark.driver.memory = {s}",
-    )
+    slots = dict(value="driver_mb", n="driver_mb", k="ex_count", s="driver_memory")
+    large_cluster = f"coalesce(ex_count > {t.driver_large_cluster_executor_count}, false)"
     return [
         Case(
             when=f"driver_mb <> 0 AND driver_mb < {t.driver_memory_min_mb}",
             severity=WARNING,
-            title="Driver memory too low",
-            message="Driver memory is too low: {s} ({n} MB) — risk of OOM",
-            recommended_value=f"spark.driver.memory >= {t.driver_memory_min_mb}m",
-            estimated_impact="Insufficient driver memory causes OOM on collect/broadcast operations",
-            **shared,
+            texts=texts.DRIVER_TOO_SMALL.given(limit=t.driver_memory_min_mb),
+            **slots,
         ),
         Case(
-            when=f"driver_mb <> 0 AND coalesce(ex_count > {t.driver_large_cluster_executor_count}, false)"
-            f" AND driver_mb < {t.driver_large_cluster_min_memory_mb}",
+            when=f"driver_mb <> 0 AND {large_cluster} AND driver_mb < {t.driver_large_cluster_min_memory_mb}",
             severity=WARNING,
-            title="Driver memory insufficient for large cluster",
-            message="Driver memory {s} may be insufficient for cluster with {k} executors",
-            recommended_value=f"spark.driver.memory >= {t.driver_large_cluster_min_memory_mb}m",
-            estimated_impact="Large clusters need more driver memory for coordination and metadata",
-            **shared,
+            texts=texts.DRIVER_SMALL_FOR_CLUSTER.given(limit=t.driver_large_cluster_min_memory_mb),
+            **slots,
         ),
         Case(
             when=f"driver_mb > {t.driver_memory_max_mb}",
             severity=INFO,
-            title="Driver memory too high",
-            message="Driver memory is too high: {s} ({n} MB) — resource waste",
-            recommended_value=f"spark.driver.memory <= {t.driver_memory_max_mb}m",
-            estimated_impact="Over-provisioned driver wastes cluster resources",
-            **shared,
+            texts=texts.DRIVER_TOO_LARGE.given(limit=t.driver_memory_max_mb),
+            **slots,
         ),
     ]
 
@@ -272,39 +200,19 @@ def memory_underutilization(t: Thresholds) -> list[Case]:
             when="ex_count IS NOT NULL AND NOT gc_pressed AND NOT has_spill AND memory_percent <> 0"
             f" AND memory_percent < {t.memory_underutilization_percent}D",
             severity=WARNING,
+            texts=texts.MEMORY_UNUSED,
             value="memory_percent",
-            title="Executor memory underutilized",
-            message="Peak memory usage is only {value:.0f}% of allocated — executors overprovisioned",
-            current_value="{value:.0f}% memory utilization",
-            recommended_value="Reduce spark.executor.memory to match actual usage + 20% buffer",
-            estimated_impact="Right-sizing executor memory frees cluster resources",
         )
     ]
 
 
 def aqe_not_enabled(t: Thresholds) -> list[Case]:
     """Adaptive execution off: by explicit choice where it is the default, else merely not opted in."""
-    shared = dict(
-        value="version",
-        current_value="spark.sql.adaptive.enabled = false",
-        recommended_value="spark.sql.adaptive.enabled = true",
-        estimated_impact="AQE auto-handles partition coalescing, skew joins, and broadcast threshold",
-    )
+    explicit = f"NOT aqe_enabled AND version >= {AQE_DEFAULT} AND aqe_explicit"
+    not_opted_in = f"NOT aqe_enabled AND version >= {AQE_INTRODUCED} AND version < {AQE_DEFAULT}"
     return [
-        Case(
-            when=f"NOT aqe_enabled AND version >= {AQE_DEFAULT} AND aqe_explicit",
-            severity=WARNING,
-            title="AQE explicitly disabled",
-            message="Adaptive Query Execution is disabled (enabled by default since Spark 3.2)",
-            **shared,
-        ),
-        Case(
-            when=f"NOT aqe_enabled AND version >= {AQE_INTRODUCED} AND version < {AQE_DEFAULT}",
-            severity=INFO,
-            title="AQE not enabled",
-            message="Consider enabling Adaptive Query Execution for automatic optimization",
-            **shared,
-        ),
+        Case(when=explicit, severity=WARNING, texts=texts.AQE_DISABLED, value="version"),
+        Case(when=not_opted_in, severity=INFO, texts=texts.AQE_NOT_ENABLED, value="version"),
     ]
 
 
@@ -314,14 +222,10 @@ def excessive_stages(t: Thresholds) -> list[Case]:
         Case(
             when=f"coalesce(array_size(repeated_names), 0) >= {t.min_duplicate_stages_for_warning}",
             severity=WARNING,
+            texts=texts.STAGES_REPEATED,
             value="array_size(repeated_names)",
             n="array_size(repeated_names)",
             s=quoted_list("repeated_names"),
-            title="Stages re-executed",
-            message="Stages re-executed: {s} — add .persist() to avoid recomputation",
-            current_value="{n} duplicate stage names",
-            recommended_value="Use .persist() or .cache() on reused DataFrames",
-            estimated_impact="Shorter lineage reduces recomputation risk and planning overhead",
         )
     ]
 

@@ -15,13 +15,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from fleetgauge.functions.text import array_of, fixed, format_bytes, literal, shortest
+from fleetgauge.plans.texts import Texts
 from fleetgauge.thresholds import Thresholds
 
 # Severities in order of urgency.
 SEVERITIES = ("CRITICAL", "WARNING", "INFO")
 CRITICAL, WARNING, INFO = range(len(SEVERITIES))
 
-TEXTS = ("title", "message", "current_value", "recommended_value", "estimated_impact")
+TEXTS = Texts._fields
 NUMBERS = ("value", "x", "y")
 COUNTS = ("n", "k")
 LABELS = ("s", "s2")
@@ -39,15 +40,11 @@ FINDING_COLUMNS = (
 
 @dataclass(frozen=True)
 class Case:
-    """One outcome of a rule. Templates may use ``{slot}``, ``{slot:.1f}``, ``{slot:float}``, ``{slot:bytes}``."""
+    """One outcome of a rule. Its texts may use ``{slot}``, ``{slot:.1f}``, ``{slot:float}``, ``{slot:bytes}``."""
 
     when: str
     severity: str | int
-    title: str
-    message: str
-    current_value: str = ""
-    recommended_value: str = ""
-    estimated_impact: str = ""
+    texts: Texts
     # replaces recommended_value when the job runs with adaptive execution
     recommended_if_aqe: str | None = None
     value: str = "NULL"
@@ -122,8 +119,8 @@ def evaluate(
     ).filter("hit IS NOT NULL")
 
     cases = [case for _, case in outcomes]
-    templates = {name: [getattr(case, name) for case in cases] for name in TEXTS}
-    when_adaptive = [case.recommended_if_aqe or case.recommended_value for case in cases]
+    templates = {name: [getattr(case.texts, name) for case in cases] for name in TEXTS}
+    when_adaptive = [case.recommended_if_aqe or case.texts.recommended_value for case in cases]
     used = _placeholders([t for texts in (*templates.values(), when_adaptive) for t in texts])
     # every placeholder is printed once per finding and shared by its texts
     slot_sql = lambda slot: slot if slot == "stage_id" else f"hit.{slot}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fleetgauge.functions.scalars import gc_time_percent, skew_ratio
+from fleetgauge.plans import texts
 from fleetgauge.plans.rule_model import CRITICAL, INFO, WARNING, Case, Rule
 from fleetgauge.thresholds import GIB, MIB, Thresholds
 
@@ -24,24 +25,18 @@ def data_skew(t: Thresholds) -> list[Case]:
         Case(
             when=f"task_count >= {t.min_task_count_for_skew} AND {ratio} >= {t.skew_warning_ratio}D",
             severity=_graded(f"{ratio} > {t.skew_critical_ratio}D"),
+            texts=texts.DATA_SKEW,
+            recommended_if_aqe=texts.DATA_SKEW_DESPITE_AQE,
             value=ratio,
             x="dist.executor_run_time.max",
             y="dist.executor_run_time.median",
             n=_saved_percent(ratio),
-            title="Data skew in Stage {stage_id}",
-            message="Max task duration ({x:float}ms) is {value:.1f}x the median ({y:float}ms)",
-            current_value="skew ratio {value:.1f}x",
-            recommended_value=(
-                "Enable AQE: spark.sql.adaptive.enabled=true, spark.sql.adaptive.skewJoin.enabled=true"
-            ),
-            recommended_if_aqe="AQE is enabled but skew persists — consider salting the join key",
-            estimated_impact="Stage {stage_id} duration could decrease ~{n}%",
         )
     ]
 
 
 def spill_to_disk(t: Thresholds) -> list[Case]:
-    """Intermediate data that did not fit in memory."""
+    """Intermediate data that did not fit in memory; hardly any of it, next to the input, is only a note."""
     gigabytes = f"(spill_disk_bytes / {GIB}.0D)"
     negligible = f"input_bytes > 0 AND try_divide(spill_disk_bytes, input_bytes) < {t.spill_negligible_ratio}D"
     return [
@@ -49,12 +44,8 @@ def spill_to_disk(t: Thresholds) -> list[Case]:
             when="spill_disk_bytes <> 0",
             severity=f"CASE WHEN {negligible} THEN {INFO} WHEN {gigabytes} > {t.spill_critical_gb}D THEN {CRITICAL}"
             f" WHEN {gigabytes} > {t.spill_warning_gb}D THEN {WARNING} ELSE {INFO} END",
+            texts=texts.SPILL_TO_DISK,
             value=gigabytes,
-            title="Disk spill in Stage {stage_id}",
-            message="{value:.1f} GB spilled to disk — data doesn't fit in memory",
-            current_value="{value:.1f} GB spill",
-            recommended_value="Increase spark.executor.memory or spark.sql.shuffle.partitions",
-            estimated_impact="Eliminating spill can speed up stage 2-10x",
         )
     ]
 
@@ -66,13 +57,9 @@ def gc_pressure(t: Thresholds) -> list[Case]:
         Case(
             when=f"sum_run_ms >= {t.gc_min_stage_runtime_ms} AND {percent} >= {t.gc_warning_percent}D",
             severity=_graded(f"{percent} > {t.gc_critical_percent}D"),
+            texts=texts.GC_PRESSURE.given(target=f"{t.gc_target_percent:.0f}"),
             value=percent,
             n=f"bigint({percent} - {t.gc_target_percent}D)",
-            title="High GC pressure in Stage {stage_id}",
-            message="GC time is {value:.0f}% of total task time",
-            current_value="{value:.0f}% GC time",
-            recommended_value="Increase executor memory or reduce data cached per task",
-            estimated_impact=f"Reducing GC to <{t.gc_target_percent:.0f}% could save ~{{n}}% stage time",
         )
     ]
 
@@ -83,13 +70,10 @@ def task_failures(t: Thresholds) -> list[Case]:
         Case(
             when=f"failed_tasks >= {t.task_failure_warning_count}",
             severity=_graded(f"failed_tasks >= {t.task_failure_critical_count}"),
+            texts=texts.TASK_FAILURES,
             value="failed_tasks",
             n="failed_tasks",
             k="task_count",
-            title="Task failures in Stage {stage_id}",
-            message="{n} of {k} tasks failed",
-            current_value="{n} failed tasks",
-            recommended_value="Check executor logs for OOM or fetch failures",
         )
     ]
 
@@ -103,14 +87,10 @@ def small_files(t: Thresholds) -> list[Case]:
         Case(
             when=f"NOT {READS_ONLY_SHUFFLE} AND {per_task} <> 0 AND {per_task} < {t.small_file_threshold_bytes}",
             severity=_graded(f"{per_task} < {t.small_file_critical_bytes}"),
+            texts=texts.SMALL_FILES,
             value=per_task,
             x=f"{per_task} / {MIB}.0D",
             n="task_count",
-            title="Small input partitions in Stage {stage_id}",
-            message="Input per task is {x:.1f} MB across {n} tasks",
-            current_value="{x:.1f} MB/task, {n} tasks",
-            recommended_value="Use coalesce() or increase spark.sql.files.maxPartitionBytes",
-            estimated_impact="Reducing task count cuts scheduler overhead and improves throughput",
         )
     ]
 
@@ -119,28 +99,19 @@ def shuffle_data_volume(t: Thresholds) -> list[Case]:
     """Shuffle output out of proportion to the input, or huge in itself; the ratio wins when both hold."""
     gigabytes = f"(shuffle_write_bytes / {GIB}.0D)"
     ratio = "try_divide(shuffle_write_bytes, input_bytes)"
-    shared = dict(
-        severity=WARNING,
-        title="High shuffle volume in Stage {stage_id}",
-        recommended_value="Use bucketing, pre-partition data, or reduce shuffle with broadcast joins",
-        estimated_impact="Reduce disk I/O and network transfer",
-    )
     return [
         Case(
             when=f"input_bytes > 0 AND {ratio} > {t.shuffle_ratio_warning}D",
+            severity=WARNING,
+            texts=texts.SHUFFLE_RATIO,
             value=ratio,
             x=gigabytes,
-            message="Stage writes {x:.1f} GB shuffle data ({value:.1f}x of input)"
-            " — consider pre-partitioning or bucketing",
-            current_value="{x:.1f} GB shuffle write, {value:.1f}x input ratio",
-            **shared,
         ),
         Case(
             when=f"{gigabytes} > {t.shuffle_volume_absolute_gb}D",
+            severity=WARNING,
+            texts=texts.SHUFFLE_VOLUME,
             value=gigabytes,
-            message="Stage writes {value:.1f} GB shuffle data — consider pre-partitioning or bucketing",
-            current_value="{value:.1f} GB shuffle write",
-            **shared,
         ),
     ]
 
@@ -154,15 +125,11 @@ def input_data_skew(t: Thresholds) -> list[Case]:
             when=f"task_count >= {t.min_task_count_for_skew} AND NOT {READS_ONLY_SHUFFLE}"
             f" AND {read}.median <> 0 AND {ratio} >= {t.input_skew_warning_ratio}D",
             severity=_graded(f"{ratio} >= {t.input_skew_critical_ratio}D"),
+            texts=texts.INPUT_SKEW,
             value=ratio,
             x=f"{read}.max",
             y=f"{read}.median",
             n=_saved_percent(ratio),
-            title="Input data skew in Stage {stage_id}",
-            message="Max task input ({x:bytes}) is {value:.1f}x the median ({y:bytes})",
-            current_value="input skew ratio {value:.1f}x",
-            recommended_value="Repartition input data or use salting to distribute evenly",
-            estimated_impact="Stage {stage_id} tasks could run ~{n}% faster",
         )
     ]
 
