@@ -90,6 +90,7 @@ ATTEMPT = _struct(
 APPLICATION = _struct(id=TEXT, name=TEXT, driverHost=TEXT, attempts=T.ArrayType(ATTEMPT))
 ENVIRONMENT = _struct(sparkProperties=T.ArrayType(T.ArrayType(TEXT)))
 HISTORY_STAGE = _struct(
+    status=TEXT,
     stageId=BIG,
     attemptId=BIG,
     name=TEXT,

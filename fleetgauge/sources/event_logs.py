@@ -20,7 +20,8 @@ GZIP_NAME = r"(?i)\.gz(\.|$)"
 BLOCK_NAME = r"(?i)\.(lz4|snappy)$"
 ZSTD_NAME = r"(?i)\.zstd?$"
 LINE_COLUMNS = ("log_path", "ord_block", "ord_row", "value")
-LINES_SCHEMA = "log_path string, ord_block bigint, ord_row bigint, value string"
+LINES_SCHEMA = "log_path string, ord_block bigint, value string"
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 LINES_PER_BATCH = 10_000
 
 
@@ -55,12 +56,17 @@ def scan_event_log(spark: SparkSession, path: str) -> DataFrame:
     Plain, ``.gz``, ``.zst`` and ``.zstd`` files go through the text reader, which splits plain files;
     the others are decoded by :func:`scan_event_log_codec`.
     """
-    return number_rows(scan_text_logs(spark.read, path)).unionByName(scan_event_log_codec(spark, path))
+    return number_rows(scan_lines(spark.read, path))
+
+
+def scan_lines(reader, path: str) -> DataFrame:
+    """Lines of all logs, not numbered yet. ``reader`` is ``spark.read`` or ``spark.readStream``."""
+    return scan_text_logs(reader, path).unionByName(scan_event_log_codec(reader, path))
 
 
 def scan_text_logs(reader, path: str) -> DataFrame:
-    """Logs Hadoop can decode, without ``ord_row``. ``reader`` is ``spark.read`` or ``spark.readStream``."""
-    lines = reader.option("recursiveFileLookup", "true").text(path)
+    """Logs Hadoop can decode."""
+    lines = reader.format("text").schema("value string").option("recursiveFileLookup", "true").load(path)
     # a metadata filter prunes whole files from the listing
     readable = lines.filter(~needs_decoding(F.col("_metadata.file_name")))
     return readable.select(
@@ -68,21 +74,20 @@ def scan_text_logs(reader, path: str) -> DataFrame:
     )
 
 
+def scan_event_log_codec(reader, path: str) -> DataFrame:
+    """Logs that need decoding outside Hadoop's codecs; no other file is opened."""
+    files = reader.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(path)
+    chosen = files.filter(needs_decoding(F.col("_metadata.file_name")))
+    return decode_logs(chosen.select("path", "content"))
+
+
 def number_rows(lines: DataFrame) -> DataFrame:
     """Adds ``ord_row``, which grows with the position inside a file split. Must directly follow the scan."""
     return lines.withColumn("ord_row", F.monotonically_increasing_id()).select(*LINE_COLUMNS)
 
 
-def scan_event_log_codec(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the logs that need decoding outside Hadoop's codecs."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    # filtering on the metadata column keeps the other files from being opened
-    chosen = files.filter(needs_decoding(F.col("_metadata.file_name")))
-    return decode_logs(chosen.select("path", "content"))
-
-
 def decode_logs(files: DataFrame) -> DataFrame:
-    """Lines of compressed files given as (path, content).
+    """Lines of compressed files given as (path, content), in file order.
 
     These formats cannot be split, so one file is decoded by one task; frames are decoded as a
     stream and lines leave in batches.
@@ -115,16 +120,10 @@ def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             stream = _open_stream(path, memoryview(content.as_buffer()).cast("B"))
             lines = io.TextIOWrapper(stream, encoding="utf-8", newline="\n")
-            first = 0
             while chunk := [line.rstrip("\r\n") for _, line in zip(range(LINES_PER_BATCH), lines)]:
-                rows = range(first, first + len(chunk))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([path] * len(chunk), pa.string()),
-                        pa.array([0] * len(chunk), pa.int64()),
-                        pa.array(rows, pa.int64()),
-                        pa.array(chunk, pa.string()),
-                    ],
-                    names=list(LINE_COLUMNS),
-                )
-                first += len(chunk)
+                columns = [
+                    pa.array([path] * len(chunk), pa.string()),
+                    pa.array([0] * len(chunk), pa.int64()),
+                    pa.array(chunk, pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["log_path", "ord_block", "value"])

@@ -49,8 +49,10 @@ def scan_payload(spark: SparkSession, root: str, kind: str, multi_line: bool = T
 
 
 def scan_history_json(spark: SparkSession, root: str, multi_line: bool = True) -> HistoryPayloads:
-    """All payload kinds under ``root``; stages carry ``pos``, their order within the payload."""
+    """All payload kinds under ``root``; of the stages only complete ones, with ``pos``, their order within
+    the payload."""
     stages = scan_payload(spark, root, STAGES, multi_line).withColumn("pos", F.monotonically_increasing_id())
+    stages = stages.filter("coalesce(status, 'COMPLETE') = 'COMPLETE'").drop("status")
     return HistoryPayloads(
         applications=scan_payload(spark, root, APPLICATIONS, multi_line),
         environments=scan_payload(spark, root, ENVIRONMENTS, multi_line),

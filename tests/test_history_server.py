@@ -27,6 +27,7 @@ def saved(tmp_path):
         {"stageId": 1, "name": "first", "numTasks": 12, "executorRunTime": 120000, "jvmGcTime": 60000, "inputBytes": None},
         {"stageId": 2, "attemptId": 1, "numTasks": 10, "executorRunTime": 1000, "shuffleReadBytes": 7, "numKilledTasks": 3},
         {"stageId": 1, "attemptId": 0, "name": "tie", "numTasks": 99},
+        {"stageId": 2, "attemptId": 7, "name": "still running", "numTasks": 99, "status": "ACTIVE"},
     ])
     save(tmp_path, "taskSummary", "a1", [
         {"stageId": 2, "attemptId": 0, "executorRunTime": five(9, 9, 9, 9, 9)},
