@@ -264,7 +264,7 @@ def list_applications(
     ``newest`` is the column that orders applications, highest first. ``fetched`` counts the applications
     read for the page: at most offset + limit, not all there are.
     """
-    fetched = applications.orderBy(F.desc(newest), F.desc("id")).limit(offset + limit)
+    fetched = applications.limit(offset + limit)
     page = applications.orderBy(F.desc(newest), F.desc("id")).offset(offset).limit(limit)
     counts = count_by_app_ids(runs, page.select(F.col("id").alias("app_id")))
     latest = F.try_element_at("attempts", F.lit(-1))

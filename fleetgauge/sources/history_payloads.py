@@ -1,9 +1,11 @@
 """Saved History Server payloads.
 
-Layout: ``<root>/<kind>/app_id=<id>/<any>.json``, each file holding a payload exactly as the server
-returned it (an object, or an array of objects). ``app_id`` becomes a column through partition
-discovery, so reading one application touches only its files. Task summaries carry the stage and
-attempt they were asked for as ``stageId`` and ``attemptId``.
+Two layouts per kind. ``<root>/<kind>/app_id=<id>/<any>.json`` holds a payload exactly as the server
+returned it (an object, or an array of objects); ``app_id`` comes from the folder, so reading one
+application touches only its files. For whole fleets ``<root>/<kind>/<any>.json`` holds one object per
+line, each with an ``app_id`` field; such files split and there are few of them. Stages keep the order of
+their payload and therefore always use the first layout. Task summaries carry the stage and attempt they
+were asked for as ``stageId`` and ``attemptId``.
 """
 
 from __future__ import annotations
@@ -11,7 +13,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge import schemas as S
@@ -33,6 +34,10 @@ SCHEMAS = {
 }
 
 
+# Position of a row in its file: the split's first byte, then the row's rank within the partition.
+POSITION = "shiftleft(_metadata.file_block_start, 28) + (monotonically_increasing_id() & 268435455) AS pos"
+
+
 @dataclass(frozen=True)
 class HistoryPayloads:
     applications: DataFrame
@@ -43,7 +48,7 @@ class HistoryPayloads:
 
 
 def scan_payload(spark: SparkSession, root: str, kind: str, multi_line: bool = True) -> DataFrame:
-    """Rows of one payload kind. ``multi_line=False`` reads one payload per line, which splits large files."""
+    """Rows of one payload kind. ``multi_line=False`` reads one payload object per line."""
     schema = T.StructType([*SCHEMAS[kind].fields, T.StructField("app_id", T.StringType())])
     return spark.read.schema(schema).option("multiLine", multi_line).json(f"{root}/{kind}")
 
@@ -51,7 +56,7 @@ def scan_payload(spark: SparkSession, root: str, kind: str, multi_line: bool = T
 def scan_history_json(spark: SparkSession, root: str, multi_line: bool = True) -> HistoryPayloads:
     """All payload kinds under ``root``; of the stages only complete ones, with ``pos``, their order within
     the payload."""
-    stages = scan_payload(spark, root, STAGES, multi_line).withColumn("pos", F.monotonically_increasing_id())
+    stages = scan_payload(spark, root, STAGES, multi_line).selectExpr("*", POSITION)
     stages = stages.filter("coalesce(status, 'COMPLETE') = 'COMPLETE'").drop("status")
     return HistoryPayloads(
         applications=scan_payload(spark, root, APPLICATIONS, multi_line),

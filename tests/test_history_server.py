@@ -81,3 +81,21 @@ def test_quantile_slots(spark):
     df = spark.createDataFrame([(["1", "x", "3"],), ([],), (None,)], "s array<string>")
     rows = [tuple(r.q) for r in df.selectExpr(f"{hs_quantiles('s')} AS q").collect()]
     assert rows == [(1, 0, 3, 3, 3), (0,) * 5, (0,) * 5]
+
+
+def test_stage_order_survives_splits(spark, tmp_path):
+    folder = tmp_path / "stages" / "app_id=a"
+    folder.mkdir(parents=True)
+    ids = [(i * 7919) % 5000 for i in range(5000)]
+    (folder / "part.json").write_text("\n".join(json.dumps({"stageId": i, "name": "n" * 40}) for i in ids))
+    for kind in ("applications", "environment", "taskSummary", "executors"):
+        save(tmp_path, kind, "a", {"id": "a", "stageId": 0})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 16 * 1024)
+    try:
+        stages = scan_history_json(spark, str(tmp_path), multi_line=False).stages
+        assert stages.rdd.getNumPartitions() > 3
+        rows = stages.orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.stageId for r in rows] == ids

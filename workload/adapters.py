@@ -424,26 +424,25 @@ def supplier_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _write_payloads(spark: SparkSession, sf_dir: str, path: str) -> None:
-    def save(kind: str, df: DataFrame, app: str, value: str, ord: str = "0") -> None:
-        lines = df.selectExpr(f"{app} AS app_id", f"{ord} AS ord", f"to_json({value}) AS value")
-        placed = lines.repartition("app_id").sortWithinPartitions("app_id", "ord")
-        placed.select("app_id", "value").write.partitionBy("app_id").text(f"{path}/{kind}")
+    def save(kind: str, df: DataFrame, app: str, fields: str) -> None:
+        """One object per line, with the application in it."""
+        df.selectExpr(f"to_json(named_struct('app_id', {app}, {fields}))").write.text(f"{path}/{kind}")
 
     apps = supplier_applications(spark, sf_dir)
-    save("applications", apps, "id", "struct(id, name, attempts)")
+    save("applications", apps, "id", "'id', id, 'name', name, 'attempts', attempts")
     # a short pair is skipped and a repeated key takes its last value
     pairs = (
         f"concat(transform(map_entries({supplier_config()}), e -> array(e.key, e.value)),"
         " array(array('spark.only.key'), array('spark.app.tag', concat('late ', id))))"
     )
-    save("environment", apps, "id", f"named_struct('sparkProperties', {pairs})")
+    save("environment", apps, "id", f"'sparkProperties', {pairs}")
     executor = (
-        "named_struct('id', if(i = 0, 'driver', string(i)), 'maxMemory', k * 100 + i, 'totalDuration', k * 10 + i,"
+        "'id', if(i = 0, 'driver', string(i)), 'maxMemory', k * 100 + i, 'totalDuration', k * 10 + i,"
         " 'totalGCTime', k + i, 'totalShuffleRead', k * 3 + i, 'totalShuffleWrite', k * 2 + i,"
         " 'failedTasks', k % 4 + i, 'totalCores', 4,"
-        " 'peakMemoryMetrics', if(k % 2 = 0, named_struct('JVMHeapMemory', k * 50 + i), NULL))"
+        " 'peakMemoryMetrics', if(k % 2 = 0, named_struct('JVMHeapMemory', k * 50 + i), NULL)"
     )
-    save("executors", apps.selectExpr("id", "k", "explode(sequence(0, 3)) AS i"), "id", executor, "i")
+    save("executors", apps.selectExpr("id", "k", "explode(sequence(0, 3)) AS i"), "id", executor)
 
     attempts = payload_stages(spark, sf_dir)
     stage = (
@@ -454,16 +453,16 @@ def _write_payloads(spark: SparkSession, sf_dir: str, path: str) -> None:
         " 'diskBytesSpilled', if(spill_disk_bytes > 0, spill_disk_bytes, NULL),"
         " 'numFailedTasks', failed, 'inputBytes', input_bytes)"
     )
-    # listed by attempt, then by descending stage
-    order = "attempt * 100 - stage_id"
-    save("stages", attempts, "app_id", stage, order)
+    # the order of stages matters: one file per application, listed by attempt, then by descending stage
+    lines = attempts.selectExpr("app_id", "attempt * 100 - stage_id AS ord", f"to_json({stage}) AS value")
+    placed = lines.repartition("app_id").sortWithinPartitions("app_id", "ord")
+    placed.select("app_id", "value").write.partitionBy("app_id").text(f"{path}/stages")
     # stage 1 has no summary; stage 2 reports a short array
     summary = (
-        "named_struct('stageId', stage_id, 'attemptId', attempt,"
-        " 'executorRunTime', if(stage_id = 2, slice(run_q, 1, 3), run_q),"
-        " 'executorCpuTime', transform(run_q, v -> v * 1000), 'inputMetrics', named_struct('bytesRead', input_q))"
+        "'stageId', stage_id, 'attemptId', attempt, 'executorRunTime', if(stage_id = 2, slice(run_q, 1, 3), run_q),"
+        " 'executorCpuTime', transform(run_q, v -> v * 1000), 'inputMetrics', named_struct('bytesRead', input_q)"
     )
-    save("taskSummary", attempts.filter("stage_id <> 1"), "app_id", summary, order)
+    save("taskSummary", attempts.filter("stage_id <> 1"), "app_id", summary)
 
 
 def payload_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
