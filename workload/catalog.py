@@ -12,7 +12,7 @@ from fleetgauge.functions import scalars as X
 from fleetgauge.functions.explain import DESCRIPTIONS, assess_metric, explain_metric
 from fleetgauge.functions.text import array_of, format_bytes, literal
 from fleetgauge.operators import dedup, events, findings, history_server, metrics, run_history, run_state
-from fleetgauge.plans.analyze import analyze_jobs, Fleet, fold_event_logs, fold_history
+from fleetgauge.plans.analyze import Fleet, analyze_jobs, fold_history
 from fleetgauge.plans.rules import BUILT_IN, evaluate_rules
 from fleetgauge.schemas import EXECUTOR_COLUMNS, STAGE_TOTALS
 from fleetgauge.sources import event_logs, runs as run_source
@@ -656,8 +656,6 @@ def parse_memory_mb(spark: SparkSession, sf: str) -> DataFrame:
     return texts.selectExpr("p_partkey", "text", f"{X.parse_memory_mb('text')} AS mb")
 
 
-# sizes from bytes to petabytes
-SIZE_SQL = "CAST(l_extendedprice * pow(1000, l_linenumber - 1) AS BIGINT)"
 
 
 @query(
