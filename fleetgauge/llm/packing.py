@@ -163,7 +163,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     open. Other columns are ignored; an empty table gives no rows.
     """
     configure(docs.sparkSession)
-    pieces = number_within_length(token_pieces(docs, vocabulary or default_vocabulary(), capacity))
+    # written first: range sorting samples its input, and the texts are encoded only once
+    pieces = written(token_pieces(docs, vocabulary or default_vocabulary(), capacity), "tokens")
+    pieces = number_within_length(pieces)
     # at most one row for each length in a partition, summed up to one for each length
     held = pieces.groupBy("length", "part").count()
     held = written(held, "held")
