@@ -147,3 +147,19 @@ def hash_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
 def leading_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The place of each signed 64-bit hash in a bitmap of 2^bits flags."""
     return hashes.astype(np.int64, copy=False).view(np.uint64) >> np.uint64(64 - bits)
+
+
+def spanning_links(linked: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the linked pairs connect, fewer than there are vectors."""
+    rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+    inner = linked[np.ix_(rows, columns)]
+    left, right = a_ids[rows], b_ids[columns]
+    low_left, low_right = left.copy(), right.copy()
+    big = np.iinfo(np.int64).max
+    while True:
+        new_right = np.minimum(low_right, np.where(inner, low_left[:, None], big).min(axis=0))
+        new_left = np.minimum(low_left, np.where(inner, new_right[None, :], big).min(axis=1))
+        if (new_left == low_left).all() and (new_right == low_right).all():
+            break
+        low_left, low_right = new_left, new_right
+    return [(int(x), int(y)) for x, y in zip(np.append(left, right), np.append(low_left, low_right)) if x != y]

@@ -2,14 +2,16 @@
 
 Equal sets are one set from the start. Shingles have one global order, rarest first, and a set is filed under a prefix of
 its shingles just long enough that two similar sets share one (the order needs no exact counts: it goes by a sketch
-of fixed size that is added up over the whole corpus, then by hash). The lists of the index are answered in two rounds:
-
-1. In every list, sets of similar size are compared with one of them, the head. Copies and near copies of a set, however
-   many, so cost one comparison each, and fall into one component.
-2. What is left are sets of different components in one list. A list is cut into blocks of equal set size and position
-   of the shingle. How many shingles can still match after that position bounds the overlap, so whole pairs of blocks are
+of fixed size that is added up over the whole corpus, then by hash). The lists of the index are answered in two steps:
+
+1. In every list, sets of similar size are compared with a few of them, the heads, in a few rounds; later heads are those
+   that most sets turned out to link to. Near copies of a set, however many, cost a few comparisons each, and fall into
+   one component.
+2. What is left are sets of different components in one list. Those compared with the same pivot, the best head, are
+   compared block by block, as products of small matrices that give out links, never pairs. For the others, a list is
+   cut into blocks of equal set size and position of the shingle. How many shingles can still match after that position bounds the overlap, so whole pairs of blocks are
    skipped, as are those within one component. For the other pairs, the overlaps with a common head, known from
-   round 1, bound their own from both sides: a set's answers follow from those of a highly similar one. Only pairs between the
+   step 1, bound their own from both sides: a set's answers follow from those of a highly similar one. Only pairs between the
    bounds are compared.
 
 Every pair that links is found directly or lies in a component already, so components are exact (up to collisions of
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.shared import configure, hash_bitmap, leading_bits, per_batch, smallest_reachable, written
+from fleetgauge.llm.shared import block_of, configure, drop_written, hash_bitmap, leading_bits, per_batch, smallest_reachable, spanning_links, written
 
 SHINGLE_WORDS = 3
 # Similarity as a fraction of whole numbers, so that no rounding decides.
@@ -34,6 +36,9 @@ NUMERATOR, DENOMINATOR = 90, 100
 SKETCH_BITS = 20
 SLICES = 256
 FILTER_BITS = 24
+# Rounds of comparisons with heads, and heads of a list in the first one.
+HEAD_ROUNDS, FIRST_HEADS = 2, 3
+BLOCK_ROWS = 64
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -166,54 +171,39 @@ def prefix_index(docs: DataFrame, sketch: np.ndarray, size: int, bits: int) -> D
     return docs.select("text").mapInArrow(run, "token bigint, sid bigint, n bigint, pos bigint")
 
 
-def needed_overlap(a: Column | str, b: Column | str) -> str:
+def needed_overlap(a: str, b: str) -> str:
     """SQL for the smallest overlap at which sets of sizes ``a`` and ``b`` link."""
     total = NUMERATOR + DENOMINATOR
     return f"(({NUMERATOR} * ({a} + {b}) + {total - 1}) DIV {total})"
 
 
 def shingles_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``sid, shingles`` of the wanted sets, read from one document each.
+    """``sid, shingles`` of the wanted sets, read from one document each; some others may come with them.
 
-    A bitmap of fixed size keeps most other documents' sets from being made; the join drops the rest.
+    A bitmap of fixed size keeps most other documents' sets from being made, so nothing is shuffled here.
     """
-    chosen = reps.join(wanted.distinct(), "sid").select("sid", "doc_id")
-    chosen = written(chosen.withColumn("mark", F.xxhash64("doc_id")), "wanted")
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(hash_bitmap(chosen.select("mark"), FILTER_BITS)))
+    chosen = reps.join(wanted.distinct(), "sid").select(F.xxhash64("doc_id").alias("mark"))
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(hash_bitmap(chosen, FILTER_BITS)))
 
     def make():
         flags = np.unpackbits(sent.value).astype(bool)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             kept = np.flatnonzero(flags[leading_bits(batch.column("mark").to_numpy(), FILTER_BITS)])
-            texts = batch.column("text").take(pa.array(kept, pa.int64())).to_pylist()
+            sets = [shingle_set(t, size) for t in batch.column("text").take(pa.array(kept, pa.int64())).to_pylist()]
+            sets = [s for s in sets if len(s)]
             return pa.record_batch(
                 {
-                    "doc_id": batch.column("doc_id").take(pa.array(kept, pa.int64())),
-                    "shingles": pa.array([shingle_set(t, size).tobytes() for t in texts], pa.binary()),
+                    "sid": pa.array([set_id(s) for s in sets], pa.int64()),
+                    "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
                 }
             )
 
         return step
 
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    made = per_batch(rows.withColumn("mark", F.xxhash64("doc_id")), "doc_id bigint, shingles binary", make)
-    made = made.join(chosen.select("sid", "doc_id"), "doc_id").select("sid", "shingles")
-    # a repeated id may have other texts: only the set that was asked for counts
-    return written(_checked(made).dropDuplicates(["sid"]), "shingles")
-
-
-def _checked(made: DataFrame) -> DataFrame:
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sids = batch.column("sid").to_pylist()
-            right = [set_id(np.frombuffer(s, np.uint64)) == i for i, s in zip(sids, batch.column("shingles").to_pylist())]
-            return batch.filter(pa.array(right, pa.bool_()))
-
-        return step
-
-    return per_batch(made, "sid bigint, shingles binary", make)
+    rows = rows.select("text", F.xxhash64(F.col("doc_id").cast("bigint")).alias("mark"))
+    return written(per_batch(rows, "sid bigint, shingles binary", make), "shingles")
 
 
 def overlaps(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
@@ -248,37 +238,139 @@ def overlaps(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
 LINKS = f"{DENOMINATOR} * o >= {NUMERATOR} * (na + nb - o)"
 
 
-def head_pairs(index: DataFrame) -> DataFrame:
-    """``a, b``: every set with the head of each list among sets of its size band, and heads of adjacent bands."""
-    band = F.floor(F.log("n") / np.log(DENOMINATOR / NUMERATOR))
-    banded = index.select("token", "sid", "n", band.alias("band"))
-    heads = banded.groupBy("token", "band").agg(F.min("sid").alias("head"))
-    own = banded.join(heads, ["token", "band"]).filter("sid <> head").selectExpr("sid AS a", "head AS b")
-    lower = heads.selectExpr("token", "band + 1 AS band", "head AS lower")
-    between = heads.join(lower, ["token", "band"]).filter("head <> lower").selectExpr("head AS a", "lower AS b")
-    return own.union(between).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+def may_link(a: str, b: str) -> str:
+    """SQL: whether sets with a shingle in common, after which ``n - pos`` more can match, can still link."""
+    return (
+        f"{DENOMINATOR} * least({a}_n, {b}_n) >= {NUMERATOR} * greatest({a}_n, {b}_n)"
+        f" AND 1 + least({a}_n - {a}_pos, {b}_n - {b}_pos) >= {needed_overlap(f'{a}_n', f'{b}_n')}"
+    )
 
 
-def open_pairs(index: DataFrame, components: DataFrame) -> DataFrame:
-    """``a, b, na, nb``: pairs of different components that the blocks of some list do not rule out."""
-    labelled = index.join(components.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
+def mixed_lists(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """``token, sid, n, pos, component`` of the lists that hold sets of several components."""
+    labelled = lists.join(components.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "component", F.coalesce("component", "sid")
     )
-    lists = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = labelled.join(lists.filter("lo < hi").select("token"), "token", "left_semi")
-    mixed = written(mixed, "mixed-lists")
-    blocks = mixed.groupBy("token", "n", "pos").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    small = blocks.select("token", *[F.col(c).alias(f"a_{c}") for c in ("n", "pos", "lo", "hi")])
-    large = blocks.select("token", *[F.col(c).alias(f"b_{c}") for c in ("n", "pos", "lo", "hi")])
+    ends = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return written(labelled.join(ends.filter("lo < hi").select("token"), "token", "left_semi"), "mixed-lists")
+
+
+def head_pairs(entries: DataFrame, orders: list[Column]) -> DataFrame:
+    """``a, b``: every entry with the heads of its list that may link to it and are of another component.
+
+    A list has a head for each order and band of set sizes; a set meets the heads of its own band and the next ones.
+    """
+    banded = entries.withColumn("band", F.floor(F.log("n") / np.log(DENOMINATOR / NUMERATOR)))
+    picks = [F.max(F.struct(order.alias("first"), "sid", "n", "pos", "component")) for order in orders]
+    heads = banded.groupBy("token", "band").agg(F.array(*picks).alias("heads"))
+    heads = heads.select("token", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), F.explode("heads").alias("h"))
+    heads = heads.selectExpr("token", "band", "h.sid AS b", "h.n AS b_n", "h.pos AS b_pos", "h.component AS cb").distinct()
+    entries = banded.selectExpr("token", "band", "sid AS a", "n AS a_n", "pos AS a_pos", "component AS ca")
+    pairs = entries.join(heads, ["token", "band"]).filter("ca <> cb").filter(may_link("a", "b"))
+    return pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+
+
+def pivots_of(known: DataFrame) -> DataFrame:
+    """``sid, pivot``: of a set and those compared with it, the one that most sets link to."""
+    sided = known.selectExpr("a AS sid", "b AS p").union(known.selectExpr("b AS sid", "a AS p"))
+    linked = known.filter(LINKS)
+    ends = linked.selectExpr("a AS p").union(linked.selectExpr("b AS p")).groupBy("p").count()
+    sided = sided.union(sided.selectExpr("sid", "sid AS p").distinct()).join(ends, "p", "left")
+    best = sided.groupBy("sid").agg(F.max(F.struct(F.coalesce("count", F.lit(0)).alias("links"), "p")).alias("best"))
+    return best.selectExpr("sid", "best.p AS pivot")
+
+
+def pivot_units(members: DataFrame, shingles: DataFrame, block_rows: int) -> DataFrame:
+    """``members`` of each unit: a block of the sets outside the pivot's largest component, and a block of any sets."""
+    parts = members.groupBy("pivot", "component").count()
+    largest = parts.groupBy("pivot").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("n_all"))
+    sizes = largest.filter("top.count < n_all").select(
+        "pivot",
+        F.col("top.component").alias("main"),
+        F.ceil((F.col("n_all") - F.col("top.count")) / block_rows).alias("left_blocks"),
+        F.ceil(F.col("n_all") / block_rows).alias("right_blocks"),
+    )
+    rows = members.join(sizes, "pivot")
+    left = rows.filter("component <> main").select(
+        "pivot", "sid", "component", F.lit(True).alias("left"),
+        block_of(F.col("sid"), F.col("left_blocks")).alias("left_block"),
+        F.explode(F.expr("sequence(0L, right_blocks - 1)")).alias("right_block"),
+    )
+    right = rows.select(
+        "pivot", "sid", "component", F.lit(False).alias("left"),
+        F.explode(F.expr("sequence(0L, left_blocks - 1)")).alias("left_block"),
+        block_of(F.col("sid"), F.col("right_blocks")).alias("right_block"),
+    )
+    both = left.union(right).join(shingles.dropDuplicates(["sid"]), "sid")
+    # two blocks at most meet in a unit, so its list is bounded
+    row = F.struct("left", "sid", "component", "shingles")
+    return both.groupBy("pivot", "left_block", "right_block").agg(F.collect_list(row).alias("members")).select("members")
+
+
+def overlap_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap of every left set with every right one, by products of the incidence matrices of shared shingles."""
+    sets = left + right
+    lengths = [len(s) for s in sets]
+    flat = np.concatenate(sets)
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[number] > 1
+    number, owner = number[shared], np.repeat(np.arange(len(sets)), lengths)[shared]
+    _, number = np.unique(number, return_inverse=True)
+    total = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    top = int(number[-1]) + 1 if len(number) else 0
+    for start in range(0, top, 8192):
+        low, high = np.searchsorted(number, [start, start + 8192])
+        incidence = np.zeros((len(sets), 8192), np.float32)
+        incidence[owner[low:high], number[low:high] - start] = 1
+        total += incidence[: len(left)] @ incidence[len(left) :].T
+    return total.astype(np.int64)
+
+
+def unit_links(units: DataFrame) -> DataFrame:
+    """``a, b``: links that connect what links between different components within the units connect."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            links: list[tuple[int, int]] = []
+            for members in batch.column("members"):
+                rows = members.values
+                side = rows.field("left").to_numpy(zero_copy_only=False).astype(bool)
+                sid, component = rows.field("sid").to_numpy(), rows.field("component").to_numpy()
+                sets = [np.frombuffer(s, np.uint64) for s in rows.field("shingles").to_pylist()]
+                left, right = np.flatnonzero(side), np.flatnonzero(~side)
+                if not len(left) or not len(right):
+                    continue
+                o = overlap_matrix([sets[i] for i in left], [sets[i] for i in right])
+                n = np.array([len(s) for s in sets])
+                together = n[left][:, None] + n[right][None, :] - o
+                linked = (DENOMINATOR * o >= NUMERATOR * together) & (component[left][:, None] != component[right][None, :])
+                if linked.any():
+                    links += spanning_links(linked, sid[left], sid[right])
+            a, b = zip(*links) if links else ((), ())
+            return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        return step
+
+    return per_batch(units, "a bigint, b bigint", make)
+
+
+def open_pairs(mixed: DataFrame, pivots: DataFrame) -> DataFrame:
+    """``a, b, na, nb``: pairs of different components and pivots that the blocks of some list do not rule out."""
+    mixed = written(mixed.join(pivots, "sid", "left").withColumn("pivot", F.coalesce("pivot", "sid")), "open-lists")
+    blocks = mixed.groupBy("token", "n", "pos", "pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    small = blocks.select("token", *[F.col(c).alias(f"a_{c}") for c in ("n", "pos", "pivot", "lo", "hi")])
+    large = blocks.select("token", *[F.col(c).alias(f"b_{c}") for c in ("n", "pos", "pivot", "lo", "hi")])
     kept = small.join(large, "token").filter(
-        f"{DENOMINATOR} * a_n >= {NUMERATOR} * b_n AND (a_n < b_n OR a_n = b_n AND a_pos <= b_pos)"
-        f" AND 1 + least(a_n - a_pos, b_n - b_pos) >= {needed_overlap('a_n', 'b_n')}"
+        f"{may_link('a', 'b')} AND struct(a_n, a_pos, a_pivot) < struct(b_n, b_pos, b_pivot) AND a_pivot <> b_pivot"
         " AND NOT (a_lo = a_hi AND b_lo = b_hi AND a_lo = b_lo)"
     )
-    kept = kept.select("token", "a_n", "a_pos", "b_n", "b_pos")
-    first = mixed.selectExpr("token", "n AS a_n", "pos AS a_pos", "sid AS a", "component AS ca")
-    second = mixed.selectExpr("token", "n AS b_n", "pos AS b_pos", "sid AS b", "component AS cb")
-    pairs = kept.join(first, ["token", "a_n", "a_pos"]).join(second, ["token", "b_n", "b_pos"]).filter("ca <> cb")
+    kept = kept.select("token", "a_n", "a_pos", "a_pivot", "b_n", "b_pos", "b_pivot")
+    first = mixed.selectExpr("token", "n AS a_n", "pos AS a_pos", "pivot AS a_pivot", "sid AS a", "component AS ca")
+    second = mixed.selectExpr("token", "n AS b_n", "pos AS b_pos", "pivot AS b_pivot", "sid AS b", "component AS cb")
+    pairs = kept.join(first, ["token", "a_n", "a_pos", "a_pivot"])
+    pairs = pairs.join(second, ["token", "b_n", "b_pos", "b_pivot"]).filter("ca <> cb")
     return pairs.selectExpr(
         "least(a, b) AS a", "greatest(a, b) AS b", "if(a < b, a_n, b_n) AS na", "if(a < b, b_n, a_n) AS nb"
     ).distinct()
@@ -303,6 +395,14 @@ def derived(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return bounds.select("a", "b", F.expr(f"CASE WHEN low >= {need} THEN true WHEN top < {need} THEN false END").alias("verdict"))
 
 
+def joined_components(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after further links."""
+    if links.isEmpty():
+        return components
+    spanning = components.filter("node <> component").selectExpr("node AS a", "component AS b")
+    return written(smallest_reachable(links.select("a", "b").union(spanning)), "components")
+
+
 def shingle_components(docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
 
@@ -319,21 +419,44 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = S
 
     index = written(prefix_index(docs, sketch, size, bits), "index")
     shared = index.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
-    index = written(index.join(shared.filter("lo < hi").select("token"), "token", "left_semi").distinct(), "lists")
-
-    pairs = written(head_pairs(index), "head-pairs")
-    found = shingles_of(docs, reps, pairs.selectExpr("a AS sid").union(pairs.selectExpr("b AS sid")), size)
-    known = written(overlaps(pairs, found), "overlaps")
-    components = written(smallest_reachable(known.filter(LINKS).select("a", "b")), "components")
-
-    settled = written(derived(open_pairs(index, components), known), "settled")
+    lists = written(index.join(shared.filter("lo < hi").select("token"), "token", "left_semi").distinct(), "lists")
+    drop_written(index)
+
+    known = docs.sparkSession.createDataFrame([], "a bigint, b bigint, na bigint, nb bigint, o bigint")
+    components = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+    mixed = mixed_lists(lists, components)
+    for number in range(HEAD_ROUNDS):
+        linked = known.filter(LINKS)
+        if number == 0:
+            entries, orders = mixed, [F.xxhash64("sid", F.lit(seed)) for seed in range(FIRST_HEADS)]
+        else:
+            # the best heads are the sets most of those compared with them link to
+            ends = linked.selectExpr("a AS sid").union(linked.selectExpr("b AS sid")).groupBy("sid").count()
+            entries, orders = mixed.join(ends, "sid", "left"), [F.coalesce("count", F.lit(0))]
+        pairs = head_pairs(entries, orders).join(known.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = written(pairs, "head-pairs")
+        found = shingles_of(docs, reps, pairs.selectExpr("a AS sid").union(pairs.selectExpr("b AS sid")), size)
+        known = written(known.union(overlaps(pairs, found)), "overlaps")
+        components = written(smallest_reachable(known.filter(LINKS).select("a", "b")), "components")
+        mixed = mixed_lists(lists, components)
+
+    # sets with one pivot are compared in blocks, those outside the largest component with all
+    pivots = written(pivots_of(known), "pivots")
+    members = mixed.select("sid", "component").distinct().join(pivots, "sid")
+    members = written(members, "pivot-members")
+    several = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    members = members.join(several.select("pivot"), "pivot", "left_semi")
+    found = shingles_of(docs, reps, members.select("sid"), size)
+    more = written(unit_links(pivot_units(members, found, BLOCK_ROWS)), "pivot-links")
+    components = joined_components(components, more)
+    mixed = mixed_lists(lists, components)
+
+    open_ = open_pairs(mixed, pivots).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    settled = written(derived(open_, known), "settled")
     unsure = settled.filter("verdict IS NULL").select("a", "b")
     found = shingles_of(docs, reps, unsure.selectExpr("a AS sid").union(unsure.selectExpr("b AS sid")), size)
     more = overlaps(unsure, found).filter(LINKS).select("a", "b").union(settled.filter("verdict").select("a", "b"))
-    more = written(more, "more-links")
-    if not more.isEmpty():
-        links = more.union(components.filter("node <> component").selectExpr("node AS a", "component AS b"))
-        components = written(smallest_reachable(links), "components")
+    components = joined_components(components, written(more, "more-links"))
 
     groups = reps.join(components.withColumnRenamed("node", "sid"), "sid", "left").select(
         "sid", "doc_id", F.coalesce("component", "sid").alias("component")

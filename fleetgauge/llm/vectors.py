@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.shared import block_of, configure, per_batch, smallest_reachable, written
+from fleetgauge.llm.shared import block_of, configure, per_batch, smallest_reachable, spanning_links, written
 
 BITS, TABLES = 64, 4
 PART = BITS // TABLES
@@ -179,22 +179,6 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, tab: int, b_home: np.ndarray, a
     return counted
 
 
-def _local_components(linked: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the linked pairs connect, fewer than there are vectors."""
-    rows, columns = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-    inner = linked[np.ix_(rows, columns)]
-    left, right = a_ids[rows], b_ids[columns]
-    low_left, low_right = left.copy(), right.copy()
-    big = np.iinfo(np.int64).max
-    while True:
-        new_right = np.minimum(low_right, np.where(inner, low_left[:, None], big).min(axis=0))
-        new_left = np.minimum(low_left, np.where(inner, new_right[None, :], big).min(axis=1))
-        if (new_left == low_left).all() and (new_right == low_right).all():
-            break
-        low_left, low_right = new_left, new_right
-    return [(int(x), int(y)) for x, y in zip(np.append(left, right), np.append(low_left, low_right)) if x != y]
-
-
 def compare(units: DataFrame, cosine: float) -> DataFrame:
     """``vec_id, n, other``: link counts (``other`` null) and spanning links (``n`` 0) of each unit of work.
 
@@ -229,7 +213,7 @@ def compare(units: DataFrame, cosine: float) -> DataFrame:
                     if linked.any():
                         of += [ids[a], ids[b]]
                         counts += [linked @ weight[b], weight[a] @ linked]
-                        links += _local_components(linked, ids[a], ids[b])
+                        links += spanning_links(linked, ids[a], ids[b])
             ids = np.concatenate(of) if of else np.zeros(0, np.int64)
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             some = n > 0
