@@ -7,11 +7,11 @@ of fixed size that is added up over the whole corpus, then by hash). The lists o
 1. In every list, sets of similar size are compared with a few of them, the heads, in a few rounds; later heads are those
    that most sets turned out to link to. Near copies of a set, however many, cost a few comparisons each, and fall into
    one component.
-2. What is left are sets of different components in one list. Those compared with the same pivot, the best head, are
+2. What is left are sets of different components in one list. Those next to the same large component are
    compared block by block, as products of small matrices that give out links, never pairs. For the others, a list is
    cut into blocks of equal set size and position of the shingle. How many shingles can still match after that position bounds the overlap, so whole pairs of blocks are
    skipped, as are those within one component. For the other pairs, the overlaps with a common head, known from
-   step 1, bound their own from both sides: a set's answers follow from those of a highly similar one. Only pairs between the
+   step 1, and the tokens their prefixes share bound their own: a set's answers follow from those of a highly similar one. Only pairs between the
    bounds are compared.
 
 Every pair that links is found directly or lies in a component already, so components are exact (up to collisions of
@@ -36,8 +36,8 @@ NUMERATOR, DENOMINATOR = 90, 100
 SKETCH_BITS = 20
 SLICES = 256
 FILTER_BITS = 24
-# Rounds of comparisons with heads, and heads of a list in the first one.
-HEAD_ROUNDS, FIRST_HEADS = 2, 3
+# Rounds of comparisons with heads.
+HEAD_ROUNDS = 3
 BLOCK_ROWS = 64
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -177,6 +177,22 @@ def needed_overlap(a: str, b: str) -> str:
     return f"(({NUMERATOR} * ({a} + {b}) + {total - 1}) DIV {total})"
 
 
+def plausible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``a, b`` of the pairs whose prefixes share enough; ``prefixes`` has ``sid, n, tokens``, the tokens in any list.
+
+    Of two prefixes, one ends no later in the order. All shingles in common up to there are in both prefixes, and after it
+    that set has ``n`` less its prefix left, so the overlap is at most the tokens in common plus the larger rest.
+    """
+
+    def rest(n: str) -> str:
+        return f"(({NUMERATOR} * {n} + {DENOMINATOR - 1}) DIV {DENOMINATOR} - 1)"
+
+    both = pairs.select("a", "b").join(prefixes.selectExpr("sid AS a", "n AS na", "tokens AS ta"), "a")
+    both = both.join(prefixes.selectExpr("sid AS b", "n AS nb", "tokens AS tb"), "b")
+    most = f"size(array_intersect(ta, tb)) + greatest({rest('na')}, {rest('nb')})"
+    return both.filter(f"{most} >= {needed_overlap('na', 'nb')}").select("a", "b")
+
+
 def shingles_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``sid, shingles`` of the wanted sets, read from one document each; some others may come with them.
 
@@ -255,29 +271,31 @@ def mixed_lists(lists: DataFrame, components: DataFrame) -> DataFrame:
     return written(labelled.join(ends.filter("lo < hi").select("token"), "token", "left_semi"), "mixed-lists")
 
 
-def head_pairs(entries: DataFrame, orders: list[Column]) -> DataFrame:
-    """``a, b``: every entry with the heads of its list that may link to it and are of another component.
+def head_pairs(entries: DataFrame, order: Column) -> DataFrame:
+    """``a, b``: every set with a head of one of its lists that may link to it and is of another component.
 
-    A list has a head for each order and band of set sizes; a set meets the heads of its own band and the next ones.
+    A list has a head for each band of set sizes, the largest by ``order``; a set meets those of its own band and the next.
     """
     banded = entries.withColumn("band", F.floor(F.log("n") / np.log(DENOMINATOR / NUMERATOR)))
-    picks = [F.max(F.struct(order.alias("first"), "sid", "n", "pos", "component")) for order in orders]
-    heads = banded.groupBy("token", "band").agg(F.array(*picks).alias("heads"))
-    heads = heads.select("token", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), F.explode("heads").alias("h"))
-    heads = heads.selectExpr("token", "band", "h.sid AS b", "h.n AS b_n", "h.pos AS b_pos", "h.component AS cb").distinct()
+    pick = F.max(F.struct(order.alias("first"), "sid", "n", "pos", "component")).alias("h")
+    heads = banded.groupBy("token", "band").agg(pick)
+    heads = heads.select("token", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), "h")
+    heads = heads.selectExpr("token", "band", "h.sid AS b", "h.n AS b_n", "h.pos AS b_pos", "h.component AS cb")
     entries = banded.selectExpr("token", "band", "sid AS a", "n AS a_n", "pos AS a_pos", "component AS ca")
-    pairs = entries.join(heads, ["token", "band"]).filter("ca <> cb").filter(may_link("a", "b"))
-    return pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+    met = entries.join(heads, ["token", "band"]).filter("ca <> cb").filter(may_link("a", "b")).groupBy("a", "b").count()
+    # one comparison for a set and round, with the head it meets in most lists; later steps see to the others
+    best = met.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).selectExpr("a", "best.b AS b")
+    return best.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
 
 
-def pivots_of(known: DataFrame) -> DataFrame:
-    """``sid, pivot``: of a set and those compared with it, the one that most sets link to."""
-    sided = known.selectExpr("a AS sid", "b AS p").union(known.selectExpr("b AS sid", "a AS p"))
-    linked = known.filter(LINKS)
-    ends = linked.selectExpr("a AS p").union(linked.selectExpr("b AS p")).groupBy("p").count()
-    sided = sided.union(sided.selectExpr("sid", "sid AS p").distinct()).join(ends, "p", "left")
-    best = sided.groupBy("sid").agg(F.max(F.struct(F.coalesce("count", F.lit(0)).alias("links"), "p")).alias("best"))
-    return best.selectExpr("sid", "best.p AS pivot")
+def pivots_of(known: DataFrame, components: DataFrame) -> DataFrame:
+    """``sid, pivot``: the largest of a set's own component and those of the sets it was compared with."""
+    sided = known.selectExpr("a AS sid", "b AS node").union(known.selectExpr("b AS sid", "a AS node"))
+    sided = sided.union(sided.selectExpr("sid", "sid AS node").distinct()).join(components, "node", "left")
+    sided = sided.select("sid", F.coalesce("component", "node").alias("component"))
+    sizes = components.groupBy("component").count()
+    best = F.max(F.struct(F.coalesce("count", F.lit(1)).alias("size"), "component")).alias("best")
+    return sided.join(sizes, "component", "left").groupBy("sid").agg(best).selectExpr("sid", "best.component AS pivot")
 
 
 def pivot_units(members: DataFrame, shingles: DataFrame, block_rows: int) -> DataFrame:
@@ -422,26 +440,29 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = S
     lists = written(index.join(shared.filter("lo < hi").select("token"), "token", "left_semi").distinct(), "lists")
     drop_written(index)
 
+    # as many tokens as a set's prefix has
+    prefixes = lists.groupBy("sid", "n").agg(F.collect_set("token").alias("tokens"))
+    prefixes = written(prefixes, "prefixes")
     known = docs.sparkSession.createDataFrame([], "a bigint, b bigint, na bigint, nb bigint, o bigint")
     components = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
     mixed = mixed_lists(lists, components)
     for number in range(HEAD_ROUNDS):
         linked = known.filter(LINKS)
         if number == 0:
-            entries, orders = mixed, [F.xxhash64("sid", F.lit(seed)) for seed in range(FIRST_HEADS)]
+            entries, order = mixed, F.xxhash64("sid")
         else:
             # the best heads are the sets most of those compared with them link to
             ends = linked.selectExpr("a AS sid").union(linked.selectExpr("b AS sid")).groupBy("sid").count()
-            entries, orders = mixed.join(ends, "sid", "left"), [F.coalesce("count", F.lit(0))]
-        pairs = head_pairs(entries, orders).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(pairs, "head-pairs")
+            entries, order = mixed.join(ends, "sid", "left"), F.coalesce("count", F.lit(0))
+        pairs = head_pairs(entries, order).join(known.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = written(plausible(pairs, prefixes), "head-pairs")
         found = shingles_of(docs, reps, pairs.selectExpr("a AS sid").union(pairs.selectExpr("b AS sid")), size)
         known = written(known.union(overlaps(pairs, found)), "overlaps")
         components = written(smallest_reachable(known.filter(LINKS).select("a", "b")), "components")
         mixed = mixed_lists(lists, components)
 
-    # sets with one pivot are compared in blocks, those outside the largest component with all
-    pivots = written(pivots_of(known), "pivots")
+    # sets next to one component, their pivot, are compared in blocks: those outside it with all
+    pivots = written(pivots_of(known, components), "pivots")
     members = mixed.select("sid", "component").distinct().join(pivots, "sid")
     members = written(members, "pivot-members")
     several = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
@@ -451,8 +472,10 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = S
     components = joined_components(components, more)
     mixed = mixed_lists(lists, components)
 
-    open_ = open_pairs(mixed, pivots).join(known.select("a", "b"), ["a", "b"], "left_anti")
-    settled = written(derived(open_, known), "settled")
+    left = open_pairs(mixed, pivots).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    left = written(left, "open-pairs")
+    left = left.join(plausible(left, prefixes), ["a", "b"], "left_semi")
+    settled = written(derived(left, known), "settled")
     unsure = settled.filter("verdict IS NULL").select("a", "b")
     found = shingles_of(docs, reps, unsure.selectExpr("a AS sid").union(unsure.selectExpr("b AS sid")), size)
     more = overlaps(unsure, found).filter(LINKS).select("a", "b").union(settled.filter("verdict").select("a", "b"))
