@@ -4,9 +4,8 @@ Equal sets are one set from the start. Shingles have one global order, rarest fi
 its shingles just long enough that two similar sets share one (the order needs no exact counts: it goes by a sketch
 of fixed size that is added up over the whole corpus, then by hash). The lists of the index are answered in two steps:
 
-1. In every list, sets of similar size are compared with a few of them, the heads, in a few rounds; later heads are those
-   that most sets turned out to link to. Near copies of a set, however many, cost a few comparisons each, and fall into
-   one component.
+1. In every list, one set of each size is the head, and a set is compared with the head that it meets in most of its lists.
+   Near copies of a set, however many, cost a comparison each, and most fall into one component.
 2. What is left are sets of different components in one list. Those next to the same large component are
    compared block by block, as products of small matrices that give out links, never pairs. For the others, a list is
    cut into blocks of equal set size and position of the shingle. How many shingles can still match after that position bounds the overlap, so whole pairs of blocks are
@@ -33,11 +32,9 @@ from fleetgauge.llm.shared import block_of, configure, drop_written, hash_bitmap
 SHINGLE_WORDS = 3
 # Similarity as a fraction of whole numbers, so that no rounding decides.
 NUMERATOR, DENOMINATOR = 90, 100
-SKETCH_BITS = 20
+SKETCH_BITS = 21
 SLICES = 256
-FILTER_BITS = 24
-# Rounds of comparisons with heads.
-HEAD_ROUNDS = 3
+FILTER_BITS = 22
 BLOCK_ROWS = 64
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -271,19 +268,32 @@ def mixed_lists(lists: DataFrame, components: DataFrame) -> DataFrame:
     return written(labelled.join(ends.filter("lo < hi").select("token"), "token", "left_semi"), "mixed-lists")
 
 
-def head_pairs(entries: DataFrame, order: Column) -> DataFrame:
-    """``a, b``: every set with a head of one of its lists that may link to it and is of another component.
+def size_band() -> Column:
+    """Sets that link are of the same band or of adjacent ones."""
+    return F.floor(F.log("n") / np.log(DENOMINATOR / NUMERATOR))
 
-    A list has a head for each band of set sizes, the largest by ``order``; a set meets those of its own band and the next.
+
+def near_in_size(lists: DataFrame) -> DataFrame:
+    """The entries whose list holds another set of their own size band or an adjacent one."""
+    banded = lists.withColumn("band", size_band())
+    held = banded.groupBy("token", "band").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+    around = held.select("token", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), "lo", "hi")
+    around = around.groupBy("token", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
+    return banded.join(around.select("token", "band"), ["token", "band"], "left_semi").drop("band")
+
+
+def head_pairs(lists: DataFrame) -> DataFrame:
+    """``a, b``: every set with a head of one of its lists that may link to it.
+
+    A list has a head for each band of set sizes, by a hash; a set meets those of its own band and the adjacent ones.
     """
-    banded = entries.withColumn("band", F.floor(F.log("n") / np.log(DENOMINATOR / NUMERATOR)))
-    pick = F.max(F.struct(order.alias("first"), "sid", "n", "pos", "component")).alias("h")
-    heads = banded.groupBy("token", "band").agg(pick)
+    banded = lists.withColumn("band", size_band())
+    heads = banded.groupBy("token", "band").agg(F.max(F.struct(F.xxhash64("sid").alias("first"), "sid", "n", "pos")).alias("h"))
     heads = heads.select("token", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), "h")
-    heads = heads.selectExpr("token", "band", "h.sid AS b", "h.n AS b_n", "h.pos AS b_pos", "h.component AS cb")
-    entries = banded.selectExpr("token", "band", "sid AS a", "n AS a_n", "pos AS a_pos", "component AS ca")
-    met = entries.join(heads, ["token", "band"]).filter("ca <> cb").filter(may_link("a", "b")).groupBy("a", "b").count()
-    # one comparison for a set and round, with the head it meets in most lists; later steps see to the others
+    heads = heads.selectExpr("token", "band", "h.sid AS b", "h.n AS b_n", "h.pos AS b_pos")
+    entries = banded.selectExpr("token", "band", "sid AS a", "n AS a_n", "pos AS a_pos")
+    met = entries.join(heads, ["token", "band"]).filter("a <> b").filter(may_link("a", "b")).groupBy("a", "b").count()
+    # one comparison for a set, with the head it meets in most lists; later steps see to the others
     best = met.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).selectExpr("a", "best.b AS b")
     return best.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
 
@@ -439,27 +449,15 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = S
     shared = index.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
     lists = written(index.join(shared.filter("lo < hi").select("token"), "token", "left_semi").distinct(), "lists")
     drop_written(index)
-
+    lists = written(near_in_size(lists), "near-lists")
     # as many tokens as a set's prefix has
-    prefixes = lists.groupBy("sid", "n").agg(F.collect_set("token").alias("tokens"))
-    prefixes = written(prefixes, "prefixes")
-    known = docs.sparkSession.createDataFrame([], "a bigint, b bigint, na bigint, nb bigint, o bigint")
-    components = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
+    prefixes = written(lists.groupBy("sid", "n").agg(F.collect_set("token").alias("tokens")), "prefixes")
+
+    pairs = written(plausible(head_pairs(lists), prefixes), "head-pairs")
+    found = shingles_of(docs, reps, pairs.selectExpr("a AS sid").union(pairs.selectExpr("b AS sid")), size)
+    known = written(overlaps(pairs, found), "overlaps")
+    components = written(smallest_reachable(known.filter(LINKS).select("a", "b")), "components")
     mixed = mixed_lists(lists, components)
-    for number in range(HEAD_ROUNDS):
-        linked = known.filter(LINKS)
-        if number == 0:
-            entries, order = mixed, F.xxhash64("sid")
-        else:
-            # the best heads are the sets most of those compared with them link to
-            ends = linked.selectExpr("a AS sid").union(linked.selectExpr("b AS sid")).groupBy("sid").count()
-            entries, order = mixed.join(ends, "sid", "left"), F.coalesce("count", F.lit(0))
-        pairs = head_pairs(entries, order).join(known.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = written(plausible(pairs, prefixes), "head-pairs")
-        found = shingles_of(docs, reps, pairs.selectExpr("a AS sid").union(pairs.selectExpr("b AS sid")), size)
-        known = written(known.union(overlaps(pairs, found)), "overlaps")
-        components = written(smallest_reachable(known.filter(LINKS).select("a", "b")), "components")
-        mixed = mixed_lists(lists, components)
 
     # sets next to one component, their pivot, are compared in blocks: those outside it with all
     pivots = written(pivots_of(known, components), "pivots")
