@@ -56,4 +56,16 @@ PAGES = (
     data-main="0"><li><a href="/t">tag</a></li></ul><div class="ads advertisement" data-main="0"><span>Deal</span><a href="/d">
     go</a></div><p class="notice" data-main="0">Corrected on Monday.</p><p class="ad" data-main="0">Try it</p></article><section
     class="comments"><article class="comment"><p>A reader writes a long reply here.</p></article></section></body></html>""",
+    # what an article holds that is not its text, told by the element alone
+    """<html data-main="0"><body><main data-main="1"><article><header data-main="0"><p>3 May</p></header><h1>Wells</h1><p>Wells
+    reach the ground water.</p><aside data-main="0"><h3>Aside</h3><p>More wells</p></aside><p>They run dry.</p><form
+    data-main="0"><label>Mail</label><input><p>Write to us</p><button>Send</button></form><nav data-main="0"><ol><li><a
+    href="#a">One</a></li></ol></nav><menu data-main="0"><li>Print</li></menu><dialog data-main="0"><p>Stay</p></dialog><p>
+    Some are deep.</p><aside data-main="0"><p>Ask</p></aside><form data-main="0"><p>Vote</p><fieldset><legend>Poll</legend>
+    <button>Yes</button></fieldset></form><nav data-main="0"><a href="/n">Next</a></nav><footer data-main="0"><p>Tags</p>
+    </footer></article></main><aside><p>Ads</p></aside><form><p>Search</p><button>Go</button></form></body></html>""",
+    """<html data-main="0"><body><article data-main="1"><h1>Dunes</h1><p>Dunes move with the wind.</p><aside data-main="0"><p>
+    Sand</p><ul><li>x</li></ul></aside><form data-main="0"><p>Rate this</p><input></form><nav data-main="0"><p>Up</p></nav>
+    <dialog data-main="0">Wait</dialog><menu data-main="0"><li>Share</li></menu><footer data-main="0"><p>By me</p></footer>
+    <header data-main="0"><p>Kicker</p></header><p>Grass holds them.</p></article></body></html>""",
 )

@@ -9,7 +9,7 @@ occurrence, by document id and place, is kept. Of the others go
 Short lines and lone clauses such as "Yes." stay, they repeat by chance. What is left keeps its order, and removed
 spans are reported in offsets of the original text.
 
-Units travel as two long hashes and a place. First places are combined before the shuffle, and the join back is one
+Units travel as a hash and a place. First places are combined before the shuffle, and the join back is one
 that adaptive execution splits, so a line that a third of all documents have does not meet in one task.
 """
 
@@ -46,77 +46,65 @@ def units(text: str) -> list[tuple[bool, int, int, str]]:
     return out
 
 
-def digest(content: str) -> tuple[int, int]:
-    """Hash and number of words of a unit, with letter case and white space evened out."""
-    words = content.lower().split()
-    return xxhash.xxh3_64_intdigest(" ".join(words)) - 2**63, len(words)
+def digest(content: str, is_line: bool) -> int:
+    """Hash of a unit, with letter case and white space evened out."""
+    return xxhash.xxh3_64_intdigest(" ".join(content.lower().split()), seed=is_line) - 2**63
 
 
 def unit_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, is_line, begin, stop, words, digest`` of every unit of ``docs(doc_id, text)``."""
+    """``doc_id, place, digest`` of every unit of ``docs(doc_id, text)``; lines and clauses have digests of their own."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            columns: tuple[list, ...] = ([], [], [], [], [], [], [])
-            owner, place, is_line, begin, stop, words, hashed = columns
+            owner: list[int] = []
+            place: list[int] = []
+            hashed: list[int] = []
             for at, text in enumerate(batch.column("text").to_pylist()):
-                for number, (line, start, end, content) in enumerate(units(text or "")):
-                    value, count = digest(content)
-                    owner.append(at)
-                    place.append(number)
-                    is_line.append(line)
-                    begin.append(start)
-                    stop.append(end)
-                    words.append(count)
-                    hashed.append(value)
+                found = units(text or "")
+                owner += [at] * len(found)
+                place += range(len(found))
+                hashed += [digest(content, line) for line, _, _, content in found]
             return pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id").take(pa.array(owner, pa.int64())),
                     "place": pa.array(place, pa.int32()),
-                    "is_line": pa.array(is_line, pa.bool_()),
-                    "begin": pa.array(begin, pa.int32()),
-                    "stop": pa.array(stop, pa.int32()),
-                    "words": pa.array(words, pa.int32()),
                     "digest": pa.array(hashed, pa.int64()),
                 }
             )
 
         return step
 
-    schema = "doc_id bigint, place int, is_line boolean, begin int, stop int, words int, digest bigint"
-    return per_batch(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), schema, make)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return per_batch(rows, "doc_id bigint, place int, digest bigint", make)
 
 
 def repeated_units(rows: DataFrame) -> DataFrame:
-    """The rows whose digest occurs at an earlier document or place; lines and clauses count apart."""
-    first = rows.groupBy("digest", "is_line").agg(
-        F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")
-    )
-    first = first.filter("n > 1").drop("n")
-    return rows.join(first, ["digest", "is_line"]).filter("struct(doc_id, place) > first").drop("first", "digest")
-
-
-def _removed(
-    marked: list[dict], min_line_words: int, min_run_words: int
-) -> list[tuple[int, int]]:
-    """Spans to remove from a document, given its repeated units."""
+    """``doc_id, place`` of the units whose digest occurs at an earlier document or place."""
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+    first = first.filter("n > 1").select("digest", "first")
+    return rows.join(first, "digest").filter("struct(doc_id, place) > first").select("doc_id", "place")
+
+
+def removed_spans(text: str, places: set[int], min_line_words: int, min_run_words: int) -> list[tuple[int, int]]:
+    """Spans to remove from a text, given the places of its repeated units; sorted, none touching another."""
     spans: list[tuple[int, int]] = []
-    run: list[dict] = []
+    run: list[tuple[int, int, int]] = []  # begin, stop, words
 
     def end_run() -> None:
-        if run and sum(u["words"] for u in run) >= min_run_words:
-            spans.append((run[0]["begin"], run[-1]["stop"]))
+        if sum(u[2] for u in run) >= min_run_words:
+            spans.append((run[0][0], run[-1][1]))
         run.clear()
 
-    for unit in sorted(marked, key=lambda u: u["place"]):
-        if unit["is_line"]:
-            if unit["words"] >= min_line_words:
-                spans.append((unit["begin"], unit["stop"]))
+    for place, (is_line, begin, stop, content) in enumerate(units(text)):
+        if place not in places:
+            if not is_line:
+                end_run()
             continue
-        # clauses follow one another by place, but for the line that stands between two lines
-        if run and unit["place"] - run[-1]["place"] > 2 or run and unit["begin"] - run[-1]["stop"] > 1:
-            end_run()
-        run.append(unit)
+        words = len(content.split())
+        if not is_line:
+            run.append((begin, stop, words))
+        elif words >= min_line_words:
+            spans.append((begin, stop))
     end_run()
     merged: list[tuple[int, int]] = []
     for begin, stop in sorted(spans):
@@ -127,37 +115,10 @@ def _removed(
     return merged
 
 
-def removed_spans(
-    docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_run_words: int = MIN_RUN_WORDS
-) -> DataFrame:
-    """``doc_id, spans array<struct<begin, stop>>`` of the documents that lose something."""
-    again = repeated_units(unit_rows(docs))
-    # a long document has many units, so each travels as few columns; documents meet, groups of copies never do
-    by_document = again.groupBy("doc_id").agg(
-        F.collect_list(F.struct("place", "is_line", "begin", "stop", "words")).alias("marked")
-    )
-
-    def make():
-        kind = pa.list_(pa.struct([("begin", pa.int32()), ("stop", pa.int32())]))
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            spans = [
-                [{"begin": b, "stop": e} for b, e in _removed(marked, min_line_words, min_run_words)]
-                for marked in batch.column("marked").to_pylist()
-            ]
-            return pa.record_batch({"doc_id": batch.column("doc_id"), "spans": pa.array(spans, kind)})
-
-        return step
-
-    found = per_batch(by_document, "doc_id bigint, spans array<struct<begin:int,stop:int>>", make)
-    return found.filter("size(spans) > 0")
-
-
-def without_spans(text: str, spans: list[dict]) -> str:
+def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the spans; a line that is removed whole goes with its line end."""
     kept, at = [], 0
-    for span in spans:
-        begin, stop = span["begin"], span["stop"]
+    for begin, stop in spans:
         whole = (begin == 0 or text[begin - 1] == "\n") and (stop == len(text) or text[stop] == "\n")
         kept.append(text[at:begin])
         at = stop + 1 if whole and stop < len(text) else stop
@@ -176,19 +137,24 @@ def remove_repeats(
     columns are ignored; an empty table gives no rows.
     """
     configure(docs.sparkSession)
-    known = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    spans = written(removed_spans(known, min_line_words, min_run_words), "removed")
-    both = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(spans, "doc_id", "left")
+    again = repeated_units(unit_rows(docs.filter("doc_id IS NOT NULL")))
+    # documents meet here with their own places only, groups of copies never do
+    places = written(again.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "repeated")
+    both = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(places, "doc_id", "left")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+            texts, spans = [], []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
+                own = removed_spans(text, set(found), min_line_words, min_run_words) if text and found else []
+                texts.append(without_spans(text, own) if own else text)
+                spans.append(own)
             return pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
-                    "text": pa.array([without_spans(t, s) if t and s else t for t, s in zip(texts, spans)], pa.string()),
-                    "n_removed": pa.array([len(s or []) for s in spans], pa.int64()),
-                    "spans": pa.array([",".join(f"{x['begin']}:{x['stop']}" for x in s or []) for s in spans], pa.string()),
+                    "text": pa.array(texts, pa.string()),
+                    "n_removed": pa.array([len(s) for s in spans], pa.int64()),
+                    "spans": pa.array([",".join(f"{b}:{e}" for b, e in s) for s in spans], pa.string()),
                 }
             )
 
