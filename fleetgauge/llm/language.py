@@ -24,7 +24,7 @@ from fleetgauge.llm.shared import configure, per_batch
 BUCKETS = 4096
 DIMENSIONS = 16
 # Bound of the training sample: rows of each language, the first by a hash of the id.
-ROWS_PER_LANGUAGE = 1500
+ROWS_PER_LANGUAGE = 600
 MAX_LANGUAGES = 200
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -126,7 +126,7 @@ def train(
     sample: DataFrame, epochs: int = 30, rate: float = 4.0, batch: int = 64, reject_share: float = 0.001, seed: int = 11
 ) -> LanguageModel:
     """Fits the model on ``sample(lang, counts)``, at most ``MAX_LANGUAGES * ROWS_PER_LANGUAGE`` bounded rows."""
-    rows = sorted((r["lang"], bytes(r["counts"])) for r in sample.toLocalIterator())
+    rows = sorted((r["lang"], bytes(r["counts"])) for r in sample.collect())
     languages = tuple(sorted({lang for lang, _ in rows}))
     generator = np.random.default_rng(seed)
     embedding = generator.normal(0, 0.1, (BUCKETS, DIMENSIONS))
@@ -134,7 +134,8 @@ def train(
     if not rows:
         return LanguageModel((), embedding, output, bias, 1.0, 0.0)
     counts = np.frombuffer(b"".join(c for _, c in rows), np.uint16).reshape(len(rows), BUCKETS).astype(np.float32)
-    shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    shares = counts
+    shares /= np.maximum(counts.sum(axis=1, keepdims=True), 1)
     labels = np.searchsorted(languages, [lang for lang, _ in rows])
     order = generator.permutation(len(rows))
     held = order[: len(rows) // 5] if len(rows) >= 50 else order
