@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_CAP = 10_000
-
 
 def filter_new(candidates: DataFrame, processed: DataFrame) -> DataFrame:
     """Candidates (column ``key``, any others kept) not processed yet."""
@@ -20,15 +18,20 @@ def mark_processed(processed: DataFrame, keys: DataFrame, now: Column) -> DataFr
     return both.groupBy("key").agg(F.min("processed_at").alias("processed_at"))
 
 
-def evict_processed(processed: DataFrame, cap: int = DEFAULT_CAP) -> DataFrame:
-    """The newest ``cap`` keys. Every task keeps at most ``cap`` rows for the final merge."""
+def evict_processed(processed: DataFrame, cap: int | None = None) -> DataFrame:
+    """The newest ``cap`` keys, or all of them without a cap: an evicted key is picked up again.
+
+    Every task keeps at most ``cap`` rows for the final merge.
+    """
+    if cap is None:
+        return processed
     return processed.orderBy(F.desc("processed_at"), "key").limit(cap)
 
 
 def filter_new_and_mark(
-    candidates: DataFrame, processed: DataFrame, now: Column, cap: int = DEFAULT_CAP
+    candidates: DataFrame, processed: DataFrame, now: Column, cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """New candidates, and the table after marking them and evicting the oldest."""
+    """New candidates, and the table after marking them and, under a cap, evicting the oldest."""
     new = filter_new(candidates, processed)
     return new, evict_processed(mark_processed(processed, new, now), cap)
 

@@ -12,14 +12,18 @@ from fleetgauge.plans.rule_model import SEVERITIES
 NOT_SET = "(not set)"
 
 
-def severity_counts(findings: DataFrame, run: str = "task_id") -> DataFrame:
-    """Findings per severity of each run, as columns and as a map without zero entries."""
+def severity_counts(findings: DataFrame, run: str = "task_id", runs: DataFrame | None = None) -> DataFrame:
+    """Findings per severity of each run, as columns and as a map without zero entries.
+
+    With ``runs`` every one of them gets a row; counts and map are null where a run has no finding.
+    """
     counted = findings.groupBy(run).agg(
         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES]
     )
     entries = F.array(*[F.struct(F.lit(s).alias("key"), F.col(s.lower()).alias("value")) for s in SEVERITIES])
     present = F.filter(entries, lambda e: e["value"] > 0)
-    return counted.withColumn("severity_counts", F.map_from_entries(present))
+    counted = counted.withColumn("severity_counts", F.map_from_entries(present))
+    return counted if runs is None else runs.select(run).join(counted, run, "left")
 
 
 def run_findings(runs: DataFrame, findings: DataFrame, task_id: str | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ def hot_stages(tasks: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
 
 def split_hot(tasks: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """Tasks of ordinary stages and tasks of hot stages."""
-    hot = F.broadcast(hot_stages(tasks, keys, hot_rows))
+    hot = hot_stages(tasks, keys, hot_rows)
     return tasks.join(hot, keys, "left_anti"), tasks.join(hot, keys, "left_semi")
 
 

@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetgauge.operators.run_state import label_totals, run_state, status_feed, window_rate
 
-DEFAULT_WATERMARK = "10 minutes"
 BatchWriter = Callable[[DataFrame, int], None]
 
 
@@ -44,10 +43,10 @@ def stream_window_rate(
     labels: list[str],
     write: BatchWriter,
     checkpoint: str,
-    watermark: str = DEFAULT_WATERMARK,
+    watermark: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Sliding rates, each window emitted once the watermark has passed it."""
+    """Sliding rates, each window emitted once the watermark has passed it; events later than that are not counted."""
     return _start(window_rate(events, labels, watermark=watermark), "append", write, checkpoint, trigger)
 
 

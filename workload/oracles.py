@@ -9,20 +9,22 @@ SELECT 'app_' || l_suppkey AS app_id, l_suppkey AS k, l_linenumber AS line, l_pa
   l_orderkey // 200000 AS log_no,
   10 * CAST(floor(pow(l_quantity, 1 + l_suppkey % 4)) AS BIGINT) AS run_ms,
   10 * CAST(floor(pow(l_quantity, 1 + l_suppkey % 4)) AS BIGINT) + 50 * l_linenumber AS duration_ms,
-  CAST(floor(pow(l_quantity, 1 + l_suppkey % 4) * 10 * l_discount * (l_partkey % 8) * 2) AS BIGINT) AS gc_ms,
-  CASE WHEN l_partkey % 8 >= 4 THEN CAST(floor(l_extendedprice * 1000) AS BIGINT) ELSE 0 END AS shuffle_read_bytes,
-  CASE WHEN l_partkey % 8 >= 4 THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS shuffle_read_records,
-  CAST(floor(l_extendedprice * 500 * (l_suppkey % 3)) AS BIGINT) AS shuffle_write_bytes,
-  CAST(l_quantity AS BIGINT) AS shuffle_write_records,
+  CASE WHEN l_partkey % 8 > 2 AND l_suppkey % 7 = 0 THEN 0
+       ELSE CAST(floor(pow(l_quantity, 1 + l_suppkey % 4) * 10 * l_discount * (l_partkey % 8) * 2) AS BIGINT) END AS gc_ms,
+  CASE WHEN l_partkey % 8 >= 4 AND l_suppkey % 7 <> 0 THEN CAST(floor(l_extendedprice * 1000) AS BIGINT) ELSE 0 END AS shuffle_read_bytes,
+  CASE WHEN l_partkey % 8 >= 4 AND l_suppkey % 7 <> 0 THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS shuffle_read_records,
+  CASE WHEN l_partkey % 8 > 2 AND l_suppkey % 7 = 0 THEN 0
+       ELSE CAST(floor(l_extendedprice * 500 * (l_suppkey % 3)) AS BIGINT) END AS shuffle_write_bytes,
+  CASE WHEN l_partkey % 8 > 2 AND l_suppkey % 7 = 0 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS shuffle_write_records,
   CASE WHEN l_partkey % 8 < 4
        THEN 10 * CAST(floor(l_extendedprice * l_quantity * (1 + l_suppkey % 5)) AS BIGINT) ELSE 0 END AS input_bytes,
   CASE WHEN l_partkey % 8 < 4 THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS input_records,
   CAST(l_linenumber AS BIGINT) AS output_records,
-  CASE WHEN l_partkey % 8 = 5 AND l_suppkey % 2 = 0
+  CASE WHEN l_partkey % 8 = 5 AND l_suppkey % 2 = 0 AND l_suppkey % 7 <> 0
        THEN CAST(floor(l_extendedprice * l_tax * 10000) AS BIGINT) ELSE 0 END AS spill_disk_bytes,
   (l_returnflag = 'R' AND l_linenumber = 1 AND l_suppkey % 3 = 0) AS failed,
   (l_returnflag = 'A' AND l_linenumber = 2 AND l_suppkey % 5 = 0) AS killed
-FROM lineitem WHERE NOT (l_partkey % 8 > 2 AND l_suppkey % 7 = 0)
+FROM lineitem
 """
 
 
@@ -432,7 +434,7 @@ FROM recommendations WHERE parameter LIKE 'spark.%' AND recommended_value <> ''
 """
 REPORTS = """
 SELECT 'app_' || s_suppkey AS app_id, 'Summary of ' || s_name AS summary,
-  CASE s_suppkey % 3 WHEN 0 THEN 'critical' ELSE 'Warning' END AS severity FROM supplier WHERE s_suppkey % 3 <> 2
+  CASE s_suppkey % 3 WHEN 0 THEN 'critical' ELSE 'Warning' END AS severity FROM supplier
 """
 CONFIG = """
 SELECT app_id, k, key, value FROM (
