@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 from datetime import datetime, timedelta
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from fleetgauge.plans.analyze import Fleet, analyze_jobs, fold_event_logs, fold_
 from fleetgauge.plans.rules import BUILT_IN, order_findings, run_rules
 from fleetgauge.sources.event_logs import list_event_logs, scan_event_log
 from fleetgauge.sources.runs import result_rows, run_rows, scan_runs, sink_results
+from fleetgauge.streaming.logs import stream_event_logs
 
 T0 = 1_700_000_000_000
 
@@ -252,3 +254,19 @@ def test_two_logs_of_one_application_stay_apart(spark, tmp_path):
     assert isinstance(fleet, Fleet) and fleet.jobs.count() == 2
     assert sorted(r.sum_run_ms for r in fleet.stages.collect()) == [5, 7]
     assert metrics.job_overview(fleet.stages, fleet.jobs, "log_path").count() == 2
+
+
+def test_stream_picks_up_logs_of_any_age(spark, tmp_path):
+    logs, seen = tmp_path / "logs", []
+    logs.mkdir()
+
+    def publish(fleet, batch_id):
+        seen.extend(r.app_id for r in fleet.jobs.collect())
+
+    for names in (["new"], ["newer", "old"]):
+        for name in names:
+            (logs / name).write_text("\n".join([start(name), stage(0), task(0, 5)]))
+        if "old" in names:
+            os.utime(logs / "old", (1_000_000_000, 1_000_000_000))
+        stream_event_logs(spark, str(logs), str(tmp_path / "checkpoint"), publish).awaitTermination()
+    assert sorted(seen) == ["new", "newer", "old"]
