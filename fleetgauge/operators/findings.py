@@ -148,50 +148,70 @@ def suggested_config(recommendations: DataFrame, by: str = "app_id") -> DataFram
     return suggested_entries(recommendations, by).groupBy(by).agg(entries.alias("suggested_config"))
 
 
+# What a report line says, by column; a section leaves what it does not know empty.
+REPORT_TEXTS = (
+    "severity",
+    "title",
+    "message",
+    "parameter",
+    "current_value",
+    "recommended_value",
+    "explanation",
+    "estimated_impact",
+    "risk",
+    "causal_chain",
+)
+
+
 def build_report(
     reports: DataFrame, findings: DataFrame, recommendations: DataFrame, by: str = "app_id"
 ) -> DataFrame:
     """Report lines of every job, flat: a header row, its findings, its recommendations, its properties.
 
-    ``section`` and ``line`` give the order. Severity is upper-cased. Rows stay flat because a job may
-    have any number of findings.
+    Within a section lines are ordered by ``sev_order``, ``rule_ord`` and ``pos``, which a section without such
+    an order leaves 0. Severity is upper-cased. Rows stay flat because a job may have any number of findings.
     """
-    header = reports.select(
-        by,
-        F.lit("summary").alias("section"),
-        F.lit(0).cast("bigint").alias("line"),
-        F.upper("severity").alias("severity"),
-        F.col("summary").alias("title"),
-        F.lit("").alias("parameter"),
-        F.lit("").alias("recommended_value"),
-    )
     reported = reports.select(by)
-    found = findings.join(reported, by, "left_semi").select(
-        by,
-        F.lit("finding").alias("section"),
-        (F.col("sev_order") * 1000 + F.col("rule_ord")).cast("bigint").alias("line"),
-        "severity",
-        "title",
-        F.col("rule_id").alias("parameter"),
-        "recommended_value",
+
+    def section(name: str, df: DataFrame, **known: str) -> DataFrame:
+        texts = [f"{known.get(c, repr(''))} AS {c}" for c in REPORT_TEXTS]
+        return df.selectExpr(
+            by,
+            f"'{name}' AS section",
+            f"int({known.get('sev_order', '0')}) AS sev_order",
+            f"int({known.get('rule_ord', '0')}) AS rule_ord",
+            f"bigint({known.get('pos', '0')}) AS pos",
+            f"bigint({known.get('stage_id', 'NULL')}) AS stage_id",
+            f"bigint({known.get('priority', 'NULL')}) AS priority",
+            *texts,
+        )
+
+    def same(df: DataFrame, *names: str) -> dict[str, str]:
+        """Columns taken over as they are; an absent one, or a null, is an empty text."""
+        return {n: f"coalesce({n}, '')" for n in names if n in df.columns}
+
+    header = section(
+        "summary", reports, severity="upper(severity)", title="summary", **same(reports, "causal_chain")
     )
-    advised = recommendations.join(reported, by, "left_semi").select(
-        by,
-        F.lit("recommendation").alias("section"),
-        F.col("pos").cast("bigint").alias("line"),
-        F.lit("").alias("severity"),
-        "title",
-        "parameter",
-        "recommended_value",
+    found = section(
+        "finding",
+        findings.join(reported, by, "left_semi"),
+        **{n: n for n in ("sev_order", "rule_ord", "severity", "stage_id")},
+        pos="coalesce(stage_pos, -1)",
+        parameter="rule_id",
+        **same(findings, "title", "message", "current_value", "recommended_value", "estimated_impact"),
     )
-    properties = suggested_entries(recommendations, by).join(reported, by, "left_semi").select(
-        by,
-        F.lit("property").alias("section"),
-        F.col("pos").cast("bigint").alias("line"),
-        F.lit("").alias("severity"),
-        F.lit("").alias("title"),
-        "parameter",
-        "recommended_value",
+    advised = section(
+        "recommendation",
+        recommendations.join(reported, by, "left_semi"),
+        pos="pos",
+        **({"priority": "priority"} if "priority" in recommendations.columns else {}),
+        **same(recommendations, *[c for c in REPORT_TEXTS if c not in ("severity", "message", "causal_chain")]),
+    )
+    properties = section(
+        "property",
+        suggested_entries(recommendations, by).join(reported, by, "left_semi"),
+        **{n: n for n in ("pos", "parameter", "recommended_value")},
     )
     return header.unionByName(found).unionByName(advised).unionByName(properties)
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgauge import schemas as S
-from fleetgauge.functions.scalars import gc_time_percent, memory_utilization, skew_ratio
+from fleetgauge.functions.config import config_accessors
+from fleetgauge.functions.scalars import gc_time_percent, memory_utilization, skew_ratio, slot_utilization
 from fleetgauge.functions.text import array_of, fixed, format_bytes, round_to
 from fleetgauge.operators.quantiles import (
     HOT_ROWS,
@@ -138,7 +139,12 @@ OVERVIEW_SUMS = {
 
 
 def job_overview(stages: DataFrame, jobs: DataFrame, by: str = "app_id") -> DataFrame:
-    """Stage sums per job next to its identity, duration and executor use; byte sums also as text."""
+    """Stage sums per job next to its identity, duration, executor use and main settings; byte sums also as text.
+
+    Slot use is null where it is not defined: no executor, core or elapsed time.
+    """
+    settings = config_accessors()
+    slots = slot_utilization("ex_task_ms", "ex_count", settings["executor_cores"], "duration_ms")
     sums = stages.groupBy(by).agg(
         F.count("*").alias("stage_count"), *[F.sum(c).alias(name) for name, c in OVERVIEW_SUMS.items()]
     )
@@ -158,6 +164,10 @@ def job_overview(stages: DataFrame, jobs: DataFrame, by: str = "app_id") -> Data
         "ex_cores AS executor_cores",
         "ex_failed AS executor_failed_tasks",
         f"{round_to(memory_utilization('ex_peak_mem', 'ex_alloc_mem'), 1)} AS memory_utilization_percent",
+        f"{round_to(slots, 1)} AS slot_utilization_percent",
+        f"{settings['shuffle_partitions']} AS shuffle_partitions",
+        f"{settings['executor_memory']} AS executor_memory",
+        f"{settings['executor_cores']} AS cores_per_executor",
     )
 
 

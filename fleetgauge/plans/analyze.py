@@ -22,22 +22,30 @@ from fleetgauge.plans.rules import evaluate_rules
 from fleetgauge.sources.event_logs import scan_event_log
 from fleetgauge.sources.history_payloads import HistoryPayloads
 from fleetgauge.sources.runs import result_documents
-from fleetgauge.sources.staging import stage_table
+from fleetgauge.sources.staging import drop_folder, new_path, stage_table
 from fleetgauge.thresholds import Thresholds
 
 
 @dataclass(frozen=True)
 class Fleet:
-    """Metrics of many jobs. ``by`` is the column that identifies a job in both tables."""
+    """Metrics of many jobs. ``by`` is the column that identifies a job in both tables, ``folder`` where staged tables lie."""
 
     stages: DataFrame
     jobs: DataFrame
     by: str
+    folder: str | None = None
 
     def staged(self) -> "Fleet":
         """The same tables written once. The rules read the stages three times and the jobs twice, and
         these tables are far smaller than the tasks they summarise."""
-        return Fleet(stage_table(self.stages, "stages"), stage_table(self.jobs, "jobs"), self.by)
+        folder = self.folder or new_path(self.stages.sparkSession, "fleet")
+        stages, jobs = stage_table(self.stages, "stages", folder=folder), stage_table(self.jobs, "jobs", folder=folder)
+        return Fleet(stages, jobs, self.by, folder)
+
+    def release(self) -> None:
+        """Deletes what was staged; the tables cannot be read any more."""
+        if self.folder is not None:
+            drop_folder(self.stages.sparkSession, self.folder)
 
 
 def fold_events(lines: DataFrame, staged: bool = True) -> Fleet:
@@ -47,14 +55,16 @@ def fold_events(lines: DataFrame, staged: bool = True) -> Fleet:
     rows apart from the rest: each fold then reads only its own part and columns.
     """
     events = filter_event_types(parse_events(lines))
+    folder = new_path(lines.sparkSession, "fold") if staged else None
     if staged:
-        events = stage_table(events, "events", "has_task_parts")
+        events = stage_table(events, "events", "has_task_parts", folder=folder)
     stages, tasks = stage_facts(events), task_facts(events)
     facts = resolve_duration(app_facts(events), stages)
     return Fleet(
         stages=stage_metrics(stages, tasks, "log_path"),
         jobs=job_metrics(facts, config_fold(events), tasks, "log_path"),
         by="log_path",
+        folder=folder,
     )
 
 

@@ -29,13 +29,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/fleetgauge/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str, *partition_by: str, row_group_bytes: int | None = None) -> DataFrame:
-    """Writes ``df`` once and returns a scan of the written table.
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of staged tables that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stage_table(
+    df: DataFrame, name: str, *partition_by: str, row_group_bytes: int | None = None, folder: str | None = None
+) -> DataFrame:
+    """Writes ``df`` once, under ``folder`` if given, and returns a scan of the written table.
 
     Smaller row groups let a small table be read by more tasks.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name) if folder is None else f"{folder}/{name}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     if row_group_bytes is not None:
         writer = writer.option("parquet.block.size", row_group_bytes)

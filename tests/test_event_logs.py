@@ -5,13 +5,15 @@ from datetime import datetime, timedelta
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fleetgauge.operators import events, metrics, run_history
 from fleetgauge.plans.analyze import Fleet, analyze_jobs, fold_event_logs, fold_events, record_runs
 from fleetgauge.plans.rules import BUILT_IN, order_findings, run_rules
+from fleetgauge.sources import staging
 from fleetgauge.sources.event_logs import list_event_logs, scan_event_log
 from fleetgauge.sources.runs import result_rows, run_rows, scan_runs, sink_results
-from fleetgauge.streaming.logs import stream_event_logs
+from fleetgauge.streaming.logs import failures_writer, fetch_logs, poll_batch, start_processed, stream_event_logs
 
 T0 = 1_700_000_000_000
 
@@ -203,19 +205,23 @@ def test_order_survives_splits(spark, tmp_path):
     assert config["spark.k"] == "1999" and len(config) == 2001
 
 
-def test_every_codec_gives_the_same_lines(spark, tmp_path):
-    text = "\n".join([start(), stage(0), *[task(0, i) for i in range(25_000)]])
-    data = text.encode()
+def lz4(data):
     sink = pa.BufferOutputStream()
     with pa.CompressedOutputStream(sink, "lz4") as stream:
         stream.write(data)
+    return sink.getvalue().to_pybytes()
+
+
+def test_every_codec_gives_the_same_lines(spark, tmp_path):
+    text = "\n".join([start(), stage(0), *[task(0, i) for i in range(25_000)]])
+    data = text.encode()
     contents = {
         "plain": data,
         "plain.json": data,
         "log.gz": gzip.compress(data),
         "log.gz.json": gzip.compress(data),
         "log.GZ": gzip.compress(data),
-        "log.lz4": sink.getvalue().to_pybytes(),
+        "log.lz4": lz4(data),
         "log.snappy": pa.compress(data, codec="snappy", asbytes=True),
         "log.zstd": pa.compress(data, codec="zstd", asbytes=True),
         "log.zst": pa.compress(data, codec="zstd", asbytes=True),
@@ -270,3 +276,58 @@ def test_stream_picks_up_logs_of_any_age(spark, tmp_path):
             os.utime(logs / "old", (1_000_000_000, 1_000_000_000))
         stream_event_logs(spark, str(logs), str(tmp_path / "checkpoint"), publish).awaitTermination()
     assert sorted(seen) == ["new", "newer", "old"]
+
+
+def test_list_and_scans_name_a_log_alike(spark, tmp_path):
+    for name, content in {"a b.json": b"x\n", "c d.lz4": lz4(b"\xff y\n")}.items():
+        (tmp_path / name).write_bytes(content)
+    listed = list_event_logs(spark, str(tmp_path))
+    scanned = scan_event_log(spark, str(tmp_path)).select(F.col("log_path").alias("path"), "value")
+    rows = listed.join(scanned, "path").select("name", "value").collect()
+    assert sorted(map(tuple, rows)) == [("a b.json", "x"), ("c d.lz4", "\ufffd y")]
+
+
+def test_damaged_logs_do_not_hold_up_the_others(spark, tmp_path):
+    logs, seen = tmp_path / "logs", []
+    logs.mkdir()
+    damaged = {"cut.gz": gzip.compress(os.urandom(50_000))[:-20_000], "bad.snappy": b"\xff\xff\xff\xff\x0fxx", "bad.zst": b"no zstd"}
+    for name, content in damaged.items():
+        (logs / name).write_bytes(content)
+    good = "\n".join([start("good"), stage(0), task(0, 5)])
+    (logs / "good.gz").write_bytes(gzip.compress(good.encode()))
+    (logs / "plain").write_text(good.replace("good", "plain"))
+
+    def publish(fleet, batch_id):
+        seen.extend(r.app_id for r in fleet.jobs.collect())
+
+    failures = str(tmp_path / "failures")
+    stream_event_logs(
+        spark, str(logs), str(tmp_path / "checkpoint"), publish, on_failed=failures_writer(failures)
+    ).awaitTermination()
+    assert sorted(seen) == ["good", "plain"]
+    rows = spark.read.parquet(failures).collect()
+    assert {r.log_path.rsplit("/", 1)[1] for r in rows} == set(damaged) and all(r.error for r in rows)
+
+
+def test_damaged_logs_are_tried_again(spark, tmp_path):
+    logs, state, seen = tmp_path / "logs", str(tmp_path / "state"), []
+    logs.mkdir()
+    (logs / "plain").write_text("\n".join([start("plain"), stage(0), task(0, 5)]))
+    (logs / "cut.gz").write_bytes(gzip.compress(os.urandom(5_000))[:-2_000])
+    start_processed(spark, state)
+    fetch = fetch_logs(spark, str(logs), lambda fleet: seen.extend(r.app_id for r in fleet.jobs.collect()))
+    for batch in range(2):
+        poll_batch(spark, list_event_logs(spark, str(logs)).selectExpr("path AS key"), state, batch, fetch)
+        (logs / "cut.gz").write_bytes(gzip.compress("\n".join([start("mended"), stage(0), task(0, 5)]).encode()))
+    assert seen == ["plain", "mended"]
+
+
+def test_staged_tables_are_deleted_after_a_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "staging_root", lambda spark: str(tmp_path / "shared"))
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a").write_text("\n".join([start("a"), stage(0), task(0, 5)]))
+    seen = []
+    stream_event_logs(
+        spark, str(tmp_path / "logs"), str(tmp_path / "checkpoint"), lambda fleet, _: seen.append(fleet.jobs.count())
+    ).awaitTermination()
+    assert seen == [1] and list((tmp_path / "shared" / "fleetgauge").iterdir()) == []

@@ -116,3 +116,21 @@ def test_flags_and_summary(spark):
     assert flags == {0: [], 1: ["SKEW(5.1x)", "SPILL", "GC(20%)", "FAILURES(2)", "KILLED(3)"]}
     summary = stage_summary(table).filter("stage_id = 1").first()
     assert (summary.gc_percent, summary.skew_ratio, summary.has_spill, summary.has_shuffle) == (20.5, 5.1, True, True)
+
+
+def test_report_keeps_every_field_in_order(spark):
+    reports = spark.createDataFrame([("a", "s", "warning", "why")], "app_id string, summary string, severity string, causal_chain string")
+    rules = found(spark, ("r", "INFO", 2, 1500, 3, 1, "x", "y"), ("r", "INFO", 2, 1500, 2, 2, "x", "y"))
+    advice = spark.createDataFrame(
+        [("a", 1, "spark.x", "1", "2", "t", "e", "i", "r", 4), ("b", 1, "spark.x", "1", "2", "t", "e", "i", "r", 4)],
+        "app_id string, pos bigint, parameter string, current_value string, recommended_value string, title string,"
+        " explanation string, estimated_impact string, risk string, priority bigint",
+    )
+    rows = f.build_report(reports, rules, advice).collect()
+    lines = sorted(rows, key=lambda r: (r.section, r.sev_order, r.rule_ord, r.pos))
+    assert [(r.section, r.stage_id) for r in lines] == [
+        ("finding", 3), ("finding", 2), ("property", None), ("recommendation", None), ("summary", None)
+    ]
+    advised, header = lines[3], lines[4]
+    assert (advised.priority, advised.current_value, advised.explanation, advised.estimated_impact, advised.risk) == (4, "1", "e", "i", "r")
+    assert (header.severity, header.title, header.causal_chain) == ("WARNING", "s", "why")

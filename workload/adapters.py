@@ -259,6 +259,9 @@ def part_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{pick('p_size % 5', *PARAMETERS)} AS parameter",
         "if(p_size % 3 = 0, '', concat('c', p_size)) AS current_value",
         "if(p_size % 7 = 0, '', concat(p_size, 'g')) AS recommended_value",
+        "concat('because of ', p_brand) AS explanation",
+        "concat('saves ', p_size, '%') AS estimated_impact",
+        "p_type AS risk",
     )
 
 
@@ -269,6 +272,7 @@ def supplier_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('app_', s_suppkey) AS app_id",
         "concat('Summary of ', s_name) AS summary",
         f"{pick('s_suppkey % 3', 'critical', 'Warning', 'Warning')} AS severity",
+        "concat('stage ', s_suppkey % 9, ' waits') AS causal_chain",
     )
 
 

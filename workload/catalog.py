@@ -411,9 +411,11 @@ BYTE_SUMS = [n for n, c in metrics.OVERVIEW_SUMS.items() if c.endswith("_bytes")
         CASE WHEN coalesce(total_run_ms, 0) = 0 THEN 0 ELSE total_gc_ms / total_run_ms END * 100 AS gc_percent,
         {', '.join(f"{size_text(f'coalesce(s.{n}, 0)')} AS {n}_text" for n in BYTE_SUMS)},
         ex_count AS executor_count, ex_cores AS executor_cores, ex_failed AS executor_failed_tasks,
-        {_rounded('ex_peak_mem / ex_alloc_mem * 100', 1)} AS memory_utilization_percent
-        FROM jobs j LEFT JOIN (SELECT app_id, count(*) AS stage_count, {SUM_SQL} FROM stages GROUP BY 1) s USING (app_id)""",
-        "jobs",
+        {_rounded('ex_peak_mem / ex_alloc_mem * 100', 1)} AS memory_utilization_percent,
+        {_rounded('slot_percent', 1)} AS slot_utilization_percent, CAST(shuffle_partitions AS BIGINT) AS shuffle_partitions,
+        executor_memory, 4::BIGINT AS cores_per_executor
+        FROM evidence j LEFT JOIN (SELECT app_id, count(*) AS stage_count, {SUM_SQL} FROM stages GROUP BY 1) s USING (app_id)""",
+        "evidence",
         "stages",
     ),
 )
@@ -857,13 +859,19 @@ def analyze(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "severity_counts",
     ask(
-        """SELECT task_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS
-        warning, count(*) FILTER (severity = 'INFO') AS info FROM results GROUP BY 1""",
+        """SELECT task_id, critical, warning, info, CASE WHEN c.task_id IS NOT NULL THEN concat_ws(',',
+        CASE WHEN critical > 0 THEN 'CRITICAL=' || critical END, CASE WHEN warning > 0 THEN 'WARNING=' || warning END,
+        CASE WHEN info > 0 THEN 'INFO=' || info END) END AS severity_counts FROM runs LEFT JOIN (
+          SELECT task_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'WARNING') AS
+          warning, count(*) FILTER (severity = 'INFO') AS info FROM results GROUP BY 1) c USING (task_id)""",
+        "runs",
         "results",
     ),
 )
 def severity_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return findings.severity_counts(A.event_results(spark, sf)).drop("severity_counts")
+    counted = findings.severity_counts(A.event_results(spark, sf), runs=A.event_runs(spark, sf))
+    entries = "transform(map_entries(severity_counts), e -> concat(e.key, '=', e.value))"
+    return counted.withColumn("severity_counts", F.expr(f"array_join({entries}, ',')"))
 
 
 @query(
@@ -937,13 +945,16 @@ def suggested_config(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "build_report",
     ask(
-        """SELECT app_id, 'summary' AS section, 0::BIGINT AS line, upper(severity) AS severity, summary AS title,
-        '' AS parameter, '' AS recommended_value FROM reports UNION ALL
-        SELECT app_id, 'finding', sev_order * 1000 + rule_ord, severity, title, rule_id, recommended_value FROM findings
-        SEMI JOIN reports USING (app_id) UNION ALL
-        SELECT app_id, 'recommendation', pos, '', title, parameter, recommended_value FROM recommendations
-        SEMI JOIN reports USING (app_id) UNION ALL
-        SELECT app_id, 'property', pos, '', '', parameter, recommended_value FROM suggested SEMI JOIN reports USING (app_id)""",
+        """SELECT app_id, 'summary' AS section, 0 AS sev_order, 0 AS rule_ord, 0::BIGINT AS pos, NULL::BIGINT AS stage_id,
+        NULL::BIGINT AS priority, upper(severity) AS severity, summary AS title, '' AS message, '' AS parameter,
+        '' AS current_value, '' AS recommended_value, '' AS explanation, '' AS estimated_impact, '' AS risk, causal_chain
+        FROM reports UNION ALL
+        SELECT app_id, 'finding', sev_order, rule_ord, coalesce(stage_id, -1), stage_id, NULL, severity, title, message, rule_id, current_value,
+        recommended_value, '', estimated_impact, '', '' FROM findings SEMI JOIN reports USING (app_id) UNION ALL
+        SELECT app_id, 'recommendation', 0, 0, pos, NULL, priority, '', title, '', parameter, current_value, recommended_value,
+        explanation, estimated_impact, risk, '' FROM recommendations SEMI JOIN reports USING (app_id) UNION ALL
+        SELECT app_id, 'property', 0, 0, pos, NULL, NULL, '', '', '', parameter, '', recommended_value, '', '', '', ''
+        FROM suggested SEMI JOIN reports USING (app_id)""",
         "findings",
         "suggested",
         "reports",

@@ -425,7 +425,8 @@ SELECT 'app_' || (p_partkey % 100) AS app_id, p_partkey AS pos, p_name AS title,
   CASE p_size % 5 WHEN 0 THEN 'spark.executor.memory' WHEN 1 THEN 'spark.sql.shuffle.partitions'
     WHEN 2 THEN 'spark.memory.fraction' WHEN 3 THEN '' ELSE 'spark.sql.autoBroadcastJoinThreshold' END AS parameter,
   CASE WHEN p_size % 3 = 0 THEN '' ELSE 'c' || p_size END AS current_value,
-  CASE WHEN p_size % 7 = 0 THEN '' ELSE p_size || 'g' END AS recommended_value
+  CASE WHEN p_size % 7 = 0 THEN '' ELSE p_size || 'g' END AS recommended_value, CAST(p_size % 5 AS BIGINT) AS priority,
+  'because of ' || p_brand AS explanation, 'saves ' || p_size || '%' AS estimated_impact, p_type AS risk
 FROM part
 """
 SUGGESTED = """
@@ -434,7 +435,8 @@ FROM recommendations WHERE parameter LIKE 'spark.%' AND recommended_value <> ''
 """
 REPORTS = """
 SELECT 'app_' || s_suppkey AS app_id, 'Summary of ' || s_name AS summary,
-  CASE s_suppkey % 3 WHEN 0 THEN 'critical' ELSE 'Warning' END AS severity FROM supplier
+  CASE s_suppkey % 3 WHEN 0 THEN 'critical' ELSE 'Warning' END AS severity,
+  'stage ' || (s_suppkey % 9) || ' waits' AS causal_chain FROM supplier
 """
 CONFIG = """
 SELECT app_id, k, key, value FROM (
