@@ -77,7 +77,7 @@ class Postings:
 
 
 class Index:
-    """BM25 index of items ``(id, text)``; items without two words are left to exact lookup by their one word."""
+    """BM25 index of items ``(id, text)``; an item of one word has that word as its only term."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
@@ -115,7 +115,7 @@ class Index:
         return Postings(items, impacts, last, np.maximum.reduceat(impacts, starts), float(impacts.max()))
 
     def terms(self, words: list[str]) -> np.ndarray:
-        """The list number of the word pair that begins at each word, -1 without one."""
+        """Two rows: the list number of the word pair that begins at each word, and of the word alone; -1 without one."""
         get = self.vocabulary.get
         numbers = np.array([get(w, -1) for w in words], np.int64)
         size = len(self.vocabulary) + 1
@@ -126,8 +126,7 @@ class Index:
             at = np.searchsorted(self.codes, code)
             hit = (at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == code)
             found.append(np.where(hit, at, -1))
-        # a one-word item's list, if the pair itself is not in the index
-        return np.where(found[0] >= 0, found[0], found[1])
+        return np.array(found)
 
     def wand(self, lists: list[int], threshold: float) -> list[tuple[int, float]]:
         """Every item whose summed impacts over the lists reach the threshold, with its score.
@@ -185,14 +184,14 @@ class Index:
         terms = self.terms(words)
         if not (terms >= 0).any():
             return []
-        bounds = np.concatenate([[0.0], np.cumsum(self.largest[terms])])
+        bounds = np.concatenate([[0.0], np.cumsum(self.largest[terms].sum(axis=0))])
         step, best = self.longest, {}
         starts = np.arange(0, max(1, len(words) - step), step)
         ends = np.minimum(starts + 2 * step, len(words))
         # the sum of largest impacts bounds every score: below the threshold there is no pivot
         for at in np.flatnonzero(bounds[ends] - bounds[starts] >= retrieve - 1e-9):
             window = words[starts[at] : ends[at]]
-            lists = np.unique(terms[starts[at] : ends[at]])
+            lists = np.unique(terms[:, starts[at] : ends[at]])
             for item, score in self.wand(lists[lists >= 0].tolist(), retrieve):
                 question, answer = (overlap(part, window) for part in self.parts[item])
                 if min(question, answer) >= least and score > best.get(item, (0.0,))[0]:

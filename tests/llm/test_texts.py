@@ -173,6 +173,12 @@ def test_wand_retrieves_what_scoring_every_item_does():
             assert found == pytest.approx({k: v for k, v in scores.items() if v >= threshold})
 
 
+def test_one_word_item_is_found_where_a_longer_item_shares_the_word():
+    index = contamination.Index([(1, "alpha"), (2, "alpha beta gamma")])
+    assert [h[0] for h in index.search("delta alpha beta delta", 0.5, 0.8)] == [1]
+    assert [h[0] for h in index.search("alpha beta gamma", 0.5, 0.8)] == [1, 2]
+
+
 def test_leaks_are_found_and_clean_texts_left(spark, empty):
     items = ["What is the name of the river near the town?\nThe river near the town is called Elm.", "one", None, "five short words are here"]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
