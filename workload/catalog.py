@@ -1285,6 +1285,22 @@ def filter_new_and_mark(spark: SparkSession, sf: str) -> DataFrame:
     return table.selectExpr("key", "unix_micros(processed_at) AS processed_us")
 
 
+@query(
+    "filter_new_and_mark_all",
+    ask(
+        """SELECT task_id AS key, created_us AS processed_us FROM runs WHERE mode <> 'agent'
+        UNION ALL SELECT task_id, epoch_us(TIMESTAMP '2024-01-31 00:00:00') FROM runs WHERE mode = 'agent'
+        AND status <> 'pending'""",
+        "runs",
+    ),
+)
+def filter_new_and_mark_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Without a cap every key is kept."""
+    now = F.lit(A.AS_OF).cast("timestamp")
+    _, table = dedup.filter_new_and_mark(_candidates(spark, sf), _processed(spark, sf), now)
+    return table.selectExpr("key", "unix_micros(processed_at) AS processed_us")
+
+
 @query(
     "evict_processed",
     ask(
@@ -1394,6 +1410,23 @@ def window_rate(spark: SparkSession, sf: str) -> DataFrame:
     return rates.selectExpr("unix_micros(window_start) AS window_us", "status", "events", "rate")
 
 
+@query(
+    "stream_window_rate",
+    ask(
+        f"""SELECT * FROM ({RATE_SQL.format(label="status", source=STATUS_LOG_SQL)}) WHERE window_us + 300000000 <=
+        (SELECT max(us) FROM ({STATUS_LOG_SQL})) // 1000 * 1000 - 600000000""",
+        "runs",
+    ),
+)
+def stream_window_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows that the watermark has passed when the stream has read all status events."""
+    stream = _streamed_status(spark, sf)
+    rates = _finished(
+        spark, lambda w, c: status_stream.stream_window_rate(stream, ["status"], w, c, watermark="10 minutes")
+    )
+    return rates.selectExpr("unix_micros(window_start) AS window_us", "status", "events", "rate")
+
+
 @query(
     "window_rate_findings",
     ask(
