@@ -19,6 +19,8 @@ from fleetgauge.llm import contamination, language, packing, personal_data, shin
 from fleetgauge.llm.shared import configure, shared_folder, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Copies in the corpus are found more widely than by the query op10, whose contract is three words and 0.9.
+SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked documents."""
-    found = shingle_join.shingle_components(docs)
+    """Keeps the document with the smallest id of each group of documents linked by five-word shingles at 0.8."""
+    found = shingle_join.shingle_components(docs, SHINGLE_WORDS, similarity=SIMILARITY)
     gone = written(found.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from fleetgauge.llm.shared import block_of, configure, drop_written, hash_bitmap, leading_bits, per_batch, smallest_reachable, spanning_links, written
 
 SHINGLE_WORDS = 3
-# Similarity as a fraction of whole numbers, so that no rounding decides.
-NUMERATOR, DENOMINATOR = 90, 100
+# Similarity as a fraction of whole numbers, numerator and denominator, so that no rounding decides.
+SIMILARITY = (90, 100)
 SKETCH_BITS = 21
 SLICES = 256
 FILTER_BITS = 22
@@ -130,10 +130,11 @@ def summed_sketch(parts: DataFrame, bits: int) -> np.ndarray:
     return sketch
 
 
-def prefix_index(docs: DataFrame, sketch: np.ndarray, size: int, bits: int) -> DataFrame:
+def prefix_index(docs: DataFrame, sketch: np.ndarray, size: int, bits: int, similarity: tuple[int, int]) -> DataFrame:
     """``token, sid, n, pos``: each set under its rarest shingles, positions from 1. A set is filed once in a task."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(sketch)  # 4 * 2^bits bytes
+    numerator, denominator = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
@@ -147,7 +148,7 @@ def prefix_index(docs: DataFrame, sketch: np.ndarray, size: int, bits: int) -> D
                     continue
                 seen.add(sid)
                 n = len(shingles)
-                prefix = n - -(-NUMERATOR * n // DENOMINATOR) + 1
+                prefix = n - -(-numerator * n // denominator) + 1
                 rank = counts[leading_bits(shingles.view(np.int64), bits)]
                 # hashes are sorted: a stable sort by count leaves ties in hash order
                 tokens.append(shingles[np.argsort(rank, kind="stable")[:prefix]])
@@ -168,26 +169,28 @@ def prefix_index(docs: DataFrame, sketch: np.ndarray, size: int, bits: int) -> D
     return docs.select("text").mapInArrow(run, "token bigint, sid bigint, n bigint, pos bigint")
 
 
-def needed_overlap(a: str, b: str) -> str:
+def needed_overlap(a: str, b: str, similarity: tuple[int, int]) -> str:
     """SQL for the smallest overlap at which sets of sizes ``a`` and ``b`` link."""
-    total = NUMERATOR + DENOMINATOR
-    return f"(({NUMERATOR} * ({a} + {b}) + {total - 1}) DIV {total})"
+    numerator, total = similarity[0], sum(similarity)
+    return f"(({numerator} * ({a} + {b}) + {total - 1}) DIV {total})"
 
 
-def plausible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, prefixes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``a, b`` of the pairs whose prefixes share enough; ``prefixes`` has ``sid, n, tokens``, the tokens in any list.
 
     Of two prefixes, one ends no later in the order. All shingles in common up to there are in both prefixes, and after it
     that set has ``n`` less its prefix left, so the overlap is at most the tokens in common plus the larger rest.
     """
 
+    numerator, denominator = similarity
+
     def rest(n: str) -> str:
-        return f"(({NUMERATOR} * {n} + {DENOMINATOR - 1}) DIV {DENOMINATOR} - 1)"
+        return f"(({numerator} * {n} + {denominator - 1}) DIV {denominator} - 1)"
 
     both = pairs.select("a", "b").join(prefixes.selectExpr("sid AS a", "n AS na", "tokens AS ta"), "a")
     both = both.join(prefixes.selectExpr("sid AS b", "n AS nb", "tokens AS tb"), "b")
     most = f"size(array_intersect(ta, tb)) + greatest({rest('na')}, {rest('nb')})"
-    return both.filter(f"{most} >= {needed_overlap('na', 'nb')}").select("a", "b")
+    return both.filter(f"{most} >= {needed_overlap('na', 'nb', similarity)}").select("a", "b")
 
 
 def shingles_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -248,14 +251,18 @@ def overlaps(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return per_batch(both, "a bigint, b bigint, na bigint, nb bigint, o bigint", make)
 
 
-LINKS = f"{DENOMINATOR} * o >= {NUMERATOR} * (na + nb - o)"
+def links(similarity: tuple[int, int]) -> str:
+    """SQL: whether sets of sizes ``na`` and ``nb`` with the overlap ``o`` link."""
+    numerator, denominator = similarity
+    return f"{denominator} * o >= {numerator} * (na + nb - o)"
 
 
-def may_link(a: str, b: str) -> str:
+def may_link(a: str, b: str, similarity: tuple[int, int]) -> str:
     """SQL: whether sets with a shingle in common, after which ``n - pos`` more can match, can still link."""
+    numerator, denominator = similarity
     return (
-        f"{DENOMINATOR} * least({a}_n, {b}_n) >= {NUMERATOR} * greatest({a}_n, {b}_n)"
-        f" AND 1 + least({a}_n - {a}_pos, {b}_n - {b}_pos) >= {needed_overlap(f'{a}_n', f'{b}_n')}"
+        f"{denominator} * least({a}_n, {b}_n) >= {numerator} * greatest({a}_n, {b}_n)"
+        f" AND 1 + least({a}_n - {a}_pos, {b}_n - {b}_pos) >= {needed_overlap(f'{a}_n', f'{b}_n', similarity)}"
     )
 
 
@@ -268,31 +275,31 @@ def mixed_lists(lists: DataFrame, components: DataFrame) -> DataFrame:
     return written(labelled.join(ends.filter("lo < hi").select("token"), "token", "left_semi"), "mixed-lists")
 
 
-def size_band() -> Column:
+def size_band(similarity: tuple[int, int]) -> Column:
     """Sets that link are of the same band or of adjacent ones."""
-    return F.floor(F.log("n") / np.log(DENOMINATOR / NUMERATOR))
+    return F.floor(F.log("n") / np.log(similarity[1] / similarity[0]))
 
 
-def near_in_size(lists: DataFrame) -> DataFrame:
+def near_in_size(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The entries whose list holds another set of their own size band or an adjacent one."""
-    banded = lists.withColumn("band", size_band())
+    banded = lists.withColumn("band", size_band(similarity))
     held = banded.groupBy("token", "band").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
     around = held.select("token", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), "lo", "hi")
     around = around.groupBy("token", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi")
     return banded.join(around.select("token", "band"), ["token", "band"], "left_semi").drop("band")
 
 
-def head_pairs(lists: DataFrame) -> DataFrame:
+def head_pairs(lists: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``a, b``: every set with a head of one of its lists that may link to it.
 
     A list has a head for each band of set sizes, by a hash; a set meets those of its own band and the adjacent ones.
     """
-    banded = lists.withColumn("band", size_band())
+    banded = lists.withColumn("band", size_band(similarity))
     heads = banded.groupBy("token", "band").agg(F.max(F.struct(F.xxhash64("sid").alias("first"), "sid", "n", "pos")).alias("h"))
     heads = heads.select("token", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), "h")
     heads = heads.selectExpr("token", "band", "h.sid AS b", "h.n AS b_n", "h.pos AS b_pos")
     entries = banded.selectExpr("token", "band", "sid AS a", "n AS a_n", "pos AS a_pos")
-    met = entries.join(heads, ["token", "band"]).filter("a <> b").filter(may_link("a", "b")).groupBy("a", "b").count()
+    met = entries.join(heads, ["token", "band"]).filter("a <> b").filter(may_link("a", "b", similarity)).groupBy("a", "b").count()
     # one comparison for a set, with the head it meets in most lists; later steps see to the others
     best = met.groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).selectExpr("a", "best.b AS b")
     return best.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
@@ -356,12 +363,13 @@ def overlap_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return total.astype(np.int64)
 
 
-def unit_links(units: DataFrame) -> DataFrame:
+def unit_links(units: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``a, b``: links that connect what links between different components within the units connect."""
+    numerator, denominator = similarity
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            links: list[tuple[int, int]] = []
+            found: list[tuple[int, int]] = []
             for members in batch.column("members"):
                 rows = members.values
                 side = rows.field("left").to_numpy(zero_copy_only=False).astype(bool)
@@ -373,10 +381,10 @@ def unit_links(units: DataFrame) -> DataFrame:
                 o = overlap_matrix([sets[i] for i in left], [sets[i] for i in right])
                 n = np.array([len(s) for s in sets])
                 together = n[left][:, None] + n[right][None, :] - o
-                linked = (DENOMINATOR * o >= NUMERATOR * together) & (component[left][:, None] != component[right][None, :])
+                linked = (denominator * o >= numerator * together) & (component[left][:, None] != component[right][None, :])
                 if linked.any():
-                    links += spanning_links(linked, sid[left], sid[right])
-            a, b = zip(*links) if links else ((), ())
+                    found += spanning_links(linked, sid[left], sid[right])
+            a, b = zip(*found) if found else ((), ())
             return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         return step
@@ -384,14 +392,14 @@ def unit_links(units: DataFrame) -> DataFrame:
     return per_batch(units, "a bigint, b bigint", make)
 
 
-def open_pairs(mixed: DataFrame, pivots: DataFrame) -> DataFrame:
+def open_pairs(mixed: DataFrame, pivots: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``a, b, na, nb``: pairs of different components and pivots that the blocks of some list do not rule out."""
     mixed = written(mixed.join(pivots, "sid", "left").withColumn("pivot", F.coalesce("pivot", "sid")), "open-lists")
     blocks = mixed.groupBy("token", "n", "pos", "pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     small = blocks.select("token", *[F.col(c).alias(f"a_{c}") for c in ("n", "pos", "pivot", "lo", "hi")])
     large = blocks.select("token", *[F.col(c).alias(f"b_{c}") for c in ("n", "pos", "pivot", "lo", "hi")])
     kept = small.join(large, "token").filter(
-        f"{may_link('a', 'b')} AND struct(a_n, a_pos, a_pivot) < struct(b_n, b_pos, b_pivot) AND a_pivot <> b_pivot"
+        f"{may_link('a', 'b', similarity)} AND struct(a_n, a_pos, a_pivot) < struct(b_n, b_pos, b_pivot) AND a_pivot <> b_pivot"
         " AND NOT (a_lo = a_hi AND b_lo = b_hi AND a_lo = b_lo)"
     )
     kept = kept.select("token", "a_n", "a_pos", "a_pivot", "b_n", "b_pos", "b_pivot")
@@ -404,7 +412,7 @@ def open_pairs(mixed: DataFrame, pivots: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def derived(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def derived(pairs: DataFrame, known: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``a, b, verdict``: true or false where overlaps with a common set settle the pair, null where they do not.
 
     With ``p`` common, ``x = |a & p|`` and ``y = |b & p|``: the pair shares at least ``x + y - |p|``, and at most ``min(x, y)``
@@ -418,7 +426,7 @@ def derived(pairs: DataFrame, known: DataFrame) -> DataFrame:
         .withColumn("most_shared", F.expr("least(x, y) + least(na - x, nb - y)"))
         .withColumn("most_shared", F.expr("if(y IS NULL, NULL, most_shared)"))
     )
-    need = needed_overlap("na", "nb")
+    need = needed_overlap("na", "nb", similarity)
     bounds = through.groupBy("a", "b", "na", "nb").agg(F.max("least_shared").alias("low"), F.min("most_shared").alias("top"))
     return bounds.select("a", "b", F.expr(f"CASE WHEN low >= {need} THEN true WHEN top < {need} THEN false END").alias("verdict"))
 
@@ -431,11 +439,13 @@ def joined_components(components: DataFrame, links: DataFrame) -> DataFrame:
     return written(smallest_reachable(links.select("a", "b").union(spanning)), "components")
 
 
-def shingle_components(docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = SKETCH_BITS) -> DataFrame:
+def shingle_components(
+    docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = SKETCH_BITS, similarity: tuple[int, int] = SIMILARITY
+) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``.
 
-    Two documents link when the Jaccard similarity of their sets of word shingles is at least 0.9; a text of fewer words than
-    a shingle has one of all its words. Null texts and texts without words have an empty set and link with nothing. The
+    Two documents link when the Jaccard similarity of their sets of shingles of ``size`` words is at least the fraction
+    ``similarity``; a text of fewer words than a shingle has one of all its words. Null texts and texts without words have an empty set and link with nothing. The
     component is the smallest id reachable by links; rows with equal sets, repeated rows too, are one component. A null id
     has a null component unless its text links to a row with an id. Other columns are ignored; an empty table gives no rows.
     """
@@ -445,18 +455,18 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = S
     sets = passed.filter("n IS NOT NULL").select("doc_id", "n", "sid")
     reps = sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
-    index = written(prefix_index(docs, sketch, size, bits), "index")
+    index = written(prefix_index(docs, sketch, size, bits, similarity), "index")
     shared = index.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
     lists = written(index.join(shared.filter("lo < hi").select("token"), "token", "left_semi").distinct(), "lists")
     drop_written(index)
-    lists = written(near_in_size(lists), "near-lists")
+    lists = written(near_in_size(lists, similarity), "near-lists")
     # as many tokens as a set's prefix has
     prefixes = written(lists.groupBy("sid", "n").agg(F.collect_set("token").alias("tokens")), "prefixes")
 
-    pairs = written(plausible(head_pairs(lists), prefixes), "head-pairs")
+    pairs = written(plausible(head_pairs(lists, similarity), prefixes, similarity), "head-pairs")
     found = shingles_of(docs, reps, pairs.selectExpr("a AS sid").union(pairs.selectExpr("b AS sid")), size)
     known = written(overlaps(pairs, found), "overlaps")
-    components = written(smallest_reachable(known.filter(LINKS).select("a", "b")), "components")
+    components = written(smallest_reachable(known.filter(links(similarity)).select("a", "b")), "components")
     mixed = mixed_lists(lists, components)
 
     # sets next to one component, their pivot, are compared in blocks: those outside it with all
@@ -466,17 +476,17 @@ def shingle_components(docs: DataFrame, size: int = SHINGLE_WORDS, bits: int = S
     several = members.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     members = members.join(several.select("pivot"), "pivot", "left_semi")
     found = shingles_of(docs, reps, members.select("sid"), size)
-    more = written(unit_links(pivot_units(members, found, BLOCK_ROWS)), "pivot-links")
+    more = written(unit_links(pivot_units(members, found, BLOCK_ROWS), similarity), "pivot-links")
     components = joined_components(components, more)
     mixed = mixed_lists(lists, components)
 
-    left = open_pairs(mixed, pivots).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    left = open_pairs(mixed, pivots, similarity).join(known.select("a", "b"), ["a", "b"], "left_anti")
     left = written(left, "open-pairs")
-    left = left.join(plausible(left, prefixes), ["a", "b"], "left_semi")
-    settled = written(derived(left, known), "settled")
+    left = left.join(plausible(left, prefixes, similarity), ["a", "b"], "left_semi")
+    settled = written(derived(left, known, similarity), "settled")
     unsure = settled.filter("verdict IS NULL").select("a", "b")
     found = shingles_of(docs, reps, unsure.selectExpr("a AS sid").union(unsure.selectExpr("b AS sid")), size)
-    more = overlaps(unsure, found).filter(LINKS).select("a", "b").union(settled.filter("verdict").select("a", "b"))
+    more = overlaps(unsure, found).filter(links(similarity)).select("a", "b").union(settled.filter("verdict").select("a", "b"))
     components = joined_components(components, written(more, "more-links"))
 
     groups = reps.join(components.withColumnRenamed("node", "sid"), "sid", "left").select(

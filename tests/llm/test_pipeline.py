@@ -1,5 +1,7 @@
 """The pipeline against plain versions of its stages, on the smallest documents."""
 
+import random
+
 import corpus_pipeline
 from fleetgauge.llm import contamination, queries
 from fleetgauge.llm.tokens import default_vocabulary, token_ids
@@ -43,3 +45,36 @@ def test_queries_are_registered():
 
     names = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names and len(queries.QUERIES) == 10
+
+
+def five_word_groups(texts):
+    """The smallest id of each id's group, linked by a Jaccard similarity of 0.8 of five-word shingles."""
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} - {()} for i, w in words.items()}
+    group = {i: i for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and 100 * len(a & b) >= 80 * len(a | b):
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return group
+
+
+def test_join_stage_links_five_word_shingles_at_four_fifths(spark):
+    draw = random.Random(4)
+    given = spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()
+    texts = [None, "", "One two", "one  two", *(r.text for r in given)]
+    for length in (4, 5, 20, 50, 200):
+        for _ in range(6):
+            base = draw.choices([f"w{i}" for i in range(300)], k=length)
+            texts.append(" ".join(base))
+            for _ in range(draw.randrange(1, 5)):
+                copy = list(base)
+                for _ in range(draw.randrange(1, 2 + length // 40)):
+                    copy[draw.randrange(length)] = "other"
+                texts.append(" ".join(copy))
+    draw.shuffle(texts)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.join_shingles(spark, docs, SMALL).collect()}
+    assert kept == {i for i, g in five_word_groups(dict(enumerate(texts))).items() if i == g}
