@@ -2,11 +2,12 @@
 
 A rotation of the centred, principal-component space is learned on a bounded sample so that the signs of the rotated
 coordinates lose as little as possible; the signs are a balanced 64-bit code. Codes are cut into four substrings of 16
-bits, one table each. Two vectors are candidates if some substring differs in at most one bit, which any two codes that
-differ in up to seven bits fulfil. Candidates are compared by the cosine of their original vectors.
+bits, one table each. Two vectors are candidates if some substring differs in at most two bits, which any two codes that
+differ in up to eleven bits fulfil. Candidates are compared by the cosine of their original vectors. Subtracting a mean that all
+vectors share widens the angles between them, so only as much of it goes as leaves pairs planted at the threshold candidates.
 
-A vector is filed under its substring in every table (at home) and visits the buckets whose substring lacks one of its
-set bits, so every candidate pair meets in some bucket. It is counted only where it meets first: in the lowest
+A vector is filed under its substring in every table (at home) and visits the buckets of smaller substrings up to two bits
+away, so every candidate pair meets in some bucket. It is counted only where it meets first: in the lowest
 table in which it is a candidate, in the bucket of the smaller substring. Buckets are dealt into blocks by the hash of the
 id; a pair of blocks is one unit of work, a product of two small matrices. Units give out link counts and a spanning set
 of links, never pairs, so a bucket with a third of all vectors is spread over many tasks. Equal vectors are one vector
@@ -26,6 +27,12 @@ from fleetgauge.llm.shared import block_of, configure, per_batch, smallest_reach
 
 BITS, TABLES = 64, 4
 PART = BITS // TABLES
+PROBE_BITS = 2
+# Changes of a substring in up to PROBE_BITS bits.
+PROBES = [m for m in range(1, 2**PART) if m.bit_count() <= PROBE_BITS]
+# Parts of the mean that are tried, and the share of the planted pairs that must be candidates.
+CENTRING = (1.0, 0.75, 0.5, 0.25, 0.0)
+PLANTED_RECALL = 0.95
 SAMPLE_ROWS = 8000
 ITERATIONS = 40
 BLOCK_ROWS = 256
@@ -45,13 +52,46 @@ class Quantiser:
         return np.packbits(padded, axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fit_quantiser(sample: np.ndarray, iterations: int = ITERATIONS, seed: int = 5) -> Quantiser:
+def candidates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs of codes agree in some substring but for ``PROBE_BITS`` bits."""
+    mask = np.uint64(2**PART - 1)
+    different = a ^ b
+    near = [np.bitwise_count(different >> np.uint64(PART * tab) & mask) <= PROBE_BITS for tab in range(TABLES)]
+    return np.logical_or.reduce(near)
+
+
+def planted_near(sample: np.ndarray, mean: np.ndarray, cosine: float, generator: np.random.Generator) -> np.ndarray:
+    """For each unit vector another at the given cosine that shares its part along the mean, as near as can be."""
+    length = np.sqrt(mean @ mean)
+    along = (sample @ mean)[:, None] * mean / length**2 if length > 0 else np.zeros_like(sample)
+    rest = sample - along
+    left = (rest * rest).sum(axis=1, keepdims=True)
+    turn = np.clip((cosine - 1 + left) / np.maximum(left, 1e-12), -1, 1)
+    away = generator.normal(size=sample.shape)
+    away -= (away @ mean)[:, None] * mean / length**2 if length > 0 else 0
+    away -= (away * rest).sum(axis=1, keepdims=True) * rest / np.maximum(left, 1e-12)
+    away *= np.sqrt(left) / np.maximum(np.sqrt((away * away).sum(axis=1, keepdims=True)), 1e-12)
+    return along + turn * rest + np.sqrt(1 - turn * turn) * away
+
+
+def fit_quantiser(sample: np.ndarray, iterations: int = ITERATIONS, seed: int = 5, cosine: float = COSINE) -> Quantiser:
+    """The quantiser with the most of the mean subtracted that still finds pairs planted at ``cosine``."""
+    size = sample.shape[1]
+    mean = sample.mean(axis=0) if len(sample) else np.zeros(size)
+    near = planted_near(sample, mean, cosine, np.random.default_rng(seed))
+    for share in CENTRING:
+        quantiser = _rotated(sample, share * mean, iterations, seed)
+        if candidates(quantiser.codes(sample), quantiser.codes(near)).mean() >= PLANTED_RECALL:
+            break
+    return quantiser
+
+
+def _rotated(sample: np.ndarray, mean: np.ndarray, iterations: int, seed: int) -> Quantiser:
     """Iterative quantisation: alternate between the nearest codes and the rotation that best maps onto them.
 
     With fewer coordinates than bits, several rotations from different starts fill the code.
     """
     size = sample.shape[1]
-    mean = sample.mean(axis=0) if len(sample) else np.zeros(size)
     centred = sample - mean
     _, _, axes = np.linalg.svd(centred.T @ centred / max(1, len(sample)))
     generator = np.random.default_rng(seed)
@@ -95,14 +135,14 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return per_batch(rows, schema, make).filter("vector IS NOT NULL")
 
 
-def learn(units: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[int, Quantiser]:
+def learn(units: DataFrame, sample_rows: int = SAMPLE_ROWS, cosine: float = COSINE) -> dict[int, Quantiser]:
     """A quantiser for each vector length, from the rows with the smallest hash of their id: at most ``sample_rows`` each."""
     found = {}
     lengths = [r[0] for r in units.select(F.length("vector")).distinct().limit(100).collect()]
     for length in lengths:
         drawn = units.filter(F.length("vector") == length).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows)
         rows = [np.frombuffer(r[0], np.float64) for r in drawn.select("vector").toLocalIterator()]
-        found[length] = fit_quantiser(np.array(rows))
+        found[length] = fit_quantiser(np.array(rows), cosine=cosine)
     return found
 
 
@@ -136,9 +176,9 @@ def meetings(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     at_home = vectors.select("label", "vec_id", "code", F.explode(F.array(*map(F.lit, range(TABLES)))).alias("tab"))
     at_home = at_home.select("label", "tab", part.alias("part"), "vec_id")
     buckets = at_home.groupBy("label", "tab", "part").agg(F.count("*").alias("n_home"))
-    bit = F.explode(F.expr(f"filter(sequence(0, {PART - 1}), b -> (part & shiftleft(1, b)) != 0)")).alias("b")
-    visits = at_home.select("label", "tab", "part", "vec_id", bit)
-    visits = visits.select("label", "tab", F.expr("part & ~shiftleft(1L, b)").alias("part"), "vec_id")
+    changes = ", ".join(f"{m}L" for m in PROBES)
+    near = F.explode(F.expr(f"filter(transform(array({changes}), m -> part ^ m), p -> p < part)")).alias("part")
+    visits = at_home.select("label", "tab", near, "vec_id")
     # most visits find nobody at home
     visits = visits.join(buckets.select("label", "tab", "part"), ["label", "tab", "part"], "left_semi")
     rows = at_home.withColumn("home", F.lit(True)).unionByName(visits.withColumn("home", F.lit(False)))
@@ -175,7 +215,7 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, tab: int, b_home: np.ndarray, a
     different = a[:, None] ^ b[None, :]
     counted = np.where(b_home[None, :], a_ids[:, None] < b_ids[None, :], True)
     for earlier in range(tab):
-        counted &= np.bitwise_count(different >> np.uint64(PART * earlier) & mask) > 1
+        counted &= np.bitwise_count(different >> np.uint64(PART * earlier) & mask) > PROBE_BITS
     return counted
 
 
@@ -244,7 +284,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_rows: int = B
     configure(vectors.sparkSession)
     units = written(unit_vectors(vectors), "units")
     distinct = units.groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
-    distinct = written(coded(distinct, learn(units)), "codes")
+    distinct = written(coded(distinct, learn(units, cosine=cosine)), "codes")
 
     held = meetings(distinct, block_rows)
     joined = held.join(distinct.select("vec_id", "weight", "code", "vector"), "vec_id")

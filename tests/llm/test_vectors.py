@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from fleetgauge.llm.vectors import near_vectors
 
@@ -47,3 +48,19 @@ def test_no_vectors_and_repeated_ids(spark, empty):
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (None, [1.0, 0.0], 1)]
     found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in found) == [(0, 0, None), (1, 1, 1), (1, 1, 1), (2, 0, 2)]
+
+
+@pytest.mark.parametrize("shared", [0.0, 0.7])
+def test_links_near_the_threshold_are_found_with_and_without_a_common_mean(spark, shared):
+    draw = np.random.default_rng(8)
+    mean = np.eye(64)[0] * np.sqrt(shared)
+    rows = []
+    for cosine in np.repeat([0.9301, 0.94, 0.95, 0.96], 150):
+        base, away = np.linalg.qr(draw.normal(size=(63, 2)))[0].T * np.sqrt(1 - shared)
+        turn = (cosine - shared) / (1 - shared)
+        for rest in (base, turn * base + np.sqrt(1 - turn**2) * away):
+            rows.append((len(rows), (mean + np.concatenate([[0.0], rest])).tolist(), 1))
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    units = np.array([v for _, v, _ in rows])
+    links = (units @ units.T >= 0.93).sum() - len(rows)
+    assert 0.9 * links <= sum(r.n_links for r in found) <= links
