@@ -77,10 +77,16 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _is_octet(part: str) -> bool:
+    """Whether digits are at most 255; of any length, though ``int`` refuses more than 4300."""
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[Span]:
     """Base spans by kind, then start; leftmost, not overlapping within a kind."""
     out = [Span("email", *s) for s in _emails(text)]
-    out += [Span("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [Span("ip", *m.span()) for m in IP.finditer(text) if all(map(_is_octet, m[0].split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = _digits(m[0])

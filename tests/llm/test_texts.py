@@ -256,3 +256,9 @@ def test_main_text(spark, empty):
     found = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
     assert [(r.page_id, r.n_chars) for r in found][:4] == [(1, 0), (2, 0), (3, 30), (3, 30)]
     assert html_text.extract_text(empty("page_id long, url string, html string")).collect() == []
+
+
+def test_addresses_with_very_long_parts_are_read():
+    for part, found in (("9" * 5000, []), ("0" * 5000 + "7", ["ip:0:5007"]), ("0" * 5000, ["ip:0:5006"])):
+        spans = personal_data.base_spans(f"1.2.3.{part}")
+        assert [str(s) for s in spans if s.kind == "ip"] == found
