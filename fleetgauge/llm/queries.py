@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import contamination, edit_counts, html_text, language, packing, personal_data, shingle_join
-from fleetgauge.llm import substrings, url_filter, vectors
+from fleetgauge.llm import contamination, divergence, edit_counts, html_text, language, license_scan, packing
+from fleetgauge.llm import personal_data, shingle_join, substrings, token_links, url_filter, vectors
 from fleetgauge.llm.shared import table
 from fleetgauge.llm.url_filter import Rule
 
@@ -77,6 +77,18 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.shingle_components(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.align_tokens(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,6 +102,9 @@ QUERIES = {
         op8_main_text,
         op9_best_fit,
         op10_shingle_join,
+        op11_license_scan,
+        op12_token_links,
+        op13_source_divergence,
     )
 }
 
@@ -142,4 +157,35 @@ links AS (
     WHERE 100 * o >= 90 * (x.n + y.n - o)),{_COMPONENTS}
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(s.other, d.doc_id), d.doc_id) AS component_id
 FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN smallest s ON s.node = d.doc_id""",
+    "op13_source_divergence": r"""
+WITH rows AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+hits AS (SELECT id, lang, source, unnest(terms) AS term FROM rows),
+kept AS (SELECT lang, term, count(*) AS n FROM hits GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, count(*) AS n FROM hits SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+members AS (
+    SELECT g.lang, g.source, coalesce(t.total, 0) AS total, coalesce(s.v, 0) AS v
+    FROM (SELECT DISTINCT lang, source FROM rows) g LEFT JOIN totals t USING (lang, source) LEFT JOIN sizes s ON s.lang = g.lang),
+shares AS (
+    SELECT m.lang, m.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (m.total + 5 * m.v) AS p
+    FROM members m JOIN kept k ON k.lang = m.lang LEFT JOIN cells c ON c.lang = m.lang AND c.source = m.source AND c.term = k.term),
+pairs AS (
+    SELECT x.lang, x.source, y.source AS item, coalesce(sum(abs(p.p - q.p)), 0) AS value
+    FROM members x JOIN members y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN shares p ON p.lang = x.lang AND p.source = x.source
+    LEFT JOIN shares q ON q.lang = y.lang AND q.source = y.source AND q.term = p.term GROUP BY ALL),
+terms AS (
+    SELECT p.lang, p.source, p.term AS item, p.p - (1 + (CAST(1000000000 AS HUGEINT) * (k.n + 5)) // (s.total + 5 * s.v)) AS value
+    FROM shares p JOIN kept k ON k.lang = p.lang AND k.term = p.term JOIN sizes s ON s.lang = p.lang WHERE p.n > 0),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+          UNION ALL SELECT lang, source, 'term', item, value FROM terms WHERE value > 0))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }

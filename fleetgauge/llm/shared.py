@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -90,6 +91,29 @@ def per_batch(
     return df.mapInArrow(run, schema)
 
 
+def word_chunks(text: str, pattern: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Runs of ``pattern`` in the UTF-8 bytes of ``text`` with A-Z lower-cased, a list for about every ``size`` bytes.
+
+    ``pattern`` is a set of bytes, repeated. Pieces end where a run ends, so none is cut.
+    """
+    data = text.encode()
+    find = re.compile(pattern)
+    inside = re.compile(pattern.removesuffix(b"+") + b"*")
+    at = 0
+    while at < len(data):
+        # lower-casing may make a byte fit the pattern, so it comes first
+        stop = at + size
+        piece = data[at:stop].lower()
+        while stop < len(data) and inside.match(more := data[stop : stop + size].lower()).end():
+            end = inside.match(more).end()
+            piece += more[:end]
+            stop += end
+            if end < len(more):
+                break
+        yield find.findall(piece)
+        at = stop
+
+
 def smallest_reachable(links: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``: the smallest node reachable.
 
