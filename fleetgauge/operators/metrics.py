@@ -9,14 +9,7 @@ from fleetgauge import schemas as S
 from fleetgauge.functions.config import config_accessors
 from fleetgauge.functions.scalars import gc_time_percent, memory_utilization, skew_ratio, slot_utilization
 from fleetgauge.functions.text import array_of, fixed, format_bytes, round_to
-from fleetgauge.operators.quantiles import (
-    HOT_ROWS,
-    bucketed_quantiles,
-    grouped_quantiles,
-    quantile_struct,
-    split_hot,
-    zero_quantiles,
-)
+from fleetgauge.operators.quantiles import DIGITS, exact_quantiles, quantile_struct, zero_quantiles
 from fleetgauge.thresholds import Thresholds
 
 # Per-task measures whose distribution is kept, by the name of the distribution.
@@ -50,20 +43,17 @@ def stage_totals(tasks: DataFrame, by: str = "app_id") -> DataFrame:
 
 
 def stage_quantiles(
-    tasks: DataFrame, by: str = "app_id", measures: dict[str, str] = LOG_MEASURES, hot_rows: int = HOT_ROWS
+    tasks: DataFrame, by: str = "app_id", measures: dict[str, str] = LOG_MEASURES, digits: int = DIGITS
 ) -> DataFrame:
-    """Exact quantiles per stage, one struct column per measure."""
+    """Exact quantiles per stage, one struct column per measure; ``digits`` is how finely the first read counts."""
     keys = [by, "stage_id"]
-    usual, hot = split_hot(tasks, keys, hot_rows)
-    both = grouped_quantiles(usual, keys, measures).unionByName(bucketed_quantiles(hot, keys, measures))
-    return both.selectExpr(*keys, *[f"{quantile_struct(f'`{m}`')} AS `{m}`" for m in measures])
+    found = exact_quantiles(tasks, keys, measures, digits)
+    return found.selectExpr(*keys, *[f"{quantile_struct(f'`{m}`')} AS `{m}`" for m in measures])
 
 
-def stage_rollup(
-    tasks: DataFrame, by: str = "app_id", measures: dict[str, str] = LOG_MEASURES, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def stage_rollup(tasks: DataFrame, by: str = "app_id", measures: dict[str, str] = LOG_MEASURES) -> DataFrame:
     """Totals and quantiles of every stage."""
-    return stage_totals(tasks, by).join(stage_quantiles(tasks, by, measures, hot_rows), [by, "stage_id"])
+    return stage_totals(tasks, by).join(stage_quantiles(tasks, by, measures), [by, "stage_id"])
 
 
 def distributions(present: dict[str, str]) -> str:
@@ -87,14 +77,13 @@ def stage_metrics(
     tasks: DataFrame,
     by: str = "app_id",
     measures: dict[str, str] = LOG_MEASURES,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Completed stages with the totals of their tasks.
 
     A stage without tasks gets zeros; tasks of a stage that never completed yield no row.
     """
     keys = [by, "stage_id"]
-    joined = stages.join(stage_rollup(tasks, by, measures, hot_rows), keys, "left")
+    joined = stages.join(stage_rollup(tasks, by, measures), keys, "left")
     return joined.selectExpr(
         *keys,
         "stage_name",

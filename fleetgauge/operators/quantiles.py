@@ -1,10 +1,10 @@
-"""Exact quantiles per stage, safe when one stage holds most of the tasks.
+"""Exact quantiles per stage by radix selection: one route for every stage, whether it has three tasks or billions.
 
-``percentile`` keeps a value-to-count map per group in one task. That is right for the usual stage but
-not for one with billions of tasks. Stages above ``hot_rows`` tasks therefore take a second, equally
-exact route: count distinct values (combined map-side, spread over all tasks because the value is part
-of the key), summarise them into a bounded number of value buckets, find the bucket holding each wanted
-rank, and order only the values inside those buckets.
+The first read of the tasks counts values by digit, a bounded number of value ranges per stage and measure, combined map-side
+with the smallest and largest value of each range. Running counts tell which range holds each wanted rank. A rank at either
+end of its range, or in a range of equal values, is known at once. The second read narrows the rest: only values in the
+ranges still open are counted one by one, again map-side, and ordered within their range. Every value is part of
+a key that is shuffled, so no stage's values meet in one task before they are narrowed.
 """
 
 from __future__ import annotations
@@ -16,21 +16,8 @@ from fleetgauge.functions.text import array_of
 from fleetgauge.schemas import QUANTILE_SLOTS
 
 QUARTERS = len(QUANTILE_SLOTS) - 1
-HOT_ROWS = 500_000
-# Values below 2^BUCKET_BITS get a bucket each; larger ones share 2^(BUCKET_BITS-1) buckets per power of two.
-BUCKET_BITS = 12
-
-
-def hot_stages(tasks: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
-    """Stages with more than ``hot_rows`` tasks: at most (all tasks / hot_rows) rows, so small by construction."""
-    sizes = tasks.groupBy(*keys).agg(F.count("*").alias("n"))
-    return sizes.filter(f"n > {hot_rows}").select(*keys)
-
-
-def split_hot(tasks: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Tasks of ordinary stages and tasks of hot stages."""
-    hot = hot_stages(tasks, keys, hot_rows)
-    return tasks.join(hot, keys, "left_anti"), tasks.join(hot, keys, "left_semi")
+# Digits per power of two: at most 64 * 2 * DIGITS ranges for all values, one for each value up to about DIGITS.
+DIGITS = 128
 
 
 def quantile_struct(slots: str) -> str:
@@ -43,76 +30,88 @@ def zero_quantiles() -> str:
     return f"named_struct({', '.join(f"'{name}', 0.0D" for name in QUANTILE_SLOTS)})"
 
 
-def one_pass_quantiles(value: str) -> str:
-    """Aggregate: linear-interpolation quantiles truncated to integers, as a five-slot array."""
-    steps = array_of(f"{i / QUARTERS}D" for i in range(QUARTERS + 1))
-    return f"cast(percentile({value}, {steps}) AS array<bigint>)"
+def digit(v: str, digits: int) -> str:
+    """Which value range ``v`` falls in, ``digits`` for each power of two; grows with the value."""
+    return f"bigint(signum({v}) * floor(log2(1.0D + abs(double({v}))) * {digits}))"
 
 
-def grouped_quantiles(tasks: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
-    """Five-slot arrays per stage, one column per measure, for stages of bounded size.
+def ranks(total: str) -> list[tuple[str, str]]:
+    """Rank and interpolated part on both sides of each quantile position i/4*(total-1), in exact integer arithmetic."""
+    found = []
+    for i in range(QUARTERS + 1):
+        lo = f"(({total} - 1) * {i} div {QUARTERS})"
+        part = f"(({total} - 1) * {i} % {QUARTERS}) / {QUARTERS}.0D"
+        found += [(lo, part), (f"least({lo} + 1, {total} - 1)", part)]
+    return found
 
-    Partial maps of mostly distinct values save nothing, so the few needed columns are shuffled first and
-    each map is built once.
-    """
-    placed = tasks.select(*keys, *dict.fromkeys(measures.values())).repartition(*keys)
-    columns = [F.expr(f"{one_pass_quantiles(column)} AS `{m}`") for m, column in measures.items()]
-    return placed.groupBy(*keys).agg(*columns)
-
-
-def bucketed_quantiles(tasks: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
-    """The arrays of :func:`grouped_quantiles` for stages of any size."""
-    pairs = array_of(f"named_struct('m', '{name}', 'v', {column})" for name, column in measures.items())
-    values = tasks.selectExpr(*keys, f"inline({pairs})")
-    counts = values.groupBy(*keys, "m", "v").agg(F.count("*").alias("n")).withColumn("bucket", F.expr(_bucket("v")))
-
-    group = [*keys, "m"]
-    in_group = f"PARTITION BY {', '.join(group)}"
-    sizes = counts.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
-    placed = sizes.selectExpr(
-        *group,
-        "bucket",
-        "n",
-        f"sum(n) OVER ({in_group} ORDER BY bucket) - n AS before",
-        f"sum(n) OVER ({in_group}) AS total",
+
+def wanted_ranks(total: str) -> str:
+    return array_of(
+        f"named_struct('place', {place}, 'rank', {rank}, 'part', {part})" for place, (rank, part) in enumerate(ranks(total))
     )
-    inside = f"filter({_wanted_ranks('total')}, w -> {_within('w.rank', 'before', 'n')})"
-    targets = placed.selectExpr(*group, "bucket", "before", f"{inside} AS wanted").filter("size(wanted) > 0")
 
-    # only the values of target buckets are ordered, a bounded range each
-    located = counts.join(targets, [*group, "bucket"]).selectExpr(
-        *group, "v", "n", "wanted", f"sum(n) OVER ({in_group}, bucket ORDER BY v) - n + before AS at"
+
+def rank_goals(tasks: DataFrame, keys: list[str], measures: dict[str, str], digits: int) -> DataFrame:
+    """``goals`` per stage: for each wanted rank its range, its place in the range, and its value if that is known already."""
+    pairs = array_of(f"named_struct('m', {i}, 'v', {column})" for i, column in enumerate(measures.values()))
+    # the same filter that the joins below imply, so that they reuse this branch
+    present = " AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "v"))
+    values = tasks.selectExpr(*keys, f"inline({pairs})").filter(present)
+    counted = values.groupBy(*keys, "m", F.expr(digit("v", digits)).alias("digit")).agg(
+        F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
-    picked = located.selectExpr(*group, "v", f"inline(filter(wanted, w -> {_within('w.rank', 'at', 'n')}))")
-    slots = picked.groupBy(*group, "slot").agg(
-        F.expr("max(if(side = 'lo', v, NULL)) AS lo"),
-        F.expr("max(if(side = 'hi', v, NULL)) AS hi"),
-        F.max("part").alias("part"),
+    # one order for both frames, so that one pass over the ranges gives both
+    in_group = f"PARTITION BY {', '.join(keys)}, m ORDER BY digit ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    placed = counted.selectExpr(
+        "*", f"sum(n) OVER ({in_group} CURRENT ROW) - n AS before", f"sum(n) OVER ({in_group} UNBOUNDED FOLLOWING) AS total"
     )
-    valued = slots.selectExpr(*group, "slot", "bigint(lo + part * (hi - lo)) AS q")
-    arrays = [
-        array_of(f"max(if(m = '{m}' AND slot = {i}, q, NULL))" for i in range(QUARTERS + 1)) + f" AS `{m}`"
-        for m in measures
-    ]
-    return valued.groupBy(*keys).agg(*[F.expr(a) for a in arrays])
+    holds = " OR ".join(f"({rank} >= before AND {rank} < before + n)" for rank, _ in ranks("total"))
+    inside = f"filter({wanted_ranks('total')}, w -> w.rank >= before AND w.rank < before + n)"
+    hits = placed.filter(holds).selectExpr("*", f"inline({inside})").selectExpr(
+        *keys,
+        f"m * {2 * (QUARTERS + 1)} + place AS goal",
+        "named_struct('m', m, 'digit', digit, 'at', rank - before, 'part', part, "
+        "'value', CASE WHEN rank = before OR lo = hi THEN lo WHEN rank = before + n - 1 THEN hi END) AS aim",
+    )
+    return hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("goal", "aim"))).alias("goals"))
 
 
-def _bucket(v: str) -> str:
-    """Order-preserving bucket: the value with all but its leading BUCKET_BITS bits cleared."""
-    width = f"bigint(pow(2.0D, greatest(length(bin(abs({v}))) - {BUCKET_BITS}, 0)))"
-    return f"{v} - {v} % {width}"
+def narrowed(tasks: DataFrame, goals: DataFrame, keys: list[str], measures: dict[str, str], digits: int) -> DataFrame:
+    """``found`` per stage with open ranks: their values, from a second read of the tasks."""
+    open_goals = goals.selectExpr(*keys, "filter(map_entries(goals), g -> g.value.value IS NULL) AS aims")
+    open_goals = open_goals.filter("size(aims) > 0")
+    aimed_at = "array_distinct(transform(aims, g -> struct(g.value.m AS m, g.value.digit AS digit)))"
+    ranges = open_goals.selectExpr(*keys, f"{aimed_at} AS ranges")
+    own = array_of(
+        f"named_struct('m', {i}, 'digit', {digit(column, digits)}, 'v', {column})" for i, column in enumerate(measures.values())
+    )
+    columns = dict.fromkeys(measures.values())
+    inside = tasks.select(*keys, *columns).join(ranges, keys).selectExpr(
+        *keys, f"inline(filter({own}, x -> array_contains(ranges, struct(x.m AS m, x.digit AS digit))))"
+    )
+    counted = inside.groupBy(*keys, "m", "digit", "v").agg(F.count("*").alias("n"))
+    in_range = f"PARTITION BY {', '.join(keys)}, m, digit ORDER BY v ROWS UNBOUNDED PRECEDING"
+    located = counted.selectExpr("*", f"sum(n) OVER ({in_range}) - n AS before")
+    aims = open_goals.selectExpr(*keys, "inline(aims)")
+    aims = aims.selectExpr(*keys, "key AS goal", "value.m AS m", "value.digit AS digit", "value.at AS at")
+    hits = located.join(aims, [*keys, "m", "digit"]).filter("at >= before AND at < before + n")
+    return hits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("goal", "v"))).alias("found"))
 
 
-def _wanted_ranks(total: str) -> str:
-    """Ranks on both sides of each quantile position i/4*(total-1), in exact integer arithmetic."""
-    wanted = []
-    for i in range(QUARTERS + 1):
-        lo = f"(({total} - 1) * {i} div {QUARTERS})"
-        part = f"(({total} - 1) * {i} % {QUARTERS}) / {QUARTERS}.0D"
-        for side, rank in (("lo", lo), ("hi", f"least({lo} + 1, {total} - 1)")):
-            wanted.append(f"named_struct('slot', {i}, 'side', '{side}', 'rank', {rank}, 'part', {part})")
-    return array_of(wanted)
+def exact_quantiles(tasks: DataFrame, keys: list[str], measures: dict[str, str], digits: int = DIGITS) -> DataFrame:
+    """Linear-interpolation quantiles truncated to integers: a five-slot array per stage and measure.
+
+    Null values and tasks without a key do not count; a measure of nothing but nulls has null slots.
+    """
+    goals = rank_goals(tasks, keys, measures, digits)
+    joined = goals.join(narrowed(tasks, goals, keys, measures, digits), keys, "left")
 
+    def slot(goal: int) -> str:
+        lo, hi = (f"coalesce(goals[{g}].value, found[{g}])" for g in (goal, goal + 1))
+        return f"bigint({lo} + goals[{goal}].part * ({hi} - {lo}))"
 
-def _within(rank: str, start: str, length: str) -> str:
-    return f"{rank} >= {start} AND {rank} < {start} + {length}"
+    width = 2 * (QUARTERS + 1)
+    arrays = [
+        array_of(slot(i * width + 2 * q) for q in range(QUARTERS + 1)) + f" AS `{m}`" for i, m in enumerate(measures)
+    ]
+    return joined.selectExpr(*keys, *arrays)

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from fleetgauge.operators.metrics import stage_quantiles, stage_rollup, stage_totals
+from fleetgauge.operators.quantiles import exact_quantiles
 
 COLUMNS = (
     "run_ms", "gc_ms", "shuffle_read_bytes", "shuffle_write_bytes", "spill_disk_bytes", "spill_memory_bytes",
@@ -43,19 +44,38 @@ def task_table(spark):
     return base.selectExpr("*", "duration_ms AS run_ms", *zeros, "false AS failed", "duration_ms > 0 AS killed").repartition(5)
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 200, 0])
-def test_both_routes_are_exact(spark, hot_rows):
-    rows = stage_quantiles(task_table(spark), hot_rows=hot_rows).collect()
+@pytest.mark.parametrize("digits", [128, 5, 1])
+def test_selection_is_exact(spark, digits):
+    rows = stage_quantiles(task_table(spark), digits=digits).collect()
     assert {r.stage_id: tuple(r.executor_run_time) for r in rows} == {s: expected(v) for s, v in groups().items()}
     assert all(tuple(r.duration) == tuple(r.executor_run_time) for r in rows)
     assert {tuple(r.jvm_gc_time) for r in rows} == {(0.0,) * 5}
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 100])
-def test_rollup_carries_totals(spark, hot_rows):
+def test_rollup_carries_totals(spark):
     tasks = task_table(spark)
-    rows = {r.stage_id: r for r in stage_rollup(tasks, hot_rows=hot_rows).collect()}
+    rows = {r.stage_id: r for r in stage_rollup(tasks).collect()}
     for stage, values in groups().items():
         assert (rows[stage].task_count, rows[stage].sum_run_ms) == (len(values), sum(values))
         assert rows[stage].killed_tasks == sum(v > 0 for v in values)
     assert stage_totals(tasks).count() == len(groups())
+
+
+def test_extreme_values_nulls_and_tasks_without_a_stage(spark):
+    top, bottom = 2**63 - 1, -(2**63)
+    values = [top, top - 1, top - 2, bottom, bottom + 1, bottom + 2, 0, None, None]
+    rows = [("a", 1, v) for v in values] + [("a", 2, None), ("a", None, 5), (None, 1, 5)]
+    tasks = spark.createDataFrame(rows, "app_id string, stage_id bigint, v bigint")
+    found = exact_quantiles(tasks, ["app_id", "stage_id"], {"v": "v"}).selectExpr("stage_id", "v[0]", "v[2]", "v[4]").collect()
+    assert [tuple(r) for r in found] == [(1, bottom, 0, top)]
+
+
+def test_the_tasks_are_read_twice(spark, tmp_path):
+    task_table(spark).write.parquet(str(tmp_path / "tasks"))
+    found = stage_quantiles(spark.read.parquet(str(tmp_path / "tasks")), digits=1)
+    found.collect()
+    ran = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ran.count("FileScan") == 2 and "ReusedExchange" in ran
+    scans = [line for line in ran.splitlines() if "FileScan" in line]
+    assert all("spill" not in line for line in scans)
+    assert "percentile" not in ran
