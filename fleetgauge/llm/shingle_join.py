@@ -8,10 +8,10 @@ of fixed size that is added up over the whole corpus, then by hash). The lists o
    Near copies of a set, however many, cost a comparison each, and most fall into one component.
 2. What is left are sets of different components in one list. Those next to the same large component are
    compared block by block, as products of small matrices that give out links, never pairs. For the others, a list is
-   cut into blocks of equal set size and position of the shingle. How many shingles can still match after that position bounds the overlap, so whole pairs of blocks are
-   skipped, as are those within one component. For the other pairs, the overlaps with a common head, known from
-   step 1, and the tokens their prefixes share bound their own: a set's answers follow from those of a highly similar one. Only pairs between the
-   bounds are compared.
+   cut into blocks in order of set size and position of the shingle. How many shingles can still match after that position bounds the
+   overlap, so whole pairs of blocks are skipped, as are those within one component. In the blocks left, the overlaps with a common
+   head, known from step 1, and the tokens their prefixes share bound those of two sets: a set's answers follow from those of a
+   highly similar one. Only sets with a pair between the bounds go on to be compared, again in blocks that give out links.
 
 Every pair that links is found directly or lies in a component already, so components are exact (up to collisions of
 64-bit hashes). Overlaps are counted on whole sets.
@@ -36,6 +36,8 @@ SKETCH_BITS = 21
 SLICES = 256
 FILTER_BITS = 22
 BLOCK_ROWS = 64
+# Entries of a block of a list; units of two such blocks hold sizes, positions and prefixes only.
+LIST_ROWS = 512
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -392,43 +394,133 @@ def unit_links(units: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     return per_batch(units, "a bigint, b bigint", make)
 
 
-def open_pairs(mixed: DataFrame, pivots: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """``a, b, na, nb``: pairs of different components and pivots that the blocks of some list do not rule out."""
-    mixed = written(mixed.join(pivots, "sid", "left").withColumn("pivot", F.coalesce("pivot", "sid")), "open-lists")
-    blocks = mixed.groupBy("token", "n", "pos", "pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    small = blocks.select("token", *[F.col(c).alias(f"a_{c}") for c in ("n", "pos", "pivot", "lo", "hi")])
-    large = blocks.select("token", *[F.col(c).alias(f"b_{c}") for c in ("n", "pos", "pivot", "lo", "hi")])
-    kept = small.join(large, "token").filter(
-        f"{may_link('a', 'b', similarity)} AND struct(a_n, a_pos, a_pivot) < struct(b_n, b_pos, b_pivot) AND a_pivot <> b_pivot"
+def open_units(mixed: DataFrame, members: DataFrame, similarity: tuple[int, int], rows: int) -> DataFrame:
+    """``members`` of each unit: two blocks of a list that may hold a link between different components.
+
+    A list is cut, in order of set size and position, into blocks of about ``rows`` entries; equal entries are dealt to the blocks
+    they span by hash. How many shingles can still match after the position bounds the overlap, so most pairs of blocks
+    are skipped. An entry is shipped once for each block its own meets.
+    """
+    groups = mixed.groupBy("token", "n", "pos").count()
+    groups = groups.withColumn(
+        "before", F.expr("sum(count) OVER (PARTITION BY token ORDER BY n, pos ROWS UNBOUNDED PRECEDING) - count")
+    )
+    entries = mixed.join(groups, ["token", "n", "pos"]).withColumn(
+        "block", F.expr(f"(before + pmod(xxhash64(sid), count)) DIV {rows}")
+    )
+    entries = written(entries.select("token", "block", "sid", "n", "pos", "component"), "open-lists")
+    blocks = entries.groupBy("token", "block").agg(
+        F.min("n").alias("n"), F.max("n").alias("top_n"), F.max(F.expr("n - pos")).alias("rest"),
+        F.min("component").alias("lo"), F.max("component").alias("hi"),
+    )
+    columns = ("block", "n", "top_n", "rest", "lo", "hi")
+    first = blocks.select("token", *[F.col(c).alias(f"a_{c}") for c in columns])
+    second = blocks.select("token", *[F.col(c).alias(f"b_{c}") for c in columns])
+    numerator, denominator = similarity
+    kept = first.join(second, "token").filter(
+        f"a_block <= b_block AND {denominator} * a_top_n >= {numerator} * b_n"
+        f" AND 1 + least(a_rest, b_rest) >= {needed_overlap('a_n', 'b_n', similarity)}"
         " AND NOT (a_lo = a_hi AND b_lo = b_hi AND a_lo = b_lo)"
     )
-    kept = kept.select("token", "a_n", "a_pos", "a_pivot", "b_n", "b_pos", "b_pivot")
-    first = mixed.selectExpr("token", "n AS a_n", "pos AS a_pos", "pivot AS a_pivot", "sid AS a", "component AS ca")
-    second = mixed.selectExpr("token", "n AS b_n", "pos AS b_pos", "pivot AS b_pivot", "sid AS b", "component AS cb")
-    pairs = kept.join(first, ["token", "a_n", "a_pos", "a_pivot"])
-    pairs = pairs.join(second, ["token", "b_n", "b_pos", "b_pivot"]).filter("ca <> cb")
-    return pairs.selectExpr(
-        "least(a, b) AS a", "greatest(a, b) AS b", "if(a < b, a_n, b_n) AS na", "if(a < b, b_n, a_n) AS nb"
-    ).distinct()
+    kept = written(kept.select("token", "a_block", "b_block"), "open-blocks")
+    left = entries.withColumnRenamed("block", "a_block").join(kept, ["token", "a_block"]).withColumn("left", F.lit(True))
+    right = entries.withColumnRenamed("block", "b_block").join(kept, ["token", "b_block"]).withColumn("left", F.lit(False))
+    both = left.unionByName(right).join(members, "sid")
+    row = F.struct("left", "sid", "n", "pos", "component", "pivot", "head", "head_n", "head_o", "tokens", "places")
+    return both.groupBy("token", "a_block", "b_block").agg(F.collect_list(row).alias("members"))
+
+
+def block_members(lists: DataFrame, pivots: DataFrame, known: DataFrame) -> DataFrame:
+    """What a unit must know of a set: ``pivot``, its prefix in order, and the set most like it among those it was compared with."""
+    prefixes = lists.groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("p"))
+    prefixes = prefixes.selectExpr("sid", "p.token AS tokens", "p.pos AS places")
+    sided = known.selectExpr("a AS sid", "b AS head", "nb AS head_n", "o").union(
+        known.selectExpr("b AS sid", "a AS head", "na AS head_n", "o")
+    )
+    nearest = sided.groupBy("sid").agg(F.max(F.struct("o", "head", "head_n")).alias("h"))
+    nearest = nearest.selectExpr("sid", "h.head AS head", "h.head_n AS head_n", "h.o AS head_o")
+    return prefixes.join(pivots, "sid", "left").join(nearest, "sid", "left").withColumn("pivot", F.coalesce("pivot", "sid"))
 
 
-def derived(pairs: DataFrame, known: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """``a, b, verdict``: true or false where overlaps with a common set settle the pair, null where they do not.
+def still_open(units: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Per unit its ``sid`` rows with a pair that may link, or rows ``a, b`` of links that are certain already.
 
-    With ``p`` common, ``x = |a & p|`` and ``y = |b & p|``: the pair shares at least ``x + y - |p|``, and at most ``min(x, y)``
-    inside ``p`` and ``min(|a| - x, |b| - y)`` outside.
+    A pair is seen to in the list of the first shingle both prefixes have, and not if both have one pivot. With a common ``head``
+    of size h and overlaps x and y, it shares at least x + y - h and at most what fits inside and outside of the head; tokens
+    common to the prefixes bound the overlap too.
     """
-    sided = known.selectExpr("a AS s", "b AS p", "nb AS np", "o").union(known.selectExpr("b AS s", "a AS p", "na AS np", "o"))
-    through = (
-        pairs.join(sided.selectExpr("s AS a", "p", "np", "o AS x"), "a", "left")
-        .join(sided.selectExpr("s AS b", "p", "o AS y"), ["b", "p"], "left")
-        .withColumn("least_shared", F.expr("x + y - np"))
-        .withColumn("most_shared", F.expr("least(x, y) + least(na - x, nb - y)"))
-        .withColumn("most_shared", F.expr("if(y IS NULL, NULL, most_shared)"))
+    numerator, denominator = similarity
+
+    def rest(n: np.ndarray) -> np.ndarray:
+        return -(-numerator * n // denominator) - 1
+
+    def settle(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of both sides, pairs that may link, pairs that do."""
+        side = rows.field("left").to_numpy(zero_copy_only=False).astype(bool)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        n, pos, component, pivot = (rows.field(c).to_numpy() for c in ("n", "pos", "component", "pivot"))
+        head, head_n, head_o = (rows.field(c).fill_null(0).to_numpy() for c in ("head", "head_n", "head_o"))
+        alone = rows.field("head").is_null().to_numpy(zero_copy_only=False)
+
+        def each(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return values[left][:, None], values[right][None, :]
+
+        (na, nb), (ca, cb), (pa_, pb), (ra, rb) = each(n), each(component), each(pivot), each(n - pos)
+        need = -(-numerator * (na + nb) // (numerator + denominator))
+        may = (ca != cb) & (pa_ != pb) & (1 + np.minimum(ra, rb) >= need)
+        may &= denominator * np.minimum(na, nb) >= numerator * np.maximum(na, nb)
+        sure = np.zeros_like(may)
+        if may.any():
+            tokens = [np.asarray(t, np.int64).view(np.uint64) for t in rows.field("tokens").to_pylist()]
+            before = [t[np.asarray(p) < at] for t, p, at in zip(tokens, rows.field("places").to_pylist(), pos)]
+            may &= overlap_matrix([before[i] for i in left], [before[i] for i in right]) == 0
+            common = overlap_matrix([tokens[i] for i in left], [tokens[i] for i in right])
+            may &= common + np.maximum(rest(na), rest(nb)) >= need
+            (ha, hb), (xa, xb), (size, _), (aa, ab) = each(head), each(head_o), each(head_n), each(alone)
+            shared = (ha == hb) & ~aa & ~ab
+            sure = may & shared & (xa + xb - size >= need)
+            may &= ~sure & ~(shared & (np.minimum(xa, xb) + np.minimum(na - xa, nb - xb) < need))
+        return left, right, may, sure
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out: dict[str, list] = {c: [] for c in ("token", "a_block", "b_block", "left", "sid", "component", "a", "b")}
+            keys = zip(*(batch.column(c).to_pylist() for c in ("token", "a_block", "b_block")))
+            for key, members in zip(keys, batch.column("members")):
+                rows = members.values
+                sid, component = rows.field("sid").to_numpy(), rows.field("component").to_numpy()
+                left, right, may, sure = settle(rows)
+                found = spanning_links(sure, sid[left], sid[right]) if sure.any() else []
+                kept = [(True, i) for i in left[may.any(axis=1)]] + [(False, i) for i in right[may.any(axis=0)]]
+                for name, value in zip(("token", "a_block", "b_block"), key):
+                    out[name] += [value] * (len(kept) + len(found))
+                out["left"] += [x for x, _ in kept] + [None] * len(found)
+                out["sid"] += [int(sid[i]) for _, i in kept] + [None] * len(found)
+                out["component"] += [int(component[i]) for _, i in kept] + [None] * len(found)
+                out["a"] += [None] * len(kept) + [a for a, _ in found]
+                out["b"] += [None] * len(kept) + [b for _, b in found]
+            kinds = {"left": pa.bool_()}
+            return pa.record_batch({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()})
+
+        return step
+
+    schema = "token bigint, a_block bigint, b_block bigint, left boolean, sid bigint, component bigint, a bigint, b bigint"
+    return per_batch(units, schema, make)
+
+
+def exact_units(open_rows: DataFrame, shingles: DataFrame, block_rows: int) -> DataFrame:
+    """``members`` of units of at most two blocks of ``block_rows`` of what is open, with their shingles."""
+    unit = ["token", "a_block", "b_block"]
+    sizes = open_rows.groupBy(*unit).agg(
+        F.ceil(F.count_if("left") / block_rows).alias("left_blocks"), F.ceil(F.count_if(~F.col("left")) / block_rows).alias("right_blocks")
     )
-    need = needed_overlap("na", "nb", similarity)
-    bounds = through.groupBy("a", "b", "na", "nb").agg(F.max("least_shared").alias("low"), F.min("most_shared").alias("top"))
-    return bounds.select("a", "b", F.expr(f"CASE WHEN low >= {need} THEN true WHEN top < {need} THEN false END").alias("verdict"))
+    rows = open_rows.select(*unit, "left", "sid", "component").join(sizes, unit)
+    own = F.when(F.col("left"), block_of(F.col("sid"), F.col("left_blocks"))).otherwise(block_of(F.col("sid"), F.col("right_blocks")))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0L, if(left, right_blocks, left_blocks) - 1)")))
+    rows = rows.withColumns({"x": F.expr("if(left, own, other)"), "y": F.expr("if(left, other, own)")})
+    rows = rows.join(shingles.dropDuplicates(["sid"]), "sid")
+    row = F.struct("left", "sid", "component", "shingles")
+    return rows.groupBy(*unit, "x", "y").agg(F.collect_list(row).alias("members")).select("members")
 
 
 def joined_components(components: DataFrame, links: DataFrame) -> DataFrame:
@@ -480,13 +572,11 @@ def shingle_components(
     components = joined_components(components, more)
     mixed = mixed_lists(lists, components)
 
-    left = open_pairs(mixed, pivots, similarity).join(known.select("a", "b"), ["a", "b"], "left_anti")
-    left = written(left, "open-pairs")
-    left = left.join(plausible(left, prefixes, similarity), ["a", "b"], "left_semi")
-    settled = written(derived(left, known, similarity), "settled")
-    unsure = settled.filter("verdict IS NULL").select("a", "b")
-    found = shingles_of(docs, reps, unsure.selectExpr("a AS sid").union(unsure.selectExpr("b AS sid")), size)
-    more = overlaps(unsure, found).filter(links(similarity)).select("a", "b").union(settled.filter("verdict").select("a", "b"))
+    units = open_units(mixed, block_members(lists, pivots, known), similarity, LIST_ROWS)
+    settled = written(still_open(units, similarity), "settled")
+    unsure = settled.filter("sid IS NOT NULL")
+    found = shingles_of(docs, reps, unsure.select("sid"), size)
+    more = unit_links(exact_units(unsure, found, BLOCK_ROWS), similarity).union(settled.filter("sid IS NULL").select("a", "b"))
     components = joined_components(components, written(more, "more-links"))
 
     groups = reps.join(components.withColumnRenamed("node", "sid"), "sid", "left").select(

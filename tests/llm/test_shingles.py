@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from fleetgauge.llm import shingle_join
 from fleetgauge.llm.shingle_join import shingle_components
 
 
@@ -50,3 +51,23 @@ def test_no_documents_null_and_repeated_ids(spark, empty):
     rows = [(7, "a b c d"), (7, "a b c d"), (9, "a b c d"), (None, "q r s"), (3, None)]
     found = shingle_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r[0] or 0), r[1], r[2]) for r in found) == [(0, 1, None), (3, 0, 3), (7, 2, 7), (7, 2, 7), (9, 2, 7)]
+
+
+@pytest.mark.parametrize("rows", [512, 3])
+def test_a_cloud_of_similar_sets_that_do_not_link(spark, monkeypatch, rows):
+    """Sets that share their rarest shingles, a few of them linked: lists without a head that settles them."""
+    monkeypatch.setattr(shingle_join, "LIST_ROWS", rows)
+    monkeypatch.setattr(shingle_join, "BLOCK_ROWS", 4)
+    draw = random.Random(rows)
+    passage = [f"rare{i}" for i in range(40)]
+    texts = []
+    for k in range(90):
+        own = [f"own{k}x{i}" for i in range(draw.choice([8, 9, 10, 30]))]
+        texts.append(" ".join([*passage, *own]))
+        if k % 9 == 0:
+            texts.append(" ".join([*passage, *own[:-1], "end"]))
+    for k in range(40):  # a chain: each links with the next only
+        texts.append(" ".join(f"chain{i}" for i in range(3 * k, 3 * k + 80)))
+    draw.shuffle(texts)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(r) for r in shingle_components(table, bits=10).collect()} == brute(list(enumerate(texts)))
