@@ -38,6 +38,8 @@ FILTER_BITS = 22
 BLOCK_ROWS = 64
 # Entries of a block of a list; units of two such blocks hold sizes, positions and prefixes only.
 LIST_ROWS = 512
+# Tokens of its prefix an entry carries, the first in order; what lies beyond only widens the bounds.
+CARRIED_TOKENS = 64
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -426,14 +428,18 @@ def open_units(mixed: DataFrame, members: DataFrame, similarity: tuple[int, int]
     left = entries.withColumnRenamed("block", "a_block").join(kept, ["token", "a_block"]).withColumn("left", F.lit(True))
     right = entries.withColumnRenamed("block", "b_block").join(kept, ["token", "b_block"]).withColumn("left", F.lit(False))
     both = left.unionByName(right).join(members, "sid")
-    row = F.struct("left", "sid", "n", "pos", "component", "pivot", "head", "head_n", "head_o", "tokens", "places")
+    both = both.withColumn("earlier", F.expr("size(filter(places, p -> p < pos))")).drop("places")
+    row = F.struct("left", "sid", "n", "pos", "component", "pivot", "head", "head_n", "head_o", "tokens", "earlier", "beyond")
     return both.groupBy("token", "a_block", "b_block").agg(F.collect_list(row).alias("members"))
 
 
 def block_members(lists: DataFrame, pivots: DataFrame, known: DataFrame) -> DataFrame:
     """What a unit must know of a set: ``pivot``, its prefix in order, and the set most like it among those it was compared with."""
     prefixes = lists.groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("pos", "token"))).alias("p"))
-    prefixes = prefixes.selectExpr("sid", "p.token AS tokens", "p.pos AS places")
+    carried = f"slice(p, 1, {CARRIED_TOKENS})"
+    prefixes = prefixes.selectExpr(
+        "sid", f"{carried}.token AS tokens", f"{carried}.pos AS places", f"greatest(size(p) - {CARRIED_TOKENS}, 0) AS beyond"
+    )
     sided = known.selectExpr("a AS sid", "b AS head", "nb AS head_n", "o").union(
         known.selectExpr("b AS sid", "a AS head", "na AS head_n", "o")
     )
@@ -445,7 +451,7 @@ def block_members(lists: DataFrame, pivots: DataFrame, known: DataFrame) -> Data
 def still_open(units: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Per unit its ``sid`` rows with a pair that may link, or rows ``a, b`` of links that are certain already.
 
-    A pair is seen to in the list of the first shingle both prefixes have, and not if both have one pivot. With a common ``head``
+    A pair is seen to in no list after that of the first carried shingle both have, and not if both have one pivot. With a common ``head``
     of size h and overlaps x and y, it shares at least x + y - h and at most what fits inside and outside of the head; tokens
     common to the prefixes bound the overlap too.
     """
@@ -472,10 +478,11 @@ def still_open(units: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         sure = np.zeros_like(may)
         if may.any():
             tokens = [np.asarray(t, np.int64).view(np.uint64) for t in rows.field("tokens").to_pylist()]
-            before = [t[np.asarray(p) < at] for t, p, at in zip(tokens, rows.field("places").to_pylist(), pos)]
+            before = [t[:e] for t, e in zip(tokens, rows.field("earlier").to_pylist())]
             may &= overlap_matrix([before[i] for i in left], [before[i] for i in right]) == 0
             common = overlap_matrix([tokens[i] for i in left], [tokens[i] for i in right])
-            may &= common + np.maximum(rest(na), rest(nb)) >= need
+            ba, bb = each(rows.field("beyond").to_numpy())
+            may &= common + ba + bb + np.maximum(rest(na), rest(nb)) >= need
             (ha, hb), (xa, xb), (size, _), (aa, ab) = each(head), each(head_o), each(head_n), each(alone)
             shared = (ha == hb) & ~aa & ~ab
             sure = may & shared & (xa + xb - size >= need)

@@ -58,6 +58,7 @@ def test_a_cloud_of_similar_sets_that_do_not_link(spark, monkeypatch, rows):
     """Sets that share their rarest shingles, a few of them linked: lists without a head that settles them."""
     monkeypatch.setattr(shingle_join, "LIST_ROWS", rows)
     monkeypatch.setattr(shingle_join, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(shingle_join, "CARRIED_TOKENS", 2 if rows == 3 else 64)
     draw = random.Random(rows)
     passage = [f"rare{i}" for i in range(40)]
     texts = []
