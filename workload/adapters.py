@@ -15,6 +15,7 @@ from fleetgauge.functions.text import literal
 from fleetgauge.operators.metrics import LOG_MEASURES, stage_metrics
 from fleetgauge.plans.rules import BUILT_IN, evaluate_rules
 from fleetgauge.schemas import REPORT
+from fleetgauge.sources.codec_ranges import opened
 from fleetgauge.sources.history_payloads import HistoryPayloads, scan_history_json
 from fleetgauge.sources.runs import result_documents, result_rows, run_rows, scan_runs, sink_results
 from fleetgauge.sources.staging import new_path, stage_table
@@ -314,6 +315,52 @@ def file_logs(spark: SparkSession, sf_dir: str) -> str:
     return staged_path(spark, sf_dir, "logs", lambda path: _write_logs(log_lines(spark, sf_dir), path))
 
 
+def codec_logs(spark: SparkSession, sf_dir: str) -> str:
+    """The same logs as real LZ4, Zstandard, Snappy and oddly named gzip files, the first two of many frames; returns their folder."""
+
+    def write(path: str) -> None:
+        dealt = log_lines(spark, sf_dir).selectExpr("*", "pmod(xxhash64(value), 4) AS piece")
+        texts = dealt.groupBy("log_id", "piece").agg(
+            F.expr("array_sort(collect_list(struct(phase, ord, value))).value AS lines")
+        )
+
+        def run(batches):
+            for batch in batches:
+                for log_id, piece, lines in zip(*(c.to_pylist() for c in batch.columns)):
+                    _write_codec_file(path, log_id, piece, [f"{line}\n".encode() for line in lines])
+                yield batch.select(["log_id"])
+
+        # a task that runs again writes the same files again
+        texts.select("log_id", "piece", "lines").mapInArrow(run, "log_id string").count()
+
+    return staged_path(spark, sf_dir, "codec-logs", write)
+
+
+def _write_codec_file(folder: str, log_id: str, piece: int, lines: list[bytes]) -> None:
+    import gzip
+
+    import pyarrow as pa
+
+    suffix, codec = (("lz4", "lz4"), ("zst", "zstd"), ("snappy", "snappy"), ("gz.1", "gzip"))[piece]
+    data = b"".join(lines)
+    if codec == "snappy":
+        content = pa.compress(data, codec="snappy", asbytes=True)
+    elif codec == "gzip":
+        content = gzip.compress(data)
+    else:
+        # frames end anywhere, also inside a line
+        content = b""
+        for start in range(0, len(data), 1500):
+            sink = pa.BufferOutputStream()
+            with pa.CompressedOutputStream(sink, codec) as stream:
+                stream.write(data[start : start + 1500])
+            content += sink.getvalue().to_pybytes()
+    store, root, _ = opened(folder)
+    store.create_dir(f"{root}/log_id={log_id}")
+    with store.open_output_stream(f"{root}/log_id={log_id}/{piece}.{suffix}", compression=None) as out:
+        out.write(content)
+
+
 def _write_logs(lines: DataFrame, path: str) -> None:
     # a log is a file, so one task writes it; a log holds the tasks of a bounded range of orders
     placed = lines.repartition("log_id").sortWithinPartitions("log_id", "phase", "ord", "value")

@@ -15,7 +15,7 @@ from fleetgauge.operators import dedup, events, findings, history_server, metric
 from fleetgauge.plans.analyze import Fleet, analyze_jobs, fold_history
 from fleetgauge.plans.rules import BUILT_IN, evaluate_rules
 from fleetgauge.schemas import EXECUTOR_COLUMNS, STAGE_TOTALS
-from fleetgauge.sources import event_logs, runs as run_source
+from fleetgauge.sources import codec_ranges, event_logs, runs as run_source
 from fleetgauge.sources.staging import new_path, stage_table
 from fleetgauge.streaming import logs as log_stream
 from fleetgauge.streaming import status as status_stream
@@ -102,6 +102,24 @@ def scan_event_log_codec(spark: SparkSession, sf: str) -> DataFrame:
     return lines.selectExpr(LOG_ID).groupBy("log_id").agg(F.count("*").alias("lines"))
 
 
+@query(
+    "scan_codec_ranges",
+    ask(
+        """SELECT log_id, CAST(7 + k % 7 + n + (k % 4 <> 3)::INT + (SELECT count(*) + count(*) FILTER (stage_id % 2 = 0)
+        FROM log_stages s WHERE s.log_id = l.log_id) AS BIGINT) AS lines, TRUE AS as_written FROM logs l""",
+        "logs",
+        "log_stages",
+    ),
+)
+def scan_codec_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Real compressed files read in ranges much smaller than they are; ``as_written``: the lines' hashes add up to those written."""
+    hashed = "sum(cast(xxhash64(value) AS decimal(38,0)))"
+    read = codec_ranges.scan_codec_ranges(spark, A.codec_logs(spark, sf), range_bytes=16_384).selectExpr(LOG_ID, "value")
+    read = read.groupBy("log_id").agg(F.count("*").alias("lines"), F.expr(f"{hashed} AS hashed"))
+    written = A.log_lines(spark, sf).groupBy("log_id").agg(F.expr(f"{hashed} AS written"))
+    return read.join(written, "log_id", "full").selectExpr("log_id", "lines", "hashed <=> written AS as_written")
+
+
 @query("list_event_logs", ask("SELECT log_id, 1::BIGINT AS files, 1::BIGINT AS filled FROM logs", "logs"))
 def list_event_logs(spark: SparkSession, sf: str) -> DataFrame:
     files = event_logs.list_event_logs(spark, A.file_logs(spark, sf)).filter("name LIKE 'part-%'")
