@@ -36,10 +36,22 @@ def scan_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_runs(stored: DataFrame) -> DataFrame:
-    """Adds ``rule_results`` and ``has_report`` from the document where they are not stored, and ``part``."""
+    """Adds ``rule_results`` and ``has_report`` from the document where they are not stored, and ``part``.
+
+    Documents may be of any version: each is parsed as a variant, of which only the fields of a finding are taken. Unknown fields
+    are passed over, missing ones and those of another type are null, and a damaged document is a run without a result.
+    """
     if "rule_results" not in stored.columns:
-        parsed = stored.withColumn("result", F.from_json("result_json", S.RESULT))
-        stored = parsed.selectExpr("*", "result.rule_results", "result.ai_report IS NOT NULL AS has_report").drop("result")
+        fields = ", ".join(
+            f"'{f.name}', try_variant_get(v, '$.{f.name}', '{f.dataType.simpleString()}')" for f in S.FINDING.fields
+        )
+        parsed = stored.withColumn("document", F.expr("try_parse_json(result_json)"))
+        findings = "try_variant_get(document, '$.rule_results', 'array<variant>')"
+        stored = parsed.selectExpr(
+            "*",
+            f"transform({findings}, v -> named_struct({fields})) AS rule_results",
+            "try_variant_get(document, '$.ai_report', 'map<string,variant>') IS NOT NULL AS has_report",
+        ).drop("document")
     return stored if "part" in stored.columns else stored.withColumn("part", F.lit(0))
 
 

@@ -117,6 +117,28 @@ def test_documents_survive_a_round_trip_in_parts(spark, tmp_path):
     assert one["app_id"] == "x" and [r["rule_id"] for r in one["rule_results"]] == ["gc_pressure"]
 
 
+def test_documents_of_any_version(spark):
+    finding = '{"rule_id": "r", "severity": "INFO", "stage_id": 3, "title": "t", "later": {"x": [1]}}'
+    documents = {
+        "whole": f'{{"app_id": "a", "rule_results": [{finding}], "ai_report": {{"summary": "s"}}, "version": 9}}',
+        "other types": '{"rule_results": [{"rule_id": 5, "stage_id": "x"}, null, 7], "ai_report": "none"}',
+        "no findings": '{"rule_results": [], "ai_report": null}',
+        "fields missing": "{}",
+        "not an object": "[1]",
+        "cut": f'{{"rule_results": [{finding}',
+        "empty": "",
+        "null": None,
+    }
+    stored = spark.createDataFrame(list(documents.items()), "task_id string, result_json string")
+    got = {r.task_id: r for r in decode_runs(stored).collect()}
+    whole = got["whole"].rule_results[0]
+    assert (whole.rule_id, whole.severity, whole.stage_id, whole.title, whole.message) == ("r", "INFO", 3, "t", None)
+    assert [(f.rule_id, f.stage_id) for f in got["other types"].rule_results] == [("5", None), (None, None), (None, None)]
+    assert got["no findings"].rule_results == []
+    assert {i for i, r in got.items() if r.rule_results is None} == {"fields missing", "not an object", "cut", "empty", "null"}
+    assert {i for i, r in got.items() if r.has_report} == {"whole"} and got["whole"].part == 0
+
+
 def test_properties_file(spark, tmp_path):
     entries = spark.createDataFrame([("a", "k", "1"), ("a", "l", "2"), ("b", "k", "3")], "app_id string, parameter string, recommended_value string")
     sink_properties(entries, str(tmp_path / "p"))
