@@ -6,8 +6,10 @@ analysis run, one ``part`` is one recommendation. Work therefore grows with the
 
 from __future__ import annotations
 
+import gzip
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -336,11 +338,46 @@ def codec_logs(spark: SparkSession, sf_dir: str) -> str:
     return staged_path(spark, sf_dir, "codec-logs", write)
 
 
-def _write_codec_file(folder: str, log_id: str, piece: int, lines: list[bytes]) -> None:
-    import gzip
+def first_and_last_log(lines: DataFrame) -> DataFrame:
+    """The whole text of the first and the last log, ``last`` telling which."""
+    ends = lines.agg(F.min("log_id").alias("a"), F.max("log_id").alias("b"))
+    chosen = lines.join(ends, F.expr("log_id IN (a, b)"))
+    return chosen.groupBy("log_id", F.expr("log_id = b AS last")).agg(
+        F.expr("array_join(array_sort(collect_list(struct(phase, ord, value))).value, '\n') AS text")
+    )
+
+
+def damaged_logs(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """All logs, the first one as a gzip file cut short and the last one as a Snappy block that cannot be read."""
+    lines = log_lines(spark, sf_dir)
+    ends = first_and_last_log(lines)
+    _write_logs(lines.join(ends.select("log_id"), "log_id", "left_anti"), folder)
+    put_logs(ends.filter("NOT last"), folder, "gz", lambda data: gzip.compress(data)[:-20])
+    put_logs(ends.filter("last"), folder, "snappy", lambda data: b"\xff\xff\xff\xff\x0f" + data[:20])
+
+
+def mend_last_log(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Replaces the Snappy block by a good one."""
+    last = first_and_last_log(log_lines(spark, sf_dir)).filter("last")
+    put_logs(last, folder, "snappy", lambda data: pa.compress(data, codec="snappy", asbytes=True))
 
-    import pyarrow as pa
 
+def put_logs(texts: DataFrame, folder: str, suffix: str, encode) -> None:
+    """Writes each text as one file; a task that runs again writes the same file again."""
+
+    def run(batches):
+        for batch in batches:
+            for log_id, text in zip(*(c.to_pylist() for c in batch.columns)):
+                store, root, _ = opened(folder)
+                store.create_dir(f"{root}/odd/log_id={log_id}")
+                with store.open_output_stream(f"{root}/odd/log_id={log_id}/log.{suffix}", compression=None) as out:
+                    out.write(encode(text.encode()))
+            yield batch.select(["log_id"])
+
+    texts.select("log_id", "text").mapInArrow(run, "log_id string").count()
+
+
+def _write_codec_file(folder: str, log_id: str, piece: int, lines: list[bytes]) -> None:
     suffix, codec = (("lz4", "lz4"), ("zst", "zstd"), ("snappy", "snappy"), ("gz.1", "gzip"))[piece]
     data = b"".join(lines)
     if codec == "snappy":

@@ -18,6 +18,7 @@ from fleetgauge.schemas import EXECUTOR_COLUMNS, STAGE_TOTALS
 from fleetgauge.sources import codec_ranges, event_logs, runs as run_source
 from fleetgauge.sources.staging import new_path, stage_table
 from fleetgauge.streaming import logs as log_stream
+from fleetgauge.streaming import retries as log_retries
 from fleetgauge.streaming import status as status_stream
 from workload import adapters as A
 from workload import oracles as O
@@ -1583,3 +1584,37 @@ def stream_event_logs(spark: SparkSession, sf: str) -> DataFrame:
     source = A.file_logs(spark, sf)
     log_stream.stream_event_logs(spark, source, checkpoint, publish, max_files=10_000).awaitTermination()
     return spark.read.parquet(out).drop("batch")
+
+
+@query(
+    "poll_logs",
+    ask(
+        """SELECT log_id, CASE WHEN log_id IN (SELECT min(log_id) FROM logs UNION ALL SELECT max(log_id) FROM logs) THEN 2 ELSE 1 END
+        AS attempts, CASE WHEN log_id = (SELECT min(log_id) FROM logs) THEN 'failed' ELSE 'done' END AS status,
+        CASE WHEN log_id <> (SELECT min(log_id) FROM logs) THEN task_count END AS tasks,
+        CASE WHEN log_id <> (SELECT min(log_id) FROM logs) THEN sum_run_ms END AS run_ms
+        FROM logs LEFT JOIN (SELECT s.log_id, CAST(coalesce(sum(u.task_count), 0) AS BIGINT) AS task_count,
+        CAST(coalesce(sum(u.sum_run_ms), 0) AS BIGINT) AS sum_run_ms FROM log_stages s LEFT JOIN log_rollup u
+        ON u.log_id = s.log_id AND u.stage_id = s.stage_id GROUP BY s.log_id) USING (log_id)""",
+        "logs",
+        "log_stages",
+        "log_rollup",
+    ),
+)
+def poll_logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Three polls over all logs: one cut short is given up, one that is mended after the first poll is folded by the second."""
+    folder, state, out = (new_path(spark, name) for name in ("arriving", "polls", "published"))
+    A.damaged_logs(spark, sf, folder)
+
+    def publish(fleet: Fleet, part: str) -> None:
+        stages = fleet.stages.groupBy("log_path").agg(F.sum("task_count").alias("tasks"), F.sum("sum_run_ms").alias("run_ms"))
+        stages.write.mode("overwrite").parquet(f"{out}/part={part}")
+
+    for poll in range(3):
+        retries = log_retries.Retries(attempts=2, backoff_ms=1)
+        log_retries.poll_logs(spark, folder, state, publish, retries).awaitTermination()
+        if poll == 0:
+            A.mend_last_log(spark, sf, folder)
+    folded = spark.read.parquet(out).selectExpr(LOG_ID, "tasks", "run_ms")
+    settled = log_retries.settled_logs(spark, state).selectExpr(LOG_ID, "attempt AS attempts", "status")
+    return settled.join(folded, "log_id", "left")
