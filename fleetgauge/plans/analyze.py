@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetgauge.functions.text import literal
 from fleetgauge.operators.events import (
     app_facts,
     config_fold,
@@ -19,8 +20,10 @@ from fleetgauge.operators.events import (
 from fleetgauge.operators.history_server import hs_dedup_stages, hs_job, hs_stage_metrics
 from fleetgauge.operators.metrics import job_metrics, stage_metrics
 from fleetgauge.plans.rules import evaluate_rules
+from fleetgauge.schemas import EXECUTOR_COLUMNS
 from fleetgauge.sources.event_logs import scan_event_log
 from fleetgauge.sources.history_payloads import HistoryPayloads
+from fleetgauge.sources.run_tables import commit_runs
 from fleetgauge.sources.runs import result_documents
 from fleetgauge.sources.staging import drop_folder, new_path, stage_table
 from fleetgauge.thresholds import Thresholds
@@ -95,16 +98,48 @@ def record_runs(
 ) -> DataFrame:
     """Analyses a fleet and gives one completed run per job as storable documents (see ``sink_results``).
 
-    Run ids are the time in nanoseconds and the job's key, so a fleet analysed twice gives two runs per job.
+    Run ids are the time in nanoseconds and the job's key, so a fleet analysed twice gives two runs per job. A time without a zone
+    is UTC.
     """
-    prefix = f"{int(now.timestamp() * 1_000_000)}000_"
-    task_id = f"concat('{prefix}', {fleet.by}) AS task_id"
-    stamp = f"timestamp '{now:%Y-%m-%d %H:%M:%S.%f}'"
+    return result_documents(*_runs_and_results(fleet, now, mode, data_source, thresholds))
+
+
+def publish_runs(
+    fleet: Fleet,
+    now: datetime,
+    root: str,
+    mode: str = "static",
+    data_source: str = "file",
+    thresholds: Thresholds = Thresholds(),
+    name: str | None = None,
+) -> str | None:
+    """As ``record_runs``, committed to the run tables under ``root`` with jobs and stages (see ``commit_runs``)."""
+    runs, results = _runs_and_results(fleet, now, mode, data_source, thresholds)
+    executors = ", ".join(f"'{c}', {c}" for c in EXECUTOR_COLUMNS)
+    job = f"struct(app_name, spark_version, duration_ms, config, named_struct({executors}) AS executors) AS job"
+    jobs = fleet.jobs.selectExpr(_task_id(fleet, now), job)
+    measures = [c for c in fleet.stages.columns if c != fleet.by]
+    stages = fleet.stages.selectExpr(_task_id(fleet, now), "stage_id", f"to_json(struct({', '.join(measures)})) AS stage")
+    return commit_runs(runs, results, root, jobs=jobs, stages=stages, name=name)
+
+
+def _task_id(fleet: Fleet, now: datetime) -> str:
+    return f"concat('{round(_in_utc(now).timestamp() * 1_000_000)}000_', {fleet.by}) AS task_id"
+
+
+def _in_utc(now: datetime) -> datetime:
+    return now.replace(tzinfo=timezone.utc) if now.tzinfo is None else now.astimezone(timezone.utc)
+
+
+def _runs_and_results(
+    fleet: Fleet, now: datetime, mode: str, data_source: str, thresholds: Thresholds
+) -> tuple[DataFrame, DataFrame]:
+    stamp = f"timestamp '{_in_utc(now):%Y-%m-%d %H:%M:%S.%f}+00:00'"
     runs = fleet.jobs.selectExpr(
-        task_id,
+        _task_id(fleet, now),
         "app_id",
-        f"'{mode}' AS mode",
-        f"'{data_source}' AS data_source",
+        f"{literal(mode)} AS mode",
+        f"{literal(data_source)} AS data_source",
         "'completed' AS status",
         f"{stamp} AS created_at",
         f"{stamp} AS started_at",
@@ -112,5 +147,4 @@ def record_runs(
         "string(NULL) AS error",
     )
     findings = evaluate_rules(fleet.stages, fleet.jobs, thresholds, by=fleet.by)
-    results = findings.selectExpr(task_id, *[c for c in findings.columns if c != fleet.by])
-    return result_documents(runs, results)
+    return runs, findings.selectExpr(_task_id(fleet, now), *[c for c in findings.columns if c != fleet.by])

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import events, metrics, run_history
-from fleetgauge.plans.analyze import Fleet, analyze_jobs, fold_event_logs, fold_events, record_runs
+from fleetgauge.plans.analyze import Fleet, analyze_jobs, fold_event_logs, fold_events, publish_runs, record_runs
 from fleetgauge.plans.rules import BUILT_IN, order_findings, run_rules
 from fleetgauge.sources import staging
 from fleetgauge.sources.event_logs import list_event_logs, scan_event_log
+from fleetgauge.sources.run_tables import RunTables, read_documents
 from fleetgauge.sources.runs import result_rows, run_rows, scan_runs, sink_results
 from fleetgauge.streaming.logs import failures_writer, fetch_logs, poll_batch, start_processed, stream_event_logs
 
@@ -122,6 +123,20 @@ def test_analysis_is_recorded_and_counted(spark, tmp_path):
     frequency = run_history.rule_frequency(runs, results, "2026-03-02 00:00:00", 7).collect()
     assert {(r.rule_id, r["count"]) for r in frequency} == {("spill_to_disk", 2), ("gc_pressure", 2)}
     assert run_history.daily_volume(runs, "2026-03-02 00:00:00", 7).first()["count"] == 4
+    assert {str(r.created_at) for r in runs.collect()} == {"2026-03-01 12:00:00", "2026-03-01 13:00:00"}
+
+
+def test_analysis_is_published(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    fleet = fold(spark, tmp_path / "in", sample_lines())
+    root, now = str(tmp_path / "runs"), datetime(2026, 3, 1, 12)
+    assert publish_runs(fleet, now, root, mode="it's", name="noon") and publish_runs(fleet, now, root, name="noon") is None
+    tables = RunTables(spark, root)
+    assert tables.runs.first().mode == "it's"
+    one = json.loads(read_documents(tables, tables.runs).first().result_json)
+    assert [f["rule_id"] for f in one["rule_results"]] == ["spill_to_disk", "gc_pressure"] and one["job"]["app_id"] == "application_1"
+    stages = {r.stage_id: r for r in fleet.stages.collect()}
+    assert {s["stage_id"]: s["spill_disk_bytes"] for s in one["job"]["stages"]} == {i: r.spill_disk_bytes for i, r in stages.items()}
 
 
 def test_noise_is_dropped(spark, tmp_path):

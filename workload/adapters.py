@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from fleetgauge.functions.text import literal
 from fleetgauge.operators.metrics import LOG_MEASURES, stage_metrics
 from fleetgauge.plans.rules import BUILT_IN, evaluate_rules
-from fleetgauge.schemas import REPORT
+from fleetgauge.schemas import EXECUTOR_COLUMNS, REPORT
 from fleetgauge.sources.codec_ranges import opened
 from fleetgauge.sources.history_payloads import HistoryPayloads, scan_history_json
+from fleetgauge.sources.run_tables import RunTables, commit_runs
 from fleetgauge.sources.runs import result_documents, result_rows, run_rows, scan_runs, sink_results
 from fleetgauge.sources.staging import new_path, stage_table
 from fleetgauge.thresholds import MIB, Thresholds
@@ -312,6 +313,27 @@ def stored_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result_rows(stored_runs(spark, sf_dir), list(BUILT_IN))
 
 
+def run_tables(spark: SparkSession, sf_dir: str) -> RunTables:
+    """Runs committed in two parts, with a job, one stage and their findings each; each commit is repeated."""
+
+    def write(path: str) -> None:
+        runs, results = event_runs(spark, sf_dir), event_results(spark, sf_dir)
+        known = {"app_id": "app_id", "summary": "concat('run ', task_id)", "severity": "'INFO'"}
+        fields = ", ".join(f"'{f.name}', cast({known.get(f.name, 'NULL')} AS {f.dataType.simpleString()})" for f in REPORT)
+        reports = runs.filter("has_report").selectExpr("task_id", f"named_struct({fields}) AS ai_report")
+        executors = ", ".join(f"'{c}', bigint(task_id) % 9" for c in EXECUTOR_COLUMNS)
+        job = f"""named_struct('app_name', concat('job ', app_id), 'spark_version', '4.0.0', 'duration_ms', bigint(task_id),
+            'config', map('spark.app.run', task_id), 'executors', named_struct({executors})) AS job"""
+        stages = runs.selectExpr("task_id", "bigint(3) AS stage_id", "to_json(struct(3 AS stage_id, app_id)) AS stage")
+        for n in range(2):
+            part = runs.filter(f"bigint(task_id) % 2 = {n}")
+            commit_runs(part, results, path, runs.selectExpr("task_id", job), reports, stages, name=f"part {n}")
+            # a repeated commit changes nothing
+            commit_runs(part, results, path, name=f"part {n}")
+
+    return RunTables(spark, staged_path(spark, sf_dir, "run-tables", write))
+
+
 def file_logs(spark: SparkSession, sf_dir: str) -> str:
     """Event logs written from the tables, half of them gzipped; returns their folder."""
     return staged_path(spark, sf_dir, "logs", lambda path: _write_logs(log_lines(spark, sf_dir), path))

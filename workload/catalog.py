@@ -11,11 +11,12 @@ from fleetgauge.functions import config as C
 from fleetgauge.functions import scalars as X
 from fleetgauge.functions.explain import DESCRIPTIONS, assess_metric, explain_metric
 from fleetgauge.functions.text import array_of, format_bytes, literal
-from fleetgauge.operators import dedup, events, findings, history_server, metrics, run_history, run_state
+from fleetgauge.operators import daily, dedup, events, findings, history_server, metrics, run_history, run_state
 from fleetgauge.plans.analyze import Fleet, analyze_jobs, fold_history
 from fleetgauge.plans.rules import BUILT_IN, evaluate_rules
 from fleetgauge.schemas import EXECUTOR_COLUMNS, STAGE_TOTALS
 from fleetgauge.sources import codec_ranges, event_logs, runs as run_source
+from fleetgauge.sources.run_tables import read_documents
 from fleetgauge.sources.staging import new_path, stage_table
 from fleetgauge.streaming import logs as log_stream
 from fleetgauge.streaming import retries as log_retries
@@ -1618,3 +1619,60 @@ def poll_logs(spark: SparkSession, sf: str) -> DataFrame:
     folded = spark.read.parquet(out).selectExpr(LOG_ID, "tasks", "run_ms")
     settled = log_retries.settled_logs(spark, state).selectExpr(LOG_ID, "attempt AS attempts", "status")
     return settled.join(folded, "log_id", "left")
+
+
+@query(
+    "commit_runs",
+    ask(
+        """SELECT r.task_id, any_value(r.app_id) AS app_id, 'job ' || any_value(r.app_id) AS app_name, any_value(CAST(r.task_id AS BIGINT))
+        AS duration_ms, r.task_id AS run_setting, 1::BIGINT AS stages, bool_and(with_report) AS has_report, count(f.rule_id) AS findings,
+        count(f.rule_id) FILTER (f.severity = 'CRITICAL') AS critical
+        FROM runs r LEFT JOIN results f ON f.task_id = r.task_id WHERE r.status = 'completed' GROUP BY r.task_id""",
+        "runs",
+        "results",
+    ),
+)
+def commit_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of all completed runs, put together from the committed tables and parsed again."""
+    tables = A.run_tables(spark, sf)
+    parsed = read_documents(tables, tables.runs).selectExpr("task_id", "parse_json(result_json) AS d")
+    found = parsed.selectExpr("*", "variant_get(d, '$.rule_results', 'array<variant>') AS found")
+    return found.selectExpr(
+        "task_id",
+        "variant_get(d, '$.app_id', 'string') AS app_id",
+        "variant_get(d, '$.job.app_name', 'string') AS app_name",
+        "variant_get(d, '$.job.duration_ms', 'bigint') AS duration_ms",
+        """variant_get(d, "$.job.config['spark.app.run']", 'string') AS run_setting""",
+        "bigint(size(variant_get(d, '$.job.stages', 'array<variant>'))) AS stages",
+        "try_variant_get(d, '$.ai_report', 'map<string,variant>') IS NOT NULL AS has_report",
+        "bigint(size(found)) AS findings",
+        "bigint(size(filter(found, f -> variant_get(f, '$.severity', 'string') = 'CRITICAL'))) AS critical",
+    )
+
+
+# The statistics of a window from daily partials, and the rows of its first day, answer the same questions.
+
+
+@query("daily_rule_frequency", ORACLES["rule_frequency"])
+def daily_rule_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return daily.rule_frequency(A.run_tables(spark, sf), A.AS_OF, A.DAYS)
+
+
+@query("daily_top_issues", ORACLES["top_issues"])
+def daily_top_issues(spark: SparkSession, sf: str) -> DataFrame:
+    return daily.top_issues(A.run_tables(spark, sf), A.AS_OF, A.DAYS)
+
+
+@query("daily_severity_trend", ORACLES["severity_trend"])
+def daily_severity_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return daily.severity_trend(A.run_tables(spark, sf), A.AS_OF, A.DAYS)
+
+
+@query("daily_duration_by_mode", ORACLES["duration_by_mode"])
+def daily_duration_by_mode(spark: SparkSession, sf: str) -> DataFrame:
+    return daily.duration_by_mode(A.run_tables(spark, sf), A.AS_OF, A.DAYS)
+
+
+@query("daily_stats_summary", ORACLES["stats_summary"])
+def daily_stats_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return daily.stats_summary(A.run_tables(spark, sf), A.AS_OF, A.DAYS)
