@@ -34,8 +34,11 @@ SCHEMAS = {
 }
 
 
-# Position of a row in its file: the split's first byte, then the row's rank within the partition.
-POSITION = "shiftleft(_metadata.file_block_start, 28) + (monotonically_increasing_id() & 268435455) AS pos"
+# Position of a row in its file: the split's first byte plus the row's rank in its task. Every row takes a byte at least, so the ranks of a
+# split end before the next one starts; full splits come first in their task, and only a file's last split may follow another file's.
+# A file of one payload is one split.
+RANK_BITS = 33  # fixed value: the bits in which monotonically_increasing_id counts the rows of a task
+POSITION = f"_metadata.file_block_start + (monotonically_increasing_id() & {2**RANK_BITS - 1}) AS pos"
 
 
 @dataclass(frozen=True)

@@ -18,7 +18,15 @@ from fleetgauge.operators.metrics import LOG_MEASURES, stage_metrics
 from fleetgauge.plans.rules import BUILT_IN, evaluate_rules
 from fleetgauge.schemas import EXECUTOR_COLUMNS, REPORT
 from fleetgauge.sources.codec_ranges import opened
-from fleetgauge.sources.history_payloads import HistoryPayloads, scan_history_json
+from fleetgauge.sources.history_payloads import (
+    APPLICATIONS,
+    ENVIRONMENTS,
+    EXECUTORS,
+    STAGES,
+    SUMMARIES,
+    HistoryPayloads,
+    scan_history_json,
+)
 from fleetgauge.sources.run_tables import RunTables, commit_runs
 from fleetgauge.sources.runs import result_documents, result_rows, run_rows, scan_runs, sink_results
 from fleetgauge.sources.staging import new_path, stage_table
@@ -520,6 +528,28 @@ def payloads(spark: SparkSession, sf_dir: str) -> HistoryPayloads:
     return scan_history_json(spark, payload_root(spark, sf_dir), multi_line=False)
 
 
+def array_payloads(spark: SparkSession, sf_dir: str) -> HistoryPayloads:
+    """The same payloads in the default layout: one file per application and kind, stages and executors as arrays."""
+
+    def write(path: str) -> None:
+        for kind in (APPLICATIONS, ENVIRONMENTS, STAGES, SUMMARIES, EXECUTORS):
+            lines = spark.read.text(f"{payload_root(spark, sf_dir)}/{kind}")
+            keyed = lines.selectExpr(
+                # stages are filed by application already
+                "app_id" if "app_id" in lines.columns else "get_json_object(value, '$.app_id') AS app_id",
+                "bigint(get_json_object(value, '$.stageId')) AS stage",
+                "bigint(get_json_object(value, '$.attemptId')) AS attempt",
+                "value",
+            )
+            # a payload is one document, as long as its application has rows
+            whole = keyed.groupBy("app_id").agg(
+                F.expr("concat('[', array_join(array_sort(collect_list(struct(stage, attempt, value))).value, ',\n'), ']') AS value")
+            )
+            whole.write.partitionBy("app_id").text(f"{path}/{kind}")
+
+    return scan_history_json(spark, staged_path(spark, sf_dir, "array-payloads", write))
+
+
 @shared_plan
 def supplier_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications with 0 to 3 attempts; those of every fifth application are unnamed."""

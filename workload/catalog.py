@@ -143,7 +143,30 @@ def list_event_logs(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def scan_history_json(spark: SparkSession, sf: str) -> DataFrame:
-    payloads = A.payloads(spark, sf)
+    return _payload_rows(A.payloads(spark, sf))
+
+
+@query("scan_history_json_arrays", ORACLES["scan_history_json"])
+def scan_history_json_arrays(spark: SparkSession, sf: str) -> DataFrame:
+    return _payload_rows(A.array_payloads(spark, sf))
+
+
+@query(
+    "payload_order",
+    ask(
+        """SELECT app_id, count(*) AS stages, true AS in_order FROM attempts GROUP BY 1""",
+        "attempts",
+    ),
+)
+def payload_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Stages keep the order of their payload: here they were written by stage and attempt."""
+    written = "struct(stageId, coalesce(attemptId, 0L))"
+    before = f"lag({written}) OVER (PARTITION BY app_id ORDER BY pos)"
+    stages = A.array_payloads(spark, sf).stages.selectExpr("app_id", f"coalesce({before} <= {written}, true) AS follows")
+    return stages.groupBy("app_id").agg(F.count("*").alias("stages"), F.bool_and("follows").alias("in_order"))
+
+
+def _payload_rows(payloads) -> DataFrame:
     kinds = {
         "applications": payloads.applications,
         "environment": payloads.environments,
