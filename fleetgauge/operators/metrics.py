@@ -51,9 +51,12 @@ def stage_quantiles(
     return found.selectExpr(*keys, *[f"{quantile_struct(f'`{m}`')} AS `{m}`" for m in measures])
 
 
-def stage_rollup(tasks: DataFrame, by: str = "app_id", measures: dict[str, str] = LOG_MEASURES) -> DataFrame:
-    """Totals and quantiles of every stage."""
-    return stage_totals(tasks, by).join(stage_quantiles(tasks, by, measures), [by, "stage_id"])
+def stage_rollup(
+    tasks: DataFrame, by: str = "app_id", measures: dict[str, str] = LOG_MEASURES, totals: DataFrame | None = None
+) -> DataFrame:
+    """Totals and quantiles of every stage; ``totals`` where they are known."""
+    known = stage_totals(tasks, by) if totals is None else totals
+    return known.join(stage_quantiles(tasks, by, measures), [by, "stage_id"])
 
 
 def distributions(present: dict[str, str]) -> str:
@@ -77,13 +80,14 @@ def stage_metrics(
     tasks: DataFrame,
     by: str = "app_id",
     measures: dict[str, str] = LOG_MEASURES,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
-    """Completed stages with the totals of their tasks.
+    """Completed stages with the totals of their tasks (``totals``: those of ``stage_totals``, if written before).
 
     A stage without tasks gets zeros; tasks of a stage that never completed yield no row.
     """
     keys = [by, "stage_id"]
-    joined = stages.join(stage_rollup(tasks, by, measures), keys, "left")
+    joined = stages.join(stage_rollup(tasks, by, measures, totals), keys, "left")
     return joined.selectExpr(
         *keys,
         "stage_name",
@@ -94,13 +98,13 @@ def stage_metrics(
     )
 
 
-def job_metrics(facts: DataFrame, config: DataFrame, tasks: DataFrame, by: str = "log_path") -> DataFrame:
-    """One row per job from ``facts`` (with ``duration_ms``), its properties and its tasks.
+def job_metrics(facts: DataFrame, config: DataFrame, totals: DataFrame, by: str = "log_path") -> DataFrame:
+    """One row per job from ``facts`` (with ``duration_ms``), its properties and the ``stage_totals`` of its tasks.
 
     Task time counts every task, also those of stages that never completed; a log of nothing but tasks is
     a job without a name. An event log holds no executor memory, so those sums are 0.
     """
-    task_time = tasks.groupBy(by).agg(F.sum("run_ms").alias("task_ms"))
+    task_time = totals.groupBy(by).agg(F.sum("sum_run_ms").alias("task_ms"))
     joined = facts.join(config, by, "left").join(task_time, by, "full")
     known = {"ex_count": "coalesce(executor_count, 0L)", "ex_task_ms": "coalesce(task_ms, 0L)"}
     return joined.selectExpr(

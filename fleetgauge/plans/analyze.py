@@ -18,7 +18,7 @@ from fleetgauge.operators.events import (
     task_facts,
 )
 from fleetgauge.operators.history_server import hs_dedup_stages, hs_job, hs_stage_metrics
-from fleetgauge.operators.metrics import job_metrics, stage_metrics
+from fleetgauge.operators.metrics import job_metrics, stage_metrics, stage_totals
 from fleetgauge.plans.rules import evaluate_rules
 from fleetgauge.schemas import EXECUTOR_COLUMNS
 from fleetgauge.sources.event_logs import scan_event_log
@@ -62,10 +62,14 @@ def fold_events(lines: DataFrame, staged: bool = True) -> Fleet:
     if staged:
         events = stage_table(events, "events", "has_task_parts", folder=folder)
     stages, tasks = stage_facts(events), task_facts(events)
+    totals = stage_totals(tasks, "log_path")
+    if staged:
+        # stages and jobs both add up these few rows
+        totals = stage_table(totals, "totals", folder=folder)
     facts = resolve_duration(app_facts(events), stages)
     return Fleet(
-        stages=stage_metrics(stages, tasks, "log_path"),
-        jobs=job_metrics(facts, config_fold(events), tasks, "log_path"),
+        stages=stage_metrics(stages, tasks, "log_path", totals=totals),
+        jobs=job_metrics(facts, config_fold(events), totals, "log_path"),
         by="log_path",
         folder=folder,
     )

@@ -137,4 +137,5 @@ def sink_properties(entries: DataFrame, path: str, by: str | None = "app_id", mo
     if by is None:
         entries.select(line).write.mode(mode).text(path)
     else:
-        entries.select(by, line).write.mode(mode).partitionBy(by).text(path)
+        # a job's lines are gathered, in several files where they are very many
+        entries.select(by, line).hint("rebalance", by).write.mode(mode).partitionBy(by).text(path)

@@ -457,7 +457,8 @@ def stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def job_metrics(spark: SparkSession, sf: str) -> DataFrame:
     log_events = _events(spark, sf)
     facts = events.resolve_duration(events.app_facts(log_events), events.stage_facts(log_events))
-    jobs = metrics.job_metrics(facts, events.config_fold(log_events), events.task_facts(log_events))
+    totals = metrics.stage_totals(events.task_facts(log_events), "log_path")
+    jobs = metrics.job_metrics(facts, events.config_fold(log_events), totals)
     return jobs.selectExpr(
         LOG_ID,
         "app_id",
@@ -1073,10 +1074,16 @@ COMPARE_LABELS = ("Duration", "Total Tasks", "Shuffle Read", "Shuffle Write", "S
           USING (app_id)),
         pairs AS (SELECT a.app_id AS app_a, b.app_id AS app_b, unnest(range(7)) AS position, a.v AS va, b.v AS vb,
           a.ex_count IS NOT NULL AND b.ex_count IS NOT NULL AS comparable FROM sides a JOIN sides b ON b.k = a.k + 1)
-        SELECT app_a, app_b, CAST(position AS INTEGER) AS position, {list(COMPARE_LABELS)}[position + 1] AS metric,
+        SELECT *, CASE WHEN position IN (2, 3, 4) THEN CASE WHEN delta = 0 THEN '0 B' ELSE CASE WHEN delta > 0 THEN '+' ELSE '-' END
+            || {size_text('abs(delta)')} END
+          WHEN position = 0 THEN CASE WHEN delta >= 0 THEN '+' ELSE '-' END || printf('%.1f', abs(delta / 1000)) || 's'
+          WHEN position = 5 THEN CASE WHEN delta >= 0 THEN '+' ELSE '' END || printf('%.1f', delta) || '%'
+          ELSE CASE WHEN delta >= 0 THEN '+' ELSE '' END || printf('%.0f', delta) END AS delta_text,
+          coalesce(CASE WHEN change_percent >= 0 THEN '+' ELSE '' END || printf('%.1f', change_percent) || '%', 'N/A') AS change_text
+        FROM (SELECT app_a, app_b, CAST(position AS INTEGER) AS position, {list(COMPARE_LABELS)}[position + 1] AS metric,
           va[position + 1] AS value_a, vb[position + 1] AS value_b, vb[position + 1] - va[position + 1] AS delta,
           CASE WHEN va[position + 1] <> 0 THEN (vb[position + 1] - va[position + 1]) / va[position + 1] * 100 END
-          AS change_percent FROM pairs WHERE comparable OR position < 5""",
+          AS change_percent FROM pairs WHERE comparable OR position < 5)""",
         "jobs",
         "stages",
     ).replace(" WITH sides AS", ", sides AS", 1),
@@ -1085,8 +1092,7 @@ def compare_jobs(spark: SparkSession, sf: str) -> DataFrame:
     pairs = A.table(spark, sf, "supplier").selectExpr(
         "concat('app_', s_suppkey) AS app_a", "concat('app_', s_suppkey + 1) AS app_b"
     )
-    compared = findings.compare_jobs(A.fleet_stages(spark, sf), A.fleet_jobs(spark, sf), pairs)
-    return compared.drop("delta_text", "change_text")
+    return findings.compare_jobs(A.fleet_stages(spark, sf), A.fleet_jobs(spark, sf), pairs)
 
 
 # ------------------------------------------------------------ run history
