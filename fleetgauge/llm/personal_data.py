@@ -1,14 +1,16 @@
 """Personal data: fixed patterns, and terms that give a protected entity away.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity. Over
-the whole corpus, with D documents, it is counted in how many documents an entity (df e), a term (df t) and both
-together (df et) occur, a term being a word near the entity. An entity carries ``log(D / df e)`` bits of information; a
-term reveals ``log(D df et / (df e df t))`` of it. Where it reveals at least ``disclosure`` of the entity's information in at
-least ``min_documents`` documents, the term is generalised wherever it stands in a document with the entity. Documents
-without an entity never change.
-
-Counts are made in each task first; a hot entity or word costs one row per task. Terms travel as 64-bit hashes. The
-words of all documents are counted once, and joined only to the terms that occur near an entity often enough.
+the whole corpus, with D documents, it is counted in how many documents an entity (n e), a term (n t) and both
+together (n et) occur, a term being any word of a document outside its base spans. An entity carries ``log(D / n e)`` of
+information; a term reveals ``log(D P / n e)`` of it, where P is the lower confidence bound of the share ``n et / n t`` of
+the term's documents that hold the entity (Wilson's, one-sided). Where it reveals at least ``disclosure`` of the entity's
+information, the term is generalised wherever it stands in a document with the entity. One joint document is no
+estimate: what stands together once only is never judged. Documents without an entity never change.
+
+Entities of the same documents are one class, judged once. A term can disclose a class only if ``n t`` is at most
+``n e ^ disclosure * D ^ (1 - disclosure)``, so frequent words drop out before they meet the classes of their documents.
+Counts are made in each task first; a hot entity or word costs one row per task. Terms travel as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +30,20 @@ from pyspark.sql import functions as F
 
 from fleetgauge.llm.shared import configure, hash_bitmap, leading_bits, per_batch, written
 
-# Fixed patterns of the base kinds, in the order they are listed.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Fixed patterns of the base kinds, in the order they are listed; the first two are read without going back over a run.
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
-CONTEXT_WORDS = 8
-MIN_DOCUMENTS = 4
 DISCLOSURE = 0.9
+CONFIDENCE = 0.8
 # Leading hash bits in the bitmap of asked words: 2 MB, whatever the corpus.
 FILTER_BITS = 24
 _WORD = re.compile(r"\w+")
-_ADDRESS_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_ADDRESS_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
 @dataclass(frozen=True)
@@ -64,15 +66,19 @@ def _digits(text: str) -> str:
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
-    """A match lies in one run of address characters, so only runs with an @ are searched."""
+    """Each ``@`` with a domain behind it ends a local part, which goes back to the last match or a strange character."""
     out = []
+    free = 0
     at = text.find("@")
     while at >= 0:
-        begin = at
-        while begin and text[begin - 1] in _ADDRESS_CHARS:
-            begin -= 1
-        stop = _ADDRESS_RUN.match(text, begin).end()
-        out += [m.span() for m in EMAIL.finditer(text, begin, stop)]
+        stop = at + 1
+        if domain := DOMAIN.match(text, stop):
+            begin = at
+            while begin > free and text[begin - 1] in _LOCAL_CHARS:
+                begin -= 1
+            if begin < at:
+                out.append((begin, domain.end()))
+                free = stop = domain.end()
         at = text.find("@", stop)
     return out
 
@@ -109,41 +115,51 @@ def entity_hash(kind: str, value: str) -> int:
     return _hash(f"{kind}\0{value}")
 
 
-def nearby_words(text: str, span: Span, spans: list[Span], words: int = CONTEXT_WORDS) -> set[str]:
-    """Lower-cased words that stand up to ``words`` words before or after a span, without those in spans."""
-    # a window of characters that surely holds the words, unless they are very long
-    before = _WORD.findall(text, max(0, span.start - 40 * words), span.start)[-words:]
-    after = _WORD.findall(text, span.end, min(len(text), span.end + 40 * words))[:words]
-    covered = {w.lower() for s in spans for w in _WORD.findall(text, s.start, s.end)}
-    return {w.lower() for w in before + after if not w.isdigit()} - covered
+def words_outside(text: str, base: list[Span]) -> Iterator[re.Match]:
+    """The words that no base span touches, in order."""
+    taken = sorted((s.start, s.end) for s in base)
+    at = reach = 0
+    for m in _WORD.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            reach = max(reach, taken[at][1])
+            at += 1
+        if m.start() >= reach:
+            yield m
+
+
+def entity_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, entity`` of every base span's value."""
+
+    def entities(text: str) -> set[int]:
+        return {entity_hash(s.kind, text[s.start : s.end]) for s in base_spans(text)}
+
+    return _hash_rows(docs, "entity", entities)
+
+
+def term_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, term`` of every word outside base spans."""
+
+    def terms(text: str) -> set[int]:
+        return {_hash(w) for w in {m[0].lower() for m in words_outside(text, base_spans(text))}}
 
+    return _hash_rows(docs, "term", terms)
 
-def entity_terms(docs: DataFrame) -> DataFrame:
-    """``entity, term, n``: in how many documents each occurs, by task; term null counts the entity alone."""
 
+def _hash_rows(docs: DataFrame, name: str, hashes: Callable[[str], set[int]]) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            counts: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                spans = base_spans(text) if text else []
-                pairs = set()
-                for span in spans:
-                    entity = entity_hash(span.kind, text[span.start : span.end])
-                    pairs.add((entity, None))
-                    pairs.update((entity, term_hash(w)) for w in nearby_words(text, span, spans))
-                counts.update(pairs)
-            entities, terms = zip(*counts) if counts else ((), ())
-            return pa.record_batch(
-                {
-                    "entity": pa.array(entities, pa.int64()),
-                    "term": pa.array(terms, pa.int64()),
-                    "n": pa.array(counts.values(), pa.int64()),
-                }
-            )
+            owner: list[int] = []
+            found: list[int] = []
+            for at, text in enumerate(batch.column("text").to_pylist()):
+                own = hashes(text) if text else ()
+                owner += [at] * len(own)
+                found += own
+            ids = batch.column("doc_id").take(pa.array(owner, pa.int64()))
+            return pa.record_batch({"doc_id": ids, name: pa.array(found, pa.int64())})
 
         return step
 
-    return per_batch(docs.select("text"), "entity bigint, term bigint, n bigint", make)
+    return per_batch(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, {name} bigint", make)
 
 
 def word_counts(docs: DataFrame, asked: np.ndarray) -> DataFrame:
@@ -156,7 +172,7 @@ def word_counts(docs: DataFrame, asked: np.ndarray) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts: Counter = Counter()
             for text in batch.column("text").to_pylist():
-                counts.update(set(_WORD.findall(text.lower())) if text else ())
+                counts.update({w.lower() for w in _WORD.findall(text)} if text else ())
             terms = np.array([_hash(w) for w in counts], np.int64)
             n = np.fromiter(counts.values(), np.int64, len(counts))
             kept = asked[leading_bits(terms, FILTER_BITS)]
@@ -167,68 +183,55 @@ def word_counts(docs: DataFrame, asked: np.ndarray) -> DataFrame:
     return per_batch(docs.select("text"), "term bigint, n bigint", make).groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(
-    docs: DataFrame, disclosure: float = DISCLOSURE, min_documents: int = MIN_DOCUMENTS
-) -> DataFrame:
-    """``entity, term``: which terms give which entities away."""
-    together = written(
-        entity_terms(_may_hold(docs)).groupBy("entity", "term").agg(F.sum("n").alias("n")), "together"
+def entity_classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, class, n_entity``: the classes of entities in each document, without entities of one document."""
+    rows = written(entity_rows(docs).distinct(), "entities")
+    found = rows.groupBy("entity").agg(
+        F.count("*").alias("n_entity"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("documents")
     )
-    pairs = together.filter(F.col("term").isNotNull() & (F.col("n") >= min_documents)).withColumnRenamed("n", "n_both")
-    entities = together.filter("term IS NULL").select("entity", F.col("n").alias("n_entity"))
-    documents = docs.count()
-    asked = pairs.select("term").distinct()
-    words = word_counts(docs, hash_bitmap(asked, FILTER_BITS)).join(asked, "term", "left_semi").withColumnRenamed("n", "n_term")
-    information = F.log(F.lit(float(documents)) / F.col("n_entity"))
-    revealed = F.log(F.lit(float(documents)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    found = pairs.join(entities, "entity").join(words, "term")
-    return found.filter((information > 0) & (revealed >= disclosure * information)).select("entity", "term")
-
-
-def _may_hold(docs: DataFrame) -> DataFrame:
-    """Every base span has an @ or a digit: the rest is passed by without leaving the JVM."""
-    return docs.filter("text RLIKE '[0-9@]'")
+    shared = found.filter("n_entity > 1").selectExpr("entity", "xxhash64(n_entity, documents) AS class", "n_entity")
+    return rows.join(shared, "entity").select("doc_id", "class", "n_entity").distinct()
 
 
-def _entity_rows(docs: DataFrame) -> DataFrame:
-    """``row, doc, entity`` of every base span's value."""
+def lower_share(n_both: str, n_term: str, confidence: float) -> str:
+    """SQL for Wilson's lower bound of the share ``n_both / n_term``."""
+    z = NormalDist().inv_cdf(confidence)
+    share = f"({n_both} / {n_term})"
+    spread = f"{z!r}D * sqrt({share} * (1 - {share}) / {n_term} + {z * z / 4!r}D / ({n_term} * {n_term}))"
+    return f"(({share} + {z * z / 2!r}D / {n_term} - {spread}) / (1 + {z * z!r}D / {n_term}))"
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            owner, entity = [], []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                values = {entity_hash(s.kind, text[s.start : s.end]) for s in base_spans(text)} if text else ()
-                owner += [at] * len(values)
-                entity += values
-            return pa.record_batch(
-                {
-                    "doc_id": batch.column("doc_id").take(pa.array(owner, pa.int64())),
-                    "entity": pa.array(entity, pa.int64()),
-                }
-            )
 
-        return step
-
-    return per_batch(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, entity bigint", make)
-
-
-def document_terms(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
+def document_terms(docs: DataFrame, disclosure: float = DISCLOSURE, confidence: float = CONFIDENCE) -> DataFrame:
     """``doc_id, terms``: the terms to generalise in each document that holds an entity they give away.
 
-    A document has few entities and an entity few terms above the threshold, so the list is short.
+    A list holds no more than the document's own words.
     """
-    rows = _entity_rows(docs.filter("doc_id IS NOT NULL")).join(disclosing, "entity")
-    return rows.groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    held = docs.filter("doc_id IS NOT NULL")
+    classes = written(entity_classes(_may_hold(held)), "classes")
+    documents = float(docs.count())
+    own = written(term_rows(_may_hold(held).join(classes.select("doc_id").distinct(), "doc_id", "left_semi")), "terms")
+    asked = own.groupBy("term").agg(F.count("*").alias("n")).filter("n > 1").select("term")
+    counts = word_counts(docs, hash_bitmap(asked, FILTER_BITS)).filter("n > 1").withColumnRenamed("n", "n_term")
+    # a share is at most n_entity / n_term; the margin keeps rounding from deciding here
+    most = f"1.000001D * pow(n_entity, {disclosure!r}D) * pow({documents!r}D, {1 - disclosure!r}D)"
+    largest = classes.agg(F.max(F.expr(most)).alias("most")).first()["most"] or 0.0
+    met = own.join(counts.filter(F.col("n_term") <= largest), "term").join(classes, "doc_id")
+    met = written(met.filter(f"n_term <= {most}").select("doc_id", "class", "n_entity", "term", "n_term").distinct(), "met")
+    judged = met.groupBy("class", "n_entity", "term", "n_term").agg(F.count("*").alias("n_both")).filter("n_both > 1")
+    information = f"ln({documents!r}D / n_entity)"
+    revealed = f"ln({documents!r}D * {lower_share('n_both', 'n_term', confidence)} / n_entity)"
+    found = judged.filter(f"{information} > 0 AND {revealed} >= {disclosure!r}D * {information}").select("class", "term")
+    return met.join(found, ["class", "term"], "left_semi").groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+
+
+def _may_hold(docs: DataFrame) -> DataFrame:
+    """Every base span has an @ or a digit: the rest is passed by without leaving the JVM."""
+    return docs.filter("text RLIKE '[0-9@]'")
 
 
 def term_spans(text: str, terms: set[int], base: list[Span]) -> list[Span]:
     """Every place of the terms in the text that no base span covers."""
-    taken = sorted((s.start, s.end) for s in base)
-    out = []
-    for m in _WORD.finditer(text):
-        if term_hash(m[0]) in terms and not any(a < m.end() and m.start() < b for a, b in taken):
-            out.append(Span(TERM, *m.span()))
-    return out
+    return [Span(TERM, *m.span()) for m in words_outside(text, base) if term_hash(m[0]) in terms]
 
 
 def sanitised(text: str, spans: list[Span]) -> str:
@@ -249,19 +252,21 @@ def base_digest(spans: list[Span]) -> str:
 def find_personal_data(
     docs: DataFrame,
     disclosure: float = DISCLOSURE,
-    min_documents: int = MIN_DOCUMENTS,
+    confidence: float = CONFIDENCE,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Spans and sanitised text of every row of ``docs(doc_id, text)``.
 
     Columns ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, clean_text`` and those named in ``keep``. Spans are
     ``kind:start:end`` in code points, base kinds first, then terms. A null text has no spans and stays null. Rows with a
-    null id get base spans only; rows with one id share their terms; equal rows count as two documents. Other columns are
-    ignored; an empty table gives no rows.
+    null id get base spans only. Rows with one id are one document with all their words and entities, though word counts
+    count rows, so that a repeated id can only weaken a term. Equal texts under two ids are two documents. Columns named in
+    ``keep`` must not have the name of an output column; other columns are ignored. An empty table gives no rows.
     """
+    if clash := set(keep) & {"doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "clean_text"}:
+        raise ValueError(f"names of output columns cannot be kept: {sorted(clash)}")
     configure(docs.sparkSession)
-    disclosing = written(disclosing_terms(docs, disclosure, min_documents), "disclosing")
-    terms = document_terms(_may_hold(docs), disclosing)
+    terms = written(document_terms(docs, disclosure, confidence), "disclosing")
     rows = docs.select("doc_id", "text", *keep)
     # only rows that may hold an entity meet the terms; the others need no shuffle
     both = _may_hold(rows).join(terms, "doc_id", "left")

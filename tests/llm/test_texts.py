@@ -1,5 +1,8 @@
 import hashlib
+import math
 import re
+import time
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -262,3 +265,68 @@ def test_addresses_with_very_long_parts_are_read():
     for part, found in (("9" * 5000, []), ("0" * 5000 + "7", ["ip:0:5007"]), ("0" * 5000, ["ip:0:5006"])):
         spans = personal_data.base_spans(f"1.2.3.{part}")
         assert [str(s) for s in spans if s.kind == "ip"] == found
+
+
+def plain_terms(texts, disclosure, confidence):
+    """Terms to generalise in each text, by counting every word with every entity."""
+    z = NormalDist().inv_cdf(confidence)
+    entities, words = [], []
+    for text in texts:
+        spans = personal_data.base_spans(text or "")
+        entities.append({(s.kind, text[s.start : s.end]) for s in spans})
+        rest = list(text or "")
+        for s in spans:
+            rest[s.start : s.end] = " " * (s.end - s.start)
+        words.append(set(re.findall(r"\w+", "".join(rest).lower())))
+    total, out = len(texts), [set() for _ in texts]
+    for e in set().union(*entities):
+        n_e = sum(e in own for own in entities)
+        for t in set().union(*(w for own, w in zip(entities, words) if e in own)):
+            n_t = sum(t in re.findall(r"\w+", (text or "").lower()) for text in texts)
+            n_both = sum(e in own and t in w for own, w in zip(entities, words))
+            p = n_both / n_t
+            low = (p + z * z / 2 / n_t - z * math.sqrt(p * (1 - p) / n_t + (z / 2 / n_t) ** 2)) / (1 + z * z / n_t)
+            bits = math.log(total / n_e)
+            if n_both > 1 and bits > 0 and math.log(total * low / n_e) >= disclosure * bits:
+                for own, w, terms in zip(entities, words, out):
+                    terms |= {t} if e in own and t in w else set()
+    return out
+
+
+def test_disclosing_terms_agree_with_counting_all_words(spark):
+    draw = np.random.default_rng(8)
+    people = [f"p{i}@ex.org" for i in range(12)] + ["+49 170 1234567", "10.1.2.3"]
+    texts = []
+    for i in range(400):
+        text = " ".join(f"w{int(300 * draw.random() ** 2)}" for _ in range(12))
+        for k in draw.integers(0, len(people), int(draw.integers(0, 3))):
+            # a word that nearly always stands with the entity, far from it, and one that the entity shares with others
+            text = f"Alias{k} {text} {people[k]}" if draw.random() < 0.9 else f"{text} 77{k % 4} {people[k]}"
+        texts.append(text)
+    texts += [texts[0], None, "", "alias1 without", "lone@ex.org once"]
+    for disclosure, confidence in ((0.9, 0.9), (0.6, 0.95)):
+        expected = plain_terms(texts, disclosure, confidence)
+        assert sum(map(len, expected)) > 50
+        found = personal_data.find_personal_data(docs(spark, texts), disclosure, confidence).collect()
+        for r in found:
+            spans = [s.split(":") for s in r.spans.split(",") if s.startswith("term")]
+            assert {texts[r.doc_id][int(b) : int(e)].lower() for _, b, e in spans} == expected[r.doc_id], r.doc_id
+
+
+def test_long_runs_are_read_in_linear_time():
+    many = " ".join(f"a{i}@ex.org word{i}" for i in range(10_000))
+    for text in ("1" * 1_000_000, "1.2.3" + "4" * 1_000_000, "a" * 1_000_000 + "@", "a.b-" * 250_000 + "@@" * 1000, "a@" * 500_000, "+1" + " " * 1_000_000):
+        begin = time.perf_counter()
+        spans = personal_data.base_spans(text)
+        assert not spans and time.perf_counter() - begin < 5, text[:20]
+    begin = time.perf_counter()
+    spans = personal_data.base_spans(many)
+    assert len(spans) == 10_000 and len(list(personal_data.words_outside(many, spans))) == 10_000
+    assert time.perf_counter() - begin < 5
+
+
+def test_random_address_like_texts_agree_with_plain_patterns():
+    draw = np.random.default_rng(3)
+    for _ in range(3000):
+        text = "".join(draw.choice(list("a1._-@+% é2"), 25, p=[0.2, 0.2, 0.2, 0.05, 0.05, 0.15, 0.03, 0.03, 0.03, 0.03, 0.03]))
+        assert list(map(str, personal_data.base_spans(text))) == plain_base_spans(text), text
