@@ -1,22 +1,29 @@
-"""Removal of text that repeats across documents, by hashing lines and the clauses in them.
+"""Removal of text that repeats across documents, by hashing lines and the pieces of their words.
 
 Units are normalised (letter case, white space) and hashed; digests are grouped over all documents, and the earliest
 occurrence, by document id and place, is kept. Of the others go
 
 * lines of at least ``min_line_words`` words that occur before, and
-* runs of clauses that occur before, if a run has at least ``min_run_words`` words: a passage set into a line.
+* runs of pieces that occur before, if a run has at least ``min_run_words`` words: a passage set into other text.
 
-Short lines and lone clauses such as "Yes." stay, they repeat by chance. What is left keeps its order, and removed
-spans are reported in offsets of the original text.
+Pieces cut the whole text, across lines, after marks, and between marks before the words whose hash (with the word before)
+is the smallest of some ``WINDOW`` neighbours. Cuts depend on nothing further away than a window: of 50 words that two texts
+share, at most 15 at each end lie outside equal pieces, with marks and without. Where scripts have no blanks, each code
+point is read as a word and counts for half of one.
 
-Units travel as a hash and a place. First places are combined before the shuffle, and the join back is one
-that adaptive execution splits, so a line that a third of all documents have does not meet in one task.
+Short lines and lone pieces stay, they repeat by chance. What is left keeps its order, and removed spans are reported in
+offsets of the original text.
+
+Units travel as a hash and a place. First places are combined before the shuffle. A digest that holds a thousandth of
+all repeated units or more, of which there are a thousand at most, is broadcast; its units are dealt by place instead.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,87 +32,141 @@ from pyspark.sql import functions as F
 from fleetgauge.llm.shared import configure, per_batch, written
 
 MIN_LINE_WORDS = 8
-MIN_RUN_WORDS = 25
-_END = re.compile(r"[.!?,;:]+\s+")
+MIN_RUN_WORDS = 20
+# Neighbouring words of which the smallest hash makes a cut.
+WINDOW = 8
+# A digest with this share of all repeated units is hot; there are at most as many as shares.
+HOT_SHARES = 1000
+_MARKS = frozenset(".!?,;:。，！？；：、")
+# Scripts written without blanks: Thai, Lao, Burmese, Khmer, kana, Han.
+_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_WORD = re.compile(rf"([{_UNSPACED}])|[^\s{_UNSPACED}]+")
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads every bit of unsigned 64-bit numbers over all others."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def units(text: str) -> list[tuple[bool, int, int, str]]:
-    """``(is_line, start, end, content)``: every line that is not blank, each followed by its clauses (up to a mark and white space)."""
-    out = []
-    at = 0
-    for line in text.split("\n"):
-        if line and not line.isspace():
-            out.append((True, at, at + len(line), line))
-            start = 0
-            for found in _END.finditer(line):
-                out.append((False, at + start, at + found.end(), line[start : found.end()]))
-                start = found.end()
-            if start < len(line):
-                out.append((False, at + start, at + len(line), line[start:]))
-        at += len(line) + 1
-    return out
 
+class Units:
+    """The units of a text: ``n_lines`` lines with a word, then its pieces, each a range of words.
 
-def digest(content: str, is_line: bool) -> int:
-    """Hash of a unit, with letter case and white space evened out."""
-    return xxhash.xxh3_64_intdigest(" ".join(content.lower().split()), seed=is_line) - 2**63
+    ``begins, stops`` are the ranges, ``spans`` what they cover in the text, ``halves`` their length in half words and
+    ``digests`` their hashes; a line and a piece of the same words have different ones.
+    """
+
+    def __init__(self, text: str) -> None:
+        found = list(_WORD.finditer(text))
+        n = len(found)
+        self.starts = np.fromiter((m.start() for m in found), np.int64, n)
+        self.ends = np.fromiter((m.end() for m in found), np.int64, n)
+        hashes = np.fromiter((_word_hash(m[0].lower()) for m in found), np.uint64, n)
+        self.weights = np.append(0, np.cumsum(np.fromiter((1 if m[1] else 2 for m in found), np.int64, n)))
+        breaks = np.fromiter((m.start() for m in re.finditer("\n", text)), np.int64)
+        self.lines = np.append(-1, np.append(breaks, len(text)))
+        edges = np.searchsorted(self.starts, self.lines)
+        kept = edges[1:] > edges[:-1]
+        marked = np.fromiter((m[0][-1] in _MARKS for m in found), bool, n)
+        cuts = np.append(0, np.append(_cuts(hashes, marked), n)) if n else np.zeros(1, np.int64)
+        self.n_lines = int(kept.sum())
+        self.line_spans = [(int(a) + 1, int(b)) for a, b in zip(self.lines[:-1][kept], self.lines[1:][kept])]
+        self.begins = np.append(edges[:-1][kept], cuts[:-1])
+        self.stops = np.append(edges[1:][kept], cuts[1:])
+        self.halves = self.weights[self.stops] - self.weights[self.begins]
+        self.digests = self._digests(hashes)
+
+    def _digests(self, hashes: np.ndarray) -> np.ndarray:
+        """Polynomial hashes of the ranges, from running sums."""
+        n = len(hashes)
+        powers = np.full(n + 1, _BASE, np.uint64)
+        back = np.full(n + 1, _INVERSE, np.uint64)
+        powers[0] = back[0] = 1
+        powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+        sums = np.append(np.zeros(1, np.uint64), np.cumsum(_mixed(hashes) * powers[:n], dtype=np.uint64))
+        values = (sums[self.stops] - sums[self.begins]) * back[self.begins]
+        length = (self.stops - self.begins).astype(np.uint64)
+        kind = (np.arange(len(values)) < self.n_lines).astype(np.uint64)
+        return _mixed(_mixed(values + length) + kind).view(np.int64)
+
+
+def _cuts(hashes: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Where pieces begin, apart from the first: behind marked words, and at the last smallest place of each window without any."""
+    forced = marked[:-1]
+    cut = forced.copy()
+    if len(forced) >= WINDOW:
+        pairs = _mixed(hashes[1:] ^ _mixed(hashes[:-1]))
+        view = np.lib.stride_tricks.sliding_window_view
+        free = np.flatnonzero(~view(forced, WINDOW).any(axis=1))
+        # in steps, so that a long text costs no window-fold copy
+        for some in np.array_split(free, len(free) // 100_000 + 1):
+            cut[some + WINDOW - 1 - view(pairs, WINDOW)[some, ::-1].argmin(axis=1)] = True
+    return np.flatnonzero(cut) + 1
 
 
 def unit_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, digest`` of every unit of ``docs(doc_id, text)``; lines and clauses have digests of their own."""
+    """``doc_id, place, digest`` of every unit of ``docs(doc_id, text)``."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            owner: list[int] = []
-            place: list[int] = []
-            hashed: list[int] = []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                found = units(text or "")
-                owner += [at] * len(found)
-                place += range(len(found))
-                hashed += [digest(content, line) for line, _, _, content in found]
+            found = [Units(text).digests if text else np.zeros(0, np.int64) for text in batch.column("text").to_pylist()]
+            sizes = [len(f) for f in found]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes] or [np.zeros(0, np.int32)])
             return pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id").take(pa.array(owner, pa.int64())),
                     "place": pa.array(place, pa.int32()),
-                    "digest": pa.array(hashed, pa.int64()),
+                    "digest": pa.array(np.concatenate(found or [np.zeros(0, np.int64)]), pa.int64()),
                 }
             )
 
         return step
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return per_batch(rows, "doc_id bigint, place int, digest bigint", make)
+    return per_batch(docs.select("doc_id", "text"), f"doc_id {dict(docs.dtypes)['doc_id']}, place int, digest bigint", make)
 
 
 def repeated_units(rows: DataFrame) -> DataFrame:
-    """``doc_id, place`` of the units whose digest occurs at an earlier document or place."""
+    """``doc_id, place`` of the units whose digest occurs at an earlier document or place.
+
+    Units of hot digests, which meet their first place by broadcast, take a key of their own in the shuffle.
+    """
     first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
-    first = first.filter("n > 1").select("digest", "first")
-    return rows.join(first, "digest").filter("struct(doc_id, place) > first").select("doc_id", "place")
+    first = written(first.filter("n > 1"), "first")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    # each holds a share of the total, so there are no more rows than shares
+    hot = first.filter(F.col("n") * HOT_SHARES >= total).select("digest", F.col("first").alias("hot_first"))
+    cold = first.filter(F.col("n") * HOT_SHARES < total).select(F.col("digest").alias("key"), "first")
+    keyed = rows.join(F.broadcast(hot), "digest", "left").filter("hot_first IS NULL OR struct(doc_id, place) > hot_first")
+    keyed = keyed.withColumn("key", F.expr("IF(hot_first IS NULL, digest, xxhash64(doc_id, place))"))
+    both = keyed.join(cold, "key", "left").filter("hot_first IS NOT NULL OR struct(doc_id, place) > first")
+    return both.select("doc_id", "place")
 
 
 def removed_spans(text: str, places: set[int], min_line_words: int, min_run_words: int) -> list[tuple[int, int]]:
     """Spans to remove from a text, given the places of its repeated units; sorted, none touching another."""
-    spans: list[tuple[int, int]] = []
-    run: list[tuple[int, int, int]] = []  # begin, stop, words
-
-    def end_run() -> None:
-        if sum(u[2] for u in run) >= min_run_words:
-            spans.append((run[0][0], run[-1][1]))
-        run.clear()
-
-    for place, (is_line, begin, stop, content) in enumerate(units(text)):
-        if place not in places:
-            if not is_line:
-                end_run()
-            continue
-        words = len(content.split())
-        if not is_line:
-            run.append((begin, stop, words))
-        elif words >= min_line_words:
-            spans.append((begin, stop))
-    end_run()
+    units = Units(text)
+    again = np.zeros(len(units.begins), bool)
+    again[list(places)] = True
+    spans = [units.line_spans[i] for i in np.flatnonzero(again[: units.n_lines] & (units.halves[: units.n_lines] >= 2 * min_line_words))]
+    inner = np.append(False, np.append(again[units.n_lines :], False))
+    change = np.flatnonzero(inner[1:] != inner[:-1]) + units.n_lines
+    for at, end in zip(change[::2], change[1::2]):
+        begin, stop = units.begins[at], units.stops[end - 1]
+        if units.weights[stop] - units.weights[begin] >= 2 * min_run_words:
+            # up to the next word, so that no blanks are left double; but not over a line's end
+            last = int(units.ends[stop - 1])
+            next_word = int(units.starts[stop]) if stop < len(units.starts) else len(text)
+            line_end = text.find("\n", last, next_word)
+            spans.append((int(units.starts[begin]), next_word if line_end < 0 else line_end))
     merged: list[tuple[int, int]] = []
     for begin, stop in sorted(spans):
         if merged and begin <= merged[-1][1]:
@@ -132,15 +193,16 @@ def remove_repeats(
     """``doc_id, text, n_removed, spans`` of every row of ``docs(doc_id, text)``.
 
     ``spans`` lists what was removed as ``begin:stop`` in code points of the original, comma-joined; empty if nothing
-    was. Null texts stay null, empty ones empty. Rows with one id count as one document, so equal rows lose the same;
+    was. Ids may be of any type with an order. Null texts stay null, empty ones empty. Rows with one id count as one document, so equal rows lose the same;
     rows with a null id neither lose nor cause a loss. Ties in rank cannot occur otherwise: a place is one unit. Other
     columns are ignored; an empty table gives no rows.
     """
     configure(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
     again = repeated_units(unit_rows(docs.filter("doc_id IS NOT NULL")))
     # documents meet here with their own places only, groups of copies never do
     places = written(again.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "repeated")
-    both = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(places, "doc_id", "left")
+    both = docs.join(places, "doc_id", "left")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -160,4 +222,5 @@ def remove_repeats(
 
         return step
 
-    return per_batch(both, "doc_id bigint, text string, n_removed bigint, spans string", make)
+    kind = dict(docs.dtypes)["doc_id"]
+    return per_batch(both, f"doc_id {kind}, text string, n_removed bigint, spans string", make)

@@ -330,3 +330,65 @@ def test_random_address_like_texts_agree_with_plain_patterns():
     for _ in range(3000):
         text = "".join(draw.choice(list("a1._-@+% é2"), 25, p=[0.2, 0.2, 0.2, 0.05, 0.05, 0.15, 0.03, 0.03, 0.03, 0.03, 0.03]))
         assert list(map(str, personal_data.base_spans(text))) == plain_base_spans(text), text
+
+
+def test_repeated_passages_inside_other_text_are_found(spark):
+    draw = np.random.default_rng(6)
+
+    def words(n):
+        return [f"v{int(x)}" for x in draw.integers(0, 5000, n)]
+
+    texts, planted = [], []
+    for i in range(120):
+        passage = words(50)
+        if i % 2:
+            passage[::7] = [w + "." for w in passage[::7]]
+        for k in range(2):
+            own = words(int(draw.integers(0, 80)))
+            ahead, behind = " ".join(own), " ".join(words(int(draw.integers(0, 80))))
+            # the second copy is cut into lines elsewhere and written in capitals
+            inner = " ".join(passage) if not k else "\n".join([" ".join(passage[:21]), " ".join(passage[21:])]).upper()
+            texts.append(f"{ahead} {inner} {behind}")
+            planted.append((len(ahead) + 1, len(ahead) + 1 + len(inner)) if k else None)
+    texts += [" ".join(words(400)) for _ in range(60)]
+    found = {r.doc_id: r for r in substrings.remove_repeats(docs(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        spans = [tuple(map(int, s.split(":"))) for s in found[i].spans.split(",") if s]
+        if i >= len(planted) or planted[i] is None:
+            assert not spans
+            continue
+        begin, stop = planted[i]
+        assert sum(len(text[b:e].split()) for b, e in spans) >= 20
+        # nothing but the passage goes
+        assert all(begin <= b and e <= stop + 1 for b, e in spans)
+
+
+def test_units_agree_with_plain_hashing(spark):
+    draw = np.random.default_rng(2)
+    texts = ["\n".join(" ".join(f"x{int(w)}" for w in draw.integers(0, 3, int(draw.integers(0, 14)))) for _ in range(6)) for _ in range(60)]
+    seen, kinds = {}, {}
+    rows = []
+    for i, text in enumerate(texts):
+        units = substrings.Units(text)
+        split = text.split()
+        assert len(units.starts) == len(split) and units.n_lines == sum(bool(line.split()) for line in text.split("\n"))
+        for place, (b, e) in enumerate(zip(units.begins, units.stops)):
+            content = (place < units.n_lines, tuple(split[b:e]))
+            assert kinds.setdefault(int(units.digests[place]), content) == content
+            if content in seen:
+                rows.append((i, place))
+            seen.setdefault(content, (i, place))
+        pieces = list(zip(units.begins, units.stops))[units.n_lines :]
+        assert [w for b, e in pieces for w in split[b:e]] == split
+    assert len(kinds) == len(seen)
+    again = substrings.repeated_units(substrings.unit_rows(docs(spark, texts)))
+    assert sorted(map(tuple, again.collect())) == rows
+
+
+def test_repeats_without_blanks_and_with_text_ids(spark):
+    line = "".join(chr(0x4E00 + 37 * i % 9000) for i in range(99))
+    inside = "".join(chr(0x4E00 + 53 * i % 9000) for i in range(150))
+    rows = [("a", line, 1), ("b", line, 1), ("c", f"前{inside}后", 1), ("d", f"甲乙{inside}右", 1), ("e", "短短短短短短短短短短", 1), ("f", "短短短短短短短短短短", 1)]
+    found = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string, first int")).collect()}
+    assert [found[k].n_removed for k in "abcdef"] == [0, 1, 0, 1, 0, 0]
+    assert found["b"].text == "" and found["d"].text.startswith("甲乙") and len(found["d"].text) < 60
