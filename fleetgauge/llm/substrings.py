@@ -40,14 +40,24 @@ HOT_SHARES = 1000
 _MARKS = frozenset(".!?,;:。，！？；：、")
 # Scripts written without blanks: Thai, Lao, Burmese, Khmer, kana, Han.
 _UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
-_WORD = re.compile(rf"([{_UNSPACED}])|[^\s{_UNSPACED}]+")
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+_NO_BLANKS = re.compile(f"[{_UNSPACED}]")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_KNOWN_WORDS = 1 << 17
 
 
-@lru_cache(1 << 16)
-def _word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+class _WordHashes(dict):
+    """Hashes of words, of which some are kept; the lowest bit says that a mark ends the word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _KNOWN_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word) & ~1 | (word[-1] in _MARKS)
+        return found
+
+
+_hashes = _WordHashes()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,40 +67,56 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers_to(1 << max(12, n.bit_length())) if n < 1 << 16 else _powers_to.__wrapped__(n)
+
+
+@lru_cache
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the base of polynomial hashes, and of its inverse."""
+    out = [np.full(n + 1, x, np.uint64) for x in (_BASE, _INVERSE)]
+    for x in out:
+        x[0] = 1
+        np.multiply.accumulate(x, out=x)
+    return out[0], out[1]
+
+
 class Units:
     """The units of a text: ``n_lines`` lines with a word, then its pieces, each a range of words.
 
-    ``begins, stops`` are the ranges, ``spans`` what they cover in the text, ``halves`` their length in half words and
-    ``digests`` their hashes; a line and a piece of the same words have different ones.
+    ``begins, stops`` are the ranges, ``halves`` their length in half words and ``digests`` their hashes; a line and a piece
+    of the same words have different ones.
     """
 
     def __init__(self, text: str) -> None:
-        found = list(_WORD.finditer(text))
-        n = len(found)
-        self.starts = np.fromiter((m.start() for m in found), np.int64, n)
-        self.ends = np.fromiter((m.end() for m in found), np.int64, n)
-        hashes = np.fromiter((_word_hash(m[0].lower()) for m in found), np.uint64, n)
-        self.weights = np.append(0, np.cumsum(np.fromiter((1 if m[1] else 2 for m in found), np.int64, n)))
-        breaks = np.fromiter((m.start() for m in re.finditer("\n", text)), np.int64)
-        self.lines = np.append(-1, np.append(breaks, len(text)))
-        edges = np.searchsorted(self.starts, self.lines)
-        kept = edges[1:] > edges[:-1]
-        marked = np.fromiter((m[0][-1] in _MARKS for m in found), bool, n)
-        cuts = np.append(0, np.append(_cuts(hashes, marked), n)) if n else np.zeros(1, np.int64)
-        self.n_lines = int(kept.sum())
-        self.line_spans = [(int(a) + 1, int(b)) for a, b in zip(self.lines[:-1][kept], self.lines[1:][kept])]
-        self.begins = np.append(edges[:-1][kept], cuts[:-1])
-        self.stops = np.append(edges[1:][kept], cuts[1:])
+        low = text.lower()
+        mixed = not low.isascii() and _NO_BLANKS.search(low) is not None
+        if mixed:
+            low = _NO_BLANKS.sub(r" \g<0> ", low)
+        words: list[str] = []
+        edges = [0]
+        for line in low.split("\n"):
+            words += line.split()
+            edges.append(len(words))
+        n = self.n_words = len(words)
+        hashes = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+        sizes = np.full(n, 2)
+        if mixed:
+            sizes[[i for i, w in enumerate(words) if len(w) == 1 and _NO_BLANKS.match(w)]] = 1
+        self.weights = np.append(0, np.cumsum(sizes))
+        ends = np.array(edges)
+        self.lines = np.flatnonzero(ends[1:] > ends[:-1])
+        self.n_lines = len(self.lines)
+        cuts = np.concatenate(([0], _cuts(hashes), [n])) if n else np.zeros(1, np.int64)
+        self.begins = np.append(ends[self.lines], cuts[:-1])
+        self.stops = np.append(ends[self.lines + 1], cuts[1:])
         self.halves = self.weights[self.stops] - self.weights[self.begins]
         self.digests = self._digests(hashes)
 
     def _digests(self, hashes: np.ndarray) -> np.ndarray:
         """Polynomial hashes of the ranges, from running sums."""
         n = len(hashes)
-        powers = np.full(n + 1, _BASE, np.uint64)
-        back = np.full(n + 1, _INVERSE, np.uint64)
-        powers[0] = back[0] = 1
-        powers, back = np.multiply.accumulate(powers), np.multiply.accumulate(back)
+        powers, back = _powers(n)
         sums = np.append(np.zeros(1, np.uint64), np.cumsum(_mixed(hashes) * powers[:n], dtype=np.uint64))
         values = (sums[self.stops] - sums[self.begins]) * back[self.begins]
         length = (self.stops - self.begins).astype(np.uint64)
@@ -98,20 +124,31 @@ class Units:
         return _mixed(_mixed(values + length) + kind).view(np.int64)
 
 
-def _cuts(hashes: np.ndarray, marked: np.ndarray) -> np.ndarray:
-    """Where pieces begin, apart from the first: behind marked words, and at the last smallest place of each window without any."""
-    forced = marked[:-1]
+def _cuts(hashes: np.ndarray) -> np.ndarray:
+    """Where pieces begin, apart from the first: behind marks, and at the smallest places of each window without any."""
+    if len(hashes) < 2:
+        return np.zeros(0, np.int64)
+    forced = (hashes[:-1] & np.uint64(1)).astype(bool)
     cut = forced.copy()
     if len(forced) >= WINDOW:
-        pairs = _mixed(hashes[1:] ^ _mixed(hashes[:-1]))
-        view = np.lib.stride_tricks.sliding_window_view
-        free = np.flatnonzero(~view(forced, WINDOW).any(axis=1))
-        # in steps, so that a long text costs no window-fold copy
-        for some in np.array_split(free, len(free) // 100_000 + 1):
-            cut[some + WINDOW - 1 - view(pairs, WINDOW)[some, ::-1].argmin(axis=1)] = True
+        pairs = _mixed(hashes[1:] ^ _mixed(hashes[:-1])) | np.uint64(1)
+        pairs[forced] = 0
+        lowest = _sliding(np.minimum, pairs)
+        # a place is smallest in a window if the greatest minimum of its windows is its own; a mark makes a window's zero
+        edge = np.zeros(WINDOW - 1, np.uint64)
+        cut |= _sliding(np.maximum, np.concatenate((edge, lowest, edge))) == pairs
     return np.flatnonzero(cut) + 1
 
 
+def _sliding(best: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """The best of each ``WINDOW`` neighbours, a power of two, by doubling."""
+    size = 1
+    while size < WINDOW:
+        x = best(x[:-size], x[size:])
+        size *= 2
+    return x
+
+
 def unit_rows(docs: DataFrame) -> DataFrame:
     """``doc_id, place, digest`` of every unit of ``docs(doc_id, text)``."""
 
@@ -156,17 +193,23 @@ def removed_spans(text: str, places: set[int], min_line_words: int, min_run_word
     units = Units(text)
     again = np.zeros(len(units.begins), bool)
     again[list(places)] = True
-    spans = [units.line_spans[i] for i in np.flatnonzero(again[: units.n_lines] & (units.halves[: units.n_lines] >= 2 * min_line_words))]
+    long_lines = np.flatnonzero(again[: units.n_lines] & (units.halves[: units.n_lines] >= 2 * min_line_words))
     inner = np.append(False, np.append(again[units.n_lines :], False))
     change = np.flatnonzero(inner[1:] != inner[:-1]) + units.n_lines
-    for at, end in zip(change[::2], change[1::2]):
-        begin, stop = units.begins[at], units.stops[end - 1]
-        if units.weights[stop] - units.weights[begin] >= 2 * min_run_words:
+    runs = [(units.begins[a], units.stops[b - 1]) for a, b in zip(change[::2], change[1::2])]
+    runs = [(a, b) for a, b in runs if units.weights[b] - units.weights[a] >= 2 * min_run_words]
+    spans: list[tuple[int, int]] = []
+    if len(long_lines):
+        ends = np.cumsum([len(line) + 1 for line in text.split("\n")]) - 1
+        spans += [(int(ends[i - 1]) + 1 if i else 0, int(ends[i])) for i in units.lines[long_lines]]
+    if runs:
+        found = [m.span() for m in _WORD.finditer(text)]
+        for begin, stop in runs:
             # up to the next word, so that no blanks are left double; but not over a line's end
-            last = int(units.ends[stop - 1])
-            next_word = int(units.starts[stop]) if stop < len(units.starts) else len(text)
+            last = found[stop - 1][1]
+            next_word = found[stop][0] if stop < len(found) else len(text)
             line_end = text.find("\n", last, next_word)
-            spans.append((int(units.starts[begin]), next_word if line_end < 0 else line_end))
+            spans.append((found[begin][0], next_word if line_end < 0 else line_end))
     merged: list[tuple[int, int]] = []
     for begin, stop in sorted(spans):
         if merged and begin <= merged[-1][1]:
