@@ -95,3 +95,23 @@ def test_damaged_frames_are_told(tmp_path, content):
     path.write_bytes(content)
     with pa.OSFile(str(path)) as file, pytest.raises((EOFError, ValueError, OSError)):
         list(R.range_lines(file, R.ByteRange("", "lz4", 0, len(content))))
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for n in range(300):
+        folder = tmp_path / f"log_id={n}"
+        folder.mkdir()
+        data = b"".join(frame(f"{n} {i}\n".encode() * 40, "lz4") for i in range(3))
+        (folder / "0.lz4").write_bytes(data)
+    read = R.scan_codec_ranges(spark, str(tmp_path), range_bytes=60)
+    assert read.rdd.getNumPartitions() <= 2 * R.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert sorted(r.value for r in read.collect()) == sorted(f"{n} {i}" for n in range(300) for i in range(3) for _ in range(40))
+
+
+def test_groups_keep_every_range_once_and_their_bound():
+    sizes = [(i * 37) % 50 << 20 for i in range(200)] + [R.RANGE_BYTES]
+    ranges = [R.ByteRange(f"f{i}", "lz4", 0, size) for i, size in enumerate(sizes)]
+    groups = R.grouped(ranges, 4)
+    assert [r for g in groups for r in g.ranges] == ranges
+    assert all(len(g.ranges) == 1 or sum(r.stop + R.OPEN_BYTES for r in g.ranges) <= R.RANGE_BYTES for g in groups)
+    assert R.grouped([], 4) == []
