@@ -21,7 +21,7 @@ all repeated units or more, of which there are a thousand at most, is broadcast;
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,10 +111,12 @@ class Units:
         self.begins = np.append(ends[self.lines], cuts[:-1])
         self.stops = np.append(ends[self.lines + 1], cuts[1:])
         self.halves = self.weights[self.stops] - self.weights[self.begins]
-        self.digests = self._digests(hashes)
+        self._word_hashes = hashes
 
-    def _digests(self, hashes: np.ndarray) -> np.ndarray:
+    @cached_property
+    def digests(self) -> np.ndarray:
         """Polynomial hashes of the ranges, from running sums."""
+        hashes = self._word_hashes
         n = len(hashes)
         powers, back = _powers(n)
         sums = np.append(np.zeros(1, np.uint64), np.cumsum(_mixed(hashes) * powers[:n], dtype=np.uint64))
@@ -242,7 +244,8 @@ def remove_repeats(
     """
     configure(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    again = repeated_units(unit_rows(docs.filter("doc_id IS NOT NULL")))
+    # read twice; they take less time to write and read than to make again
+    again = repeated_units(written(unit_rows(docs.filter("doc_id IS NOT NULL")), "units"))
     # documents meet here with their own places only, groups of copies never do
     places = written(again.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "repeated")
     both = docs.join(places, "doc_id", "left")
