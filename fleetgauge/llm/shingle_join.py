@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetgauge.llm.shared import block_of, configure, drop_written, hash_bitmap, leading_bits, per_batch, smallest_reachable, spanning_links, written
@@ -270,13 +270,19 @@ def may_link(a: str, b: str, similarity: tuple[int, int]) -> str:
     )
 
 
+def in_lists_of_several(entries: DataFrame, column: str) -> DataFrame:
+    """The entries whose list holds several values of ``column``; they are shuffled once, by token."""
+    listed = Window.partitionBy("token")
+    ends = {"lo": F.min(column).over(listed), "hi": F.max(column).over(listed)}
+    return entries.withColumns(ends).filter("lo < hi").drop("lo", "hi")
+
+
 def mixed_lists(lists: DataFrame, components: DataFrame) -> DataFrame:
     """``token, sid, n, pos, component`` of the lists that hold sets of several components."""
     labelled = lists.join(components.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "component", F.coalesce("component", "sid")
     )
-    ends = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    return written(labelled.join(ends.filter("lo < hi").select("token"), "token", "left_semi"), "mixed-lists")
+    return written(in_lists_of_several(labelled, "component"), "mixed-lists")
 
 
 def size_band(similarity: tuple[int, int]) -> Column:
@@ -555,8 +561,7 @@ def shingle_components(
     reps = sets.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
     index = written(prefix_index(docs, sketch, size, bits, similarity), "index")
-    shared = index.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
-    lists = written(index.join(shared.filter("lo < hi").select("token"), "token", "left_semi").distinct(), "lists")
+    lists = written(in_lists_of_several(index, "sid").distinct(), "lists")
     drop_written(index)
     lists = written(near_in_size(lists, similarity), "near-lists")
     # as many tokens as a set's prefix has
