@@ -3,7 +3,7 @@ import random
 import pytest
 
 from fleetgauge.operators.metrics import stage_quantiles, stage_rollup, stage_totals
-from fleetgauge.operators.quantiles import exact_quantiles
+from fleetgauge.operators.quantiles import exact_quantiles, rank_goals
 
 COLUMNS = (
     "run_ms", "gc_ms", "shuffle_read_bytes", "shuffle_write_bytes", "spill_disk_bytes", "spill_memory_bytes",
@@ -79,3 +79,35 @@ def test_the_tasks_are_read_twice(spark, tmp_path):
     scans = [line for line in ran.splitlines() if "FileScan" in line]
     assert all("spill" not in line for line in scans)
     assert "percentile" not in ran
+
+
+def spread(spark, counts):
+    """Tasks of many stages, dealt over partitions in no order."""
+    rows = [("a" if i % 3 else "b", stage, (i * 7919) % 1009) for stage, n in enumerate(counts) for i in range(n)]
+    random.seed(4)
+    random.shuffle(rows)
+    tasks = spark.createDataFrame(rows, "app_id string, stage_id bigint, v bigint")
+    return tasks.selectExpr("*", "-v AS w").repartition(6)
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+@pytest.mark.parametrize("digits", [16, 1])
+def test_stages_that_span_batches_and_partitions(spark, batch, digits):
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    tasks = spread(own, [1, 2, 3, 900, 40, 500, 1])
+    values = {}
+    for r in tasks.collect():
+        values.setdefault((r.app_id, r.stage_id), []).append(r.v)
+    found = exact_quantiles(tasks, ["app_id", "stage_id"], {"v": "v", "w": "w"}, digits).collect()
+    assert {(r.app_id, r.stage_id): tuple(map(float, r.v)) for r in found} == {k: expected(v) for k, v in values.items()}
+    # truncated towards zero on both sides
+    assert all(list(r.w) == [-x for x in reversed(r.v)] for r in found)
+
+
+def test_values_reach_the_shuffle_gathered_not_one_by_one(spark):
+    tasks = spread(spark, [200, 300, 50])
+    goals = rank_goals(tasks, ["app_id", "stage_id"], {"v": "v", "w": "w"}, 1)
+    assert goals.count() == 6
+    plan = goals._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Window" not in plan
