@@ -18,14 +18,40 @@ from fleetgauge.operators.run_history import ELAPSED, since
 COMPLETED = "status = 'completed'"
 
 
+FINDING_KEYS = ("done", "rule_id", "severity")
+_POSITION = "struct(-sev_order AS a, -rule_ord AS b, -coalesce(stage_pos, -1L) AS c) AS position"
+
+
+def finding_ends() -> list[Column]:
+    return [
+        F.expr(f"min(struct(completed_at, task_id, {_POSITION}, title, message, severity)) AS oldest"),
+        F.expr("max(struct(completed_at, task_id, app_id)) AS newest"),
+    ]
+
+
 def fold_findings(findings: DataFrame) -> DataFrame:
     """Findings of completed runs per day, rule and severity; ``oldest`` starts with the order in which the last finding met counts."""
-    position = "struct(-sev_order AS a, -rule_ord AS b, -coalesce(stage_pos, -1L) AS c) AS position"
-    return findings.filter(COMPLETED).groupBy("done", "rule_id", "severity").agg(
+    return findings.filter(COMPLETED).groupBy(*FINDING_KEYS).agg(F.expr("count(*) AS n"), *finding_ends())
+
+
+def fold_written_findings(findings: DataFrame) -> DataFrame:
+    """As ``fold_findings``, for a written table of many days, which is read twice.
+
+    Least and greatest texts need a sort, so they are looked for only among the findings at the first and at the last moment of
+    their group. The groups are broadcast: one row for every day, rule and severity.
+    """
+    found = findings.filter(COMPLETED)
+    groups = found.groupBy(*FINDING_KEYS).agg(
         F.expr("count(*) AS n"),
-        F.expr(f"min(struct(completed_at, task_id, {position}, title, message, severity)) AS oldest"),
-        F.expr("max(struct(completed_at, task_id, app_id)) AS newest"),
+        # an unknown moment comes before all others
+        F.expr("if(count(completed_at) < count(*), NULL, min(completed_at)) AS first"),
+        F.expr("max(completed_at) AS last"),
     )
+    ends = groups.selectExpr(*(f"{c} AS of_{c}" for c in FINDING_KEYS), "n", "first", "last")
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in FINDING_KEYS]
+    at_end = F.col("completed_at").eqNullSafe(F.col("first")) | F.col("completed_at").eqNullSafe(F.col("last"))
+    edge = found.join(F.broadcast(ends), [*same, at_end])
+    return edge.groupBy(*FINDING_KEYS).agg(F.expr("max(n) AS n"), *finding_ends())
 
 
 def fold_runs(runs: DataFrame) -> DataFrame:

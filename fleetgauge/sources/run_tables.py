@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetgauge import schemas as S
-from fleetgauge.operators.daily import fold_created, fold_findings, fold_runs
+from fleetgauge.operators.daily import fold_created, fold_runs, fold_written_findings
 from fleetgauge.sources.runs import RUN_COLUMNS
 
 _TEXTS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.FINDING.fields)
@@ -109,7 +109,7 @@ def commit_runs(
     if stages is not None:
         _write(stages.select("task_id", "stage_id", "stage").join(of_run.select("task_id", "done"), "task_id"), root, "stages", commit)
     found = spark.read.schema(f"{TABLES['findings']}, done date, commit string").parquet(f"{root}/findings")
-    _write(fold_findings(found.filter(F.col("commit") == commit)), root, "daily_findings", commit)
+    _write(fold_written_findings(found.filter(F.col("commit") == commit)), root, "daily_findings", commit)
     _write(fold_runs(written), root, "daily_runs", commit)
     _write(fold_created(written).withColumn("done", F.lit(None).cast("date")), root, "daily_created", commit)
 

@@ -105,3 +105,25 @@ def test_documents_hold_job_stages_findings_and_report(spark, tmp_path):
     assert one["job"]["config"] == {"a": "b"} and one["job"]["duration_ms"] == 9 and one["ai_report"]["summary"] == "s"
     assert [s["stage_id"] for s in one["job"]["stages"]] == list(range(30))
     assert documents["2"]["rule_results"] == [] and documents["2"]["job"]["stages"] == []
+
+
+def test_findings_are_folded_from_the_ends_of_their_group(spark):
+    columns = "done date, completed_at timestamp, task_id string, app_id string, status string, rule_id string, severity string, title string, message string"
+    rows = [
+        f"('2024-01-0{1 + i % 2}', {at}, '{i}', 'app_{i % 3}', 'completed', {rule}, 'INFO', 't{i}', 'm')"
+        for i, (at, rule) in enumerate(
+            (f"timestamp'2024-01-0{1 + i % 2} 0{i % 7}:00:00'" if i % 5 else "NULL", "NULL" if i % 4 == 0 else f"'r{i % 2}'") for i in range(60)
+        )
+    ]
+    names = columns.replace(" date", "").replace(" timestamp", "").replace(" string", "")
+    found = spark.sql(f"SELECT date(done) AS done, timestamp(completed_at) AS completed_at, * EXCEPT (done, completed_at) FROM VALUES {', '.join(rows)} AS t({names})")
+    found = found.selectExpr("*", "0 AS sev_order", "int(task_id) % 3 AS rule_ord", "bigint(NULL) AS stage_pos")
+    folded, plain = daily.fold_written_findings(found), daily.fold_findings(found)
+    assert rows_of(folded) == rows_of(plain) and folded.columns == plain.columns
+    plan = folded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # nothing is sorted but what the join leaves
+    assert 0 < plan.rindex("SortAggregate") < plan.index("BroadcastHashJoin")
+
+
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
