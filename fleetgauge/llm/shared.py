@@ -7,13 +7,15 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetgauge.session import SHUFFLE_CLEANUP
+
 # Rows per Arrow batch: texts may be long, so a batch of rows stays small.
 BATCH_ROWS = 1000
 
@@ -45,6 +47,13 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def clean_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when their query ends, not when the driver happens to collect its garbage; a choice of the caller's stays."""
+    for key, value in SHUFFLE_CLEANUP.items():
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local session without one (as in tests) gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -64,6 +73,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_in_turn(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """As :func:`written`, for several tables of the same columns, one after the other; there is at least one."""
+    path = None
+    for df in parts:
+        path = path or f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files behind a table made by :func:`written`, once nothing reads it any more."""
     spark = df.sparkSession

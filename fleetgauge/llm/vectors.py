@@ -11,7 +11,7 @@ away, so every candidate pair meets in some bucket. It is counted only where it
 table in which it is a candidate, in the bucket of the smaller substring. Buckets are dealt into blocks by the hash of the
 id; a pair of blocks is one unit of work, a product of two small matrices. Units give out link counts and a spanning set
 of links, never pairs, so a bucket with a third of all vectors is spread over many tasks. Equal vectors are one vector
-with a weight before any of this.
+with a weight before any of this. Units are worked off in rounds, so that what they ship lies on the disk a part at a time.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.shared import block_of, configure, per_batch, smallest_reachable, spanning_links, written
+from fleetgauge.llm.shared import block_of, clean_shuffles, configure, per_batch, smallest_reachable, spanning_links, written, written_in_turn
 
 BITS, TABLES = 64, 4
 PART = BITS // TABLES
@@ -37,6 +37,12 @@ SAMPLE_ROWS = 8000
 ITERATIONS = 40
 BLOCK_ROWS = 256
 COSINE = 0.93
+# Members of units carry their vectors, each many times over. What the units of a round ship is about ROUND_BYTES, a member counting for its
+# vector and MEMBER_BYTES; a bucket of more than a WIDE_SHAREth of a round is spread over rounds.
+ROUND_BYTES = 1 << 30
+MEMBER_BYTES = 256
+WIDE_SHARE = 8
+_SUBSTRING = f"(tab * {2**PART}L + part)"
 
 
 @dataclass(frozen=True)
@@ -167,33 +173,72 @@ def coded(units: DataFrame, quantisers: dict[int, Quantiser]) -> DataFrame:
     return per_batch(units, f"{schema}, code bigint", make)
 
 
-def meetings(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``label, tab, part, left_block, right_block, home, vec_id``: who meets in which unit of work.
-
-    ``home`` rows of a left block are compared with all rows of a right block.
-    """
+def at_home(vectors: DataFrame) -> DataFrame:
+    """``label, tab, part, vec_id``: every vector under its substring in every table."""
     part = F.expr(f"shiftrightunsigned(code, {PART} * tab) & {2**PART - 1}")
-    at_home = vectors.select("label", "vec_id", "code", F.explode(F.array(*map(F.lit, range(TABLES)))).alias("tab"))
-    at_home = at_home.select("label", "tab", part.alias("part"), "vec_id")
-    buckets = at_home.groupBy("label", "tab", "part").agg(F.count("*").alias("n_home"))
+    rows = vectors.select("label", "vec_id", "code", F.explode(F.array(*map(F.lit, range(TABLES)))).alias("tab"))
+    return rows.select("label", "tab", part.alias("part"), "vec_id")
+
+
+def visits(rows: DataFrame) -> DataFrame:
+    """The same rows under the smaller substrings near their own."""
     changes = ", ".join(f"{m}L" for m in PROBES)
-    near = F.explode(F.expr(f"filter(transform(array({changes}), m -> part ^ m), p -> p < part)")).alias("part")
-    visits = at_home.select("label", "tab", near, "vec_id")
-    # most visits find nobody at home
-    visits = visits.join(buckets.select("label", "tab", "part"), ["label", "tab", "part"], "left_semi")
-    rows = at_home.withColumn("home", F.lit(True)).unionByName(visits.withColumn("home", F.lit(False)))
-    rows = written(rows, "bucket-rows")
-    sizes = rows.groupBy("label", "tab", "part").agg(
-        F.count_if("home").alias("n_home"), F.count("*").alias("n_all")
-    )
-    sizes = sizes.filter("n_all > 1").select(
-        "label",
-        "tab",
-        "part",
+    others = [c for c in rows.columns if c != "part"]
+    changed = rows.select("*", F.explode(F.expr(f"array({changes})")).alias("change"))
+    return changed.filter("(part ^ change) < part").selectExpr(*others, "part ^ change AS part").select(*rows.columns)
+
+
+def bucket_sizes(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``label, tab, part, left_blocks, right_blocks, members`` of the buckets in which vectors meet; ``members`` are those of all its units."""
+    homes = at_home(vectors).groupBy("label", "tab", "part").agg(F.count("*").alias("n_home"))
+    # buckets visit for their vectors
+    coming = visits(homes).groupBy("label", "tab", "part").agg(F.sum("n_home").alias("n_visits"))
+    sizes = homes.join(coming, ["label", "tab", "part"], "left")
+    sizes = sizes.selectExpr("*", "n_home + coalesce(n_visits, 0) AS n_all").filter("n_all > 1")
+    blocks = sizes.select(
+        "*",
         F.ceil(F.col("n_home") / block_rows).alias("left_blocks"),
         F.ceil(F.col("n_all") / block_rows).alias("right_blocks"),
     )
-    rows = rows.join(sizes, ["label", "tab", "part"])
+    members = "n_home * right_blocks + n_all * left_blocks AS members"
+    return blocks.selectExpr("label", "tab", "part", "left_blocks", "right_blocks", members)
+
+
+@dataclass(frozen=True)
+class Rounds:
+    """How units of work are dealt to rounds: those of a bucket together, those of the ``wide`` substrings by left block."""
+
+    count: int
+    wide: tuple[int, ...] = ()
+
+    @staticmethod
+    def of(sizes: DataFrame, most: int) -> Rounds:
+        """Rounds of about ``most`` members each."""
+        count = -(-(sizes.agg(F.sum("members")).first()[0] or 0) // most) or 1
+        # there are at most WIDE_SHARE of them for every round
+        wide = sizes.filter(F.col("members") > most // WIDE_SHARE).selectExpr(f"{_SUBSTRING} AS s").distinct()
+        return Rounds(count, tuple(r[0] for r in wide.collect()) if count > 1 else ())
+
+    def may_meet(self, n: int) -> str:
+        """Condition on ``tab, part``: a unit of round ``n`` may be there."""
+        place = f"pmod(xxhash64(tab, part), {self.count}) = {n}"
+        return f"{place} OR {_SUBSTRING} IN ({', '.join(map(str, self.wide))})" if self.wide else place
+
+    def meet(self, n: int) -> str:
+        """Condition on ``tab, part, left_block``: its units are in round ``n``."""
+        spread = f"if({_SUBSTRING} IN ({', '.join(map(str, self.wide))}), left_block, 0L)" if self.wide else "0L"
+        return f"pmod(pmod(xxhash64(tab, part), {self.count}) + {spread}, {self.count}) = {n}"
+
+
+def meetings(vectors: DataFrame, sizes: DataFrame, block_rows: int = BLOCK_ROWS, rounds: Rounds = Rounds(1), n: int = 0) -> DataFrame:
+    """``label, tab, part, left_block, right_block, left, home, vec_id``: who meets in which unit of work of round ``n``.
+
+    ``home`` rows of a left block are compared with all rows of a right block.
+    """
+    homes = at_home(vectors)
+    rows = homes.withColumn("home", F.lit(True)).unionByName(visits(homes).withColumn("home", F.lit(False)))
+    # most visits find nobody at home
+    rows = rows.filter(rounds.may_meet(n)).join(sizes.drop("members").filter(rounds.may_meet(n)), ["label", "tab", "part"])
     left = rows.filter("home").select(
         "label", "tab", "part", "vec_id",
         F.lit(True).alias("left"), F.lit(True).alias("home"),
@@ -206,7 +251,7 @@ def meetings(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         F.explode(F.expr("sequence(0L, left_blocks - 1)")).alias("left_block"),
         block_of(F.col("vec_id"), F.col("right_blocks")).alias("right_block"),
     )
-    return left.unionByName(right)
+    return left.unionByName(right).filter(rounds.meet(n))
 
 
 def _first_meeting(a: np.ndarray, b: np.ndarray, tab: int, b_home: np.ndarray, a_ids, b_ids) -> np.ndarray:
@@ -272,7 +317,9 @@ def compare(units: DataFrame, cosine: float) -> DataFrame:
     return per_batch(units, "vec_id bigint, n bigint, other bigint", make)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS, round_bytes: int = ROUND_BYTES
+) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding, label)``.
 
     Rows link when their labels are equal and not null and the cosine of their vectors, in double precision, is at least
@@ -282,18 +329,25 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_rows: int = B
     has a null component. Other columns are ignored; an empty table gives no rows.
     """
     configure(vectors.sparkSession)
-    units = written(unit_vectors(vectors), "units")
+    clean_shuffles(vectors.sparkSession)
+    digest = F.unhex(F.sha2("vector", 256))
+    units = written(unit_vectors(vectors).withColumn("digest", digest), "units")
     distinct = units.groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
     distinct = written(coded(distinct, learn(units, cosine=cosine)), "codes")
 
-    held = meetings(distinct, block_rows)
-    joined = held.join(distinct.select("vec_id", "weight", "code", "vector"), "vec_id")
-    # two blocks at most meet in a unit, so its list is bounded
-    work = joined.groupBy("label", "tab", "part", "left_block", "right_block").agg(
-        F.collect_list(F.struct("left", "home", "vec_id", "weight", "code", "vector")).alias("members")
-    )
-    work = work.filter("size(members) > 1").select("tab", "members")
-    found = written(compare(work, cosine), "links")
+    sizes = written(bucket_sizes(distinct, block_rows), "bucket-sizes")
+    length = distinct.agg(F.max(F.length("vector"))).first()[0] or 0
+    rounds = Rounds.of(sizes, max(1, round_bytes // (length + MEMBER_BYTES)))
+
+    def links(n: int) -> DataFrame:
+        joined = meetings(distinct, sizes, block_rows, rounds, n).join(distinct.select("vec_id", "weight", "code", "vector"), "vec_id")
+        # two blocks at most meet in a unit, so its list is bounded
+        work = joined.groupBy("label", "tab", "part", "left_block", "right_block").agg(
+            F.collect_list(F.struct("left", "home", "vec_id", "weight", "code", "vector")).alias("members")
+        )
+        return compare(work.filter("size(members) > 1").select("tab", "members"), cosine)
+
+    found = written_in_turn((links(n) for n in range(rounds.count)), "links")
     counts = found.filter("other IS NULL").groupBy("vec_id").agg(F.sum("n").alias("n"))
     components = smallest_reachable(found.filter("other IS NOT NULL").selectExpr("vec_id AS a", "other AS b"))
 
@@ -302,12 +356,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_rows: int = B
         .join(components.withColumnRenamed("node", "vec_id"), "vec_id", "left")
         .select(
             "label",
-            "vector",
+            digest.alias("digest"),
             (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
             F.coalesce("component", "vec_id").alias("component"),
         )
     )
-    of_row = units.join(of_vector, ["label", "vector"]).groupBy("vec_id")
+    of_row = units.drop("vector").join(of_vector, ["label", "digest"]).groupBy("vec_id")
     of_row = of_row.agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
     return (
         vectors.select("vec_id")
