@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetgauge.session import SHUFFLE_CLEANUP
+from fleetgauge.session import shuffles_dropped
 
 # Rows per Arrow batch: texts may be long, so a batch of rows stays small.
 BATCH_ROWS = 1000
@@ -47,13 +47,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def clean_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when their query ends, not when the driver happens to collect its garbage; a choice of the caller's stays."""
-    for key, value in SHUFFLE_CLEANUP.items():
-        if key not in spark.conf.getAll:
-            spark.conf.set(key, value)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a local session without one (as in tests) gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -69,7 +62,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,7 +72,8 @@ def written_in_turn(parts: Iterable[DataFrame], name: str) -> DataFrame:
     path = None
     for df in parts:
         path = path or f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
-        df.write.mode("append").parquet(path)
+        with shuffles_dropped(df.sparkSession):
+            df.write.mode("append").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

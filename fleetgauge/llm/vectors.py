@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetgauge.llm.shared import block_of, clean_shuffles, configure, per_batch, smallest_reachable, spanning_links, written, written_in_turn
+from fleetgauge.llm.shared import block_of, configure, per_batch, smallest_reachable, spanning_links, written, written_in_turn
 
 BITS, TABLES = 64, 4
 PART = BITS // TABLES
@@ -329,7 +329,6 @@ def near_vectors(
     has a null component. Other columns are ignored; an empty table gives no rows.
     """
     configure(vectors.sparkSession)
-    clean_shuffles(vectors.sparkSession)
     digest = F.unhex(F.sha2("vector", 256))
     units = written(unit_vectors(vectors).withColumn("digest", digest), "units")
     distinct = units.groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))

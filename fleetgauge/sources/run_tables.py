@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from fleetgauge import schemas as S
 from fleetgauge.operators.daily import fold_created, fold_runs, fold_written_findings
+from fleetgauge.session import shuffles_dropped
 from fleetgauge.sources.runs import RUN_COLUMNS
 
 _TEXTS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.FINDING.fields)
@@ -70,7 +71,8 @@ def _write(rows: DataFrame, root: str, table: str, commit: str) -> None:
     """Appends rows; a day's rows are gathered in files of the advised size, also when one day holds nearly all."""
     names = T.StructType.fromDDL(TABLES[table]).names
     typed = rows.select(*names, "done", F.lit(commit).alias("commit"))
-    typed.hint("rebalance", "done").write.mode("append").partitionBy("done", "commit").parquet(f"{root}/{table}")
+    with shuffles_dropped(rows.sparkSession):
+        typed.hint("rebalance", "done").write.mode("append").partitionBy("done", "commit").parquet(f"{root}/{table}")
 
 
 def commit_runs(
